@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, license_scan, quality_rules, url_filter
+from . import hilbert_shards, license_scan, packing, quality_rules, token_files, url_filter
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -20,9 +24,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_quality_rules, op6_url_filter, op10_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_quality_rules, op6_url_filter, op9_token_files, op10_hilbert_shards)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL}
