@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, license_scan, packing, quality_rules, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, packing, quality_rules, token_files, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_quality_rules, op6_url_filter, op9_token_files, op10_hilbert_shards)}
-ORACLES = {"op1_license_scan": license_scan.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_quality_rules, op6_url_filter, op7_decontamination, op9_token_files, op10_hilbert_shards)}
+ORACLES = {"op1_license_scan": license_scan.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
