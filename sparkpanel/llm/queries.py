@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, license_scan, packing, quality_rules, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, packing, quality_rules, substring_dedup, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -16,6 +17,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def _removed():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("n_units").alias("n_bytes"), _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,6 +38,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("n_units").alias("n_words"), _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -36,5 +51,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op5_quality_rules, op6_url_filter, op7_decontamination, op9_token_files, op10_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
