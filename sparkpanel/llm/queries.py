@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, license_scan, packing, quality_rules, substring_dedup, suffix_dedup, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("n_units").alias("n_bytes"), _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards)}
-ORACLES = {"op1_license_scan": license_scan.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards)}
+ORACLES = {"op1_license_scan": license_scan.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
