@@ -60,3 +60,12 @@ def ascii_lower(c: Column) -> Column:
 
 def whole_text(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
+
+
+#: Keys that are sent to all tasks at most; more are joined by a shuffle.
+SEND = 1_000_000
+
+
+def semi(docs: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """docs with (left_semi) or without (left_anti) these keys; only keys whose number is known to be small are broadcast."""
+    return docs.join(F.broadcast(keys) if keys.count() <= SEND else keys, on, how)

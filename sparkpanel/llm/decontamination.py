@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, Scratch, semi
 from .words import PLAIN, Words, chunks, shingle_sets, shingles
 
 SHINGLE, SHARE, PERMS, RATIO = 5, 0.8, 40, 1.5
@@ -136,8 +136,11 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """docs without the rows whose doc_id holds a benchmark item."""
-    return docs.join(contaminated(docs, items, share).select("doc_id").distinct(), "doc_id", "left_anti")
+    """docs without the rows that hold a benchmark item."""
+    key = F.xxhash64("doc_id", "text")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias("row_key")).distinct()
+    found = Scratch(docs.sparkSession, "decontamination").save(found)
+    return semi(docs.withColumn("row_key", key), found, ["row_key"], "left_anti").drop("row_key").select(docs.columns)
 
 
 _WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch
+from .common import LOWER, SEND, UPPER, Scratch, semi
 from .components import components
-from .repeats import NO_ID, SEND, keyed, signed
+from .repeats import NO_ID, keyed, signed
 from .words import FOLD, Words, chunks, shingles
 
 FREQUENT = 200_000
@@ -206,10 +206,29 @@ def link_sets(sets: list[np.ndarray], pct: int) -> list[int]:
     return [tree.find(k) for k in range(len(sets))]
 
 
-def classes(docs: DataFrame, n: int = 3, share_pct: int = 90, frequent: int = FREQUENT, task_shingles: int = TASK_SHINGLES, send: int = SEND) -> DataFrame:
+def classes(docs: DataFrame, n: int = 3, share_pct: int = 90, **limits) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
-    docs = keyed(docs)
+    back = lambda c: F.when(c < NO_ID, c)
+    d = labelled(keyed(docs), Scratch(docs.sparkSession, "ngram-join"), n, share_pct, **limits)
+    return d.select(back(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.col("least.id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, share_pct: int = 80, **limits) -> DataFrame:
+    """docs with one row of each class, that of the smallest doc_id; rows without words stay."""
+    scratch, columns = Scratch(docs.sparkSession, "ngram-join"), docs.columns
+    d = keyed(docs, tuple(columns))
+    labels = scratch.save(labelled(d, scratch, n, share_pct, **limits))
+    stay = labels.where((F.col("n") == 0) | ((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")))).select("id", "t", "n")
+    out = semi(d, scratch.save(stay.select("id", "t").distinct()), ["id", "t"])
+    again = scratch.save(stay.where("n > 0").groupBy("id", "t").count().where("count > 1").select("id", "t"))
+    if not again.isEmpty():  # rows repeated as a whole
+        out = semi(out, again, ["id", "t"], "left_anti").unionByName(semi(out, again, ["id", "t"]).dropDuplicates(["id", "t"]))
+    return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent: int = FREQUENT, task_shingles: int = TASK_SHINGLES, send: int = SEND) -> DataFrame:
+    """id, t, n (set size) and least (id and t of the class's smallest row) of each row of keyed docs."""
+    spark = docs.sparkSession
     known, counts = word_counts(docs, frequent)
     sent = spark.sparkContext.broadcast((known, counts))
 
@@ -240,11 +259,10 @@ def classes(docs: DataFrame, n: int = 3, share_pct: int = 90, frequent: int = FR
     candidates = components(edges, scratch)
     sets = scratch.save(rows.where("n > 0").groupBy("g").agg(F.min(F.struct("id", "t")).alias("own"), F.first("n").alias("n")).join(candidates.withColumnRenamed("node", "g"), "g").select("g", "n", "own.id", "own.t", "root"))
     links = scratch.save(_links(docs, sets, scratch, n, share_pct, task_shingles, send))
-    labels = rows.join(links.withColumnRenamed("node", "g"), "g", "left").select("id", "n", "g", F.coalesce("root", "g").alias("root"))
-    least = labels.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    out = labels.join(least, "root", "left")
-    back = lambda c: F.when(c < NO_ID, c)
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"))
+    labels = rows.join(links.withColumnRenamed("node", "g"), "g", "left").select("id", "t", "n", F.coalesce("root", "g").alias("root"))
+    least = labels.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "t")).alias("class"))
+    own = F.struct("id", "t")
+    return labels.join(least, "root", "left").select("id", "t", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(own).alias("least"))
 
 
 def _links(docs: DataFrame, sets: DataFrame, scratch: Scratch, n: int, pct: int, task_shingles: int, send: int) -> DataFrame:

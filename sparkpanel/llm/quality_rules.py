@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, whole_text
+from .common import SPACE, Scratch, semi, whole_text
 
 #: Common words by language; fixed values.
 COMMON = {
@@ -103,6 +103,14 @@ def quality_rules(docs: DataFrame, **params) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
+def keep_good(docs: DataFrame, **params) -> DataFrame:
+    """docs without the rows that the rules reject."""
+    key = F.xxhash64("doc_id", "text", "lang")
+    judged = quality_rules(docs.select(key.alias("doc_id"), "text", "lang"), **params)
+    bad = Scratch(docs.sparkSession, "quality").save(judged.where(~F.col("kept")).select(F.col("doc_id").alias("row_key")).distinct())
+    return semi(docs.withColumn("row_key", key), bad, ["row_key"], "left_anti").select(docs.columns)
+
+
 def _sql_js(bins: list[str]) -> str:
     n, m = " + ".join(f"d.{b}" for b in bins), " + ".join(f"r.{b}" for b in bins)
     parts = []

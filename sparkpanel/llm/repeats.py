@@ -22,14 +22,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import SEND, Scratch
 from .words import Words, chunks, mix, shingles
 
 #: Contexts of one inner stretch that are compared in one task; beyond it their windows are counted one by one.
 GROUP = 20_000
-#: Contexts in a bucket, and ids that are broadcast to find the few texts with repeats; beyond it texts are joined.
-BUCKET, SEND = 20_000, 1_000_000
+#: Contexts in a bucket.
+BUCKET = 20_000
 NO_ID = (1 << 63) - 1
 
 
@@ -103,9 +104,9 @@ class Text:
         return text[first], window[first], window[last], at[first]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with id (doc_id, null as the largest) and t (a hash of the text), which tell rows apart."""
-    d = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) with id (doc_id, null as the largest) and t (a hash of the text), which tell rows apart; carried columns as x0, x1 and so on."""
+    d = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c].alias(f"x{i}") for i, c in enumerate(carry)])
     return d.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "t": F.xxhash64("text")})
 
 
@@ -173,10 +174,10 @@ class Repeats:
     whole groups and yields those with repeated windows.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, unit: Unit, name: str, by_owner: bool, group: int = GROUP, bucket: int = BUCKET):
+    def __init__(self, spark: SparkSession, docs: DataFrame, unit: Unit, name: str, by_owner: bool, group: int = GROUP, bucket: int = BUCKET, carry: tuple[str, ...] = ()):
         self.spark, self.unit, self.by_owner, self.group, self.bucket = spark, unit, by_owner, group, bucket
         self.scratch = Scratch(spark, name)
-        self.docs = keyed(docs)
+        self.docs, self.carry = keyed(docs, carry), carry
 
     def contexts(self) -> DataFrame:
         """Anchors with repeated inner units are kept in self.places; returned: one row for each distinct context."""
@@ -260,15 +261,19 @@ class Repeats:
                 spans = [merged(c or []) for c in lists]
                 out = [keep(t.encode("utf-8", "surrogatepass"), c) for t, c in zip(batch.column("text").to_pylist(), spans, strict=True)]
                 columns = [batch.column("doc_id"), batch.column("text"), pa.array([n for n, _ in out], pa.int64()), pa.array([[{"start": a, "stop": z} for a, z in c] for c in spans], span), pa.array([k for _, k in out], pa.binary())]
-                yield pa.record_batch(columns, ["doc_id", "text", "n_units", "spans", "kept"])
+                yield pa.record_batch([*columns, *[batch.column(c) for c in more]], ["doc_id", "text", "n_units", "spans", "kept", *more])
 
-        schema = "doc_id long, text string, n_units long, spans array<struct<start:int,stop:int>>, kept binary"
+        more = [f"x{i}" for i in range(len(self.carry))]
+        own = "doc_id long, text string, n_units long, spans array<struct<start:int,stop:int>>, kept binary"
+        schema = T.StructType([*T.StructType.fromDDL(own).fields, *[self.docs.schema[c] for c in more]])
         keys = cut.select("id", "t")
         if self.small:
-            hit = self._some(keys).join(cut, ["id", "t"]).select("doc_id", "text", "cut")
-            rest = self.docs.join(F.broadcast(keys), ["id", "t"], "left_anti").select("doc_id", "text")
-            return hit.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
-        return self.docs.join(cut, ["id", "t"], "left").select("doc_id", "text", "cut").mapInArrow(run, schema)
+            hit = self._some(keys).join(cut, ["id", "t"]).select("doc_id", "text", "cut", *more)
+            rest = self.docs.join(F.broadcast(keys), ["id", "t"], "left_anti").select("doc_id", "text", *more)
+            out = hit.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+        else:
+            out = self.docs.join(cut, ["id", "t"], "left").select("doc_id", "text", "cut", *more).mapInArrow(run, schema)
+        return out.withColumnsRenamed(dict(zip(more, self.carry, strict=True)))
 
     def found(self, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """r0, k0, id, n, first and last repeated window of each context (null: none); compare does it for whole groups of bounded size."""

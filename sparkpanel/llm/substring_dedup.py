@@ -69,10 +69,10 @@ def compare_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
     return pa.table({"r0": take("r0")[hit], "k0": take("k0")[hit], "id": take("id")[hit], "n": take("n")[hit], "first": some(most), "last": some(least)})
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text, n_units (words), spans of words removed and kept (UTF-8, joined by blanks) of each row of docs (doc_id, text)."""
+def substring_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, group: int = GROUP, bucket: int = BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_units (words), spans of words removed and kept (UTF-8, joined by blanks) of each row of docs (doc_id, text), and the carried columns."""
     unit = Unit(True, width, spread, 3)
-    r = Repeats(docs.sparkSession, docs, unit, "substring-dedup", True, group, bucket)
+    r = Repeats(docs.sparkSession, docs, unit, "substring-dedup", True, group, bucket, carry)
 
     def compare(contexts: DataFrame) -> DataFrame:
         shards, inner = r.buckets(), unit.inner

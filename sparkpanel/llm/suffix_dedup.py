@@ -153,9 +153,9 @@ def compare_bucket(payloads: list[bytes], width: int) -> dict[str, np.ndarray]:
     return {"r0": take("r0")[hit], "k0": take("k0")[hit], "id": take("id")[hit], "n": n[hit], "first": first[hit].astype(np.int32), "last": last[hit].astype(np.int32)}
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text, n_units (bytes), spans removed and kept bytes of each row of docs (doc_id, text)."""
-    r = Repeats(docs.sparkSession, docs, Unit(False, width, spread, 8), "suffix-dedup", False, group, bucket)
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, group: int = GROUP, bucket: int = BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_units (bytes), spans removed and kept bytes of each row of docs (doc_id, text), and the carried columns."""
+    r = Repeats(docs.sparkSession, docs, Unit(False, width, spread, 8), "suffix-dedup", False, group, bucket, carry)
 
     def compare(contexts: DataFrame) -> DataFrame:
         buckets = r.buckets()
