@@ -2,8 +2,9 @@
 
 Two histograms are taken of each document: character classes, and how many words are common words of each of four
 languages. The reference of a language is the sum of the histograms of all documents that state it. A document is
-compared with the reference of its own language by Jensen-Shannon distance (base 2, 0 to 1); below a guard of length
-the distance says nothing and is not used.
+compared with the references of its own language and of the four by Jensen-Shannon distance (base 2, 0 to 1), of which
+the smallest counts, as a document may hold another language than it states; below a guard of length the distance says
+nothing and is not used.
 
 Edge cases: a null or blank text has no words, fails the base rule and has null distances; a null language is a
 language of its own; repeated rows are judged each by itself; other columns are ignored; an empty table gives no rows.
@@ -24,7 +25,7 @@ COMMON = {
     "es": ["el", "los", "las", "y", "del", "se", "por", "con", "para", "su", "al", "lo", "como", "más", "una", "no"],
 }
 SYMBOLS = "#*$%&|<>"
-PARAMS = {"min_words": 10, "max_repeat_pct": 20, "guard_chars": 200, "guard_words": 40, "max_char_js": 0.5, "max_word_js": 0.7}
+PARAMS = {"min_words": 10, "max_repeat_pct": 20, "guard_chars": 200, "guard_words": 40, "max_char_js": 0.32, "max_word_js": 0.22}
 CHARS = ["c_space", "c_symbol", "c_digit", "c_punct", "c_upper", "c_wide", "c_other"]
 WORDS = [f"w_{k}" for k in COMMON] + ["w_other"]
 
@@ -77,12 +78,12 @@ def features(docs: DataFrame) -> DataFrame:
     })
 
 
-def _distance(bins: list[str]) -> Column:
-    """Jensen-Shannon distance of the counts in bins from those in r_<bin>; null where either side is empty."""
-    n, m = sum((F.col(b) for b in bins[1:]), F.col(bins[0])), sum((F.col(f"r_{b}") for b in bins[1:]), F.col(f"r_{bins[0]}"))
+def _distance(bins: list[str], reference: dict[str, Column]) -> Column:
+    """Jensen-Shannon distance of the counts in bins from a reference's; null where either side is empty."""
+    n, m = sum((F.col(b) for b in bins[1:]), F.col(bins[0])), sum((reference[b] for b in bins[1:]), reference[bins[0]])
     parts = []
     for b in bins:
-        p, q = F.try_divide(F.col(b).cast("double"), n), F.try_divide(F.col(f"r_{b}").cast("double"), m)
+        p, q = F.try_divide(F.col(b).cast("double"), n), F.try_divide(reference[b].cast("double"), m)
         parts += [F.when(x > 0, x * F.log2(2 * x / (p + q))).when(x.isNotNull(), 0.0) for x in (p, q)]
     return F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))
 
@@ -92,12 +93,15 @@ def quality_rules(docs: DataFrame, **params) -> DataFrame:
     p = PARAMS | params
     saved = Scratch(docs.sparkSession, "quality").save(features(docs))
     reference = saved.groupBy(F.col("lang").alias("r_lang")).agg(*[F.sum(b).alias(f"r_{b}") for b in CHARS + WORDS])
+    four = [{b: F.lit(r[f"r_{b}"]) for b in CHARS + WORDS} for r in reference.where(F.col("r_lang").isin(list(COMMON))).collect()]
+    four.append({b: F.col(f"r_{b}") for b in CHARS + WORDS})
+    least = lambda bins: F.round(F.array_min(F.array(*[_distance(bins, r) for r in four])), 6)
     d = saved.join(reference, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
     d = d.select(
         "doc_id", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < p["min_words"]) | (100 * F.col("n_repeat_words") > p["max_repeat_pct"] * F.col("n_words"))).alias("base_failed"),
-        F.when(F.col("n_chars_all") >= p["guard_chars"], F.round(_distance(CHARS), 6)).alias("char_js"),
-        F.when(F.col("n_words") >= p["guard_words"], F.round(_distance(WORDS), 6)).alias("word_js"),
+        F.when(F.col("n_chars_all") >= p["guard_chars"], least(CHARS)).alias("char_js"),
+        F.when(F.col("n_words") >= p["guard_words"], least(WORDS)).alias("word_js"),
     )
     far = F.coalesce(F.col("char_js") > p["max_char_js"], F.lit(False)) | F.coalesce(F.col("word_js") > p["max_word_js"], F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -112,12 +116,15 @@ def keep_good(docs: DataFrame, **params) -> DataFrame:
 
 
 def _sql_js(bins: list[str]) -> str:
-    n, m = " + ".join(f"d.{b}" for b in bins), " + ".join(f"r.{b}" for b in bins)
-    parts = []
-    for b in bins:
-        p, q = f"(d.{b}::DOUBLE / nullif({n}, 0))", f"(r.{b}::DOUBLE / nullif({m}, 0))"
-        parts += [f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) WHEN {x} IS NOT NULL THEN 0 END" for x in (p, q)]
-    return f"round(sqrt(greatest(0.0, ({' + '.join(parts)}) / 2)), 6)"
+    def distance(r: str) -> str:
+        n, m = " + ".join(f"d.{b}" for b in bins), " + ".join(f"{r}.{b}" for b in bins)
+        parts = []
+        for b in bins:
+            p, q = f"(d.{b}::DOUBLE / nullif({n}, 0))", f"({r}.{b}::DOUBLE / nullif({m}, 0))"
+            parts += [f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) WHEN {x} IS NOT NULL THEN 0 END" for x in (p, q)]
+        return f"sqrt(CASE WHEN d.{bins[0]} IS NOT NULL THEN greatest(0.0, ({' + '.join(parts)}) / 2) END)"
+
+    return "round(least(" + ", ".join(distance(r) for r in ["r", *[f"r_{k}" for k in COMMON]]) + "), 6)"
 
 
 def _sql() -> str:
@@ -156,7 +163,8 @@ judged AS (
          (d.n_words < {PARAMS["min_words"]} OR 100 * d.n_repeat_words > {PARAMS["max_repeat_pct"]} * d.n_words) AS base_failed,
          CASE WHEN d.n_all >= {PARAMS["guard_chars"]} THEN {_sql_js(CHARS)} END AS char_js,
          CASE WHEN d.n_words >= {PARAMS["guard_words"]} THEN {_sql_js(WORDS)} END AS word_js
-  FROM feat d LEFT JOIN refs r ON d.lang IS NOT DISTINCT FROM r.r_lang)
+  FROM feat d LEFT JOIN refs r ON d.lang IS NOT DISTINCT FROM r.r_lang
+       {" ".join(f"LEFT JOIN refs r_{k} ON r_{k}.r_lang = '{k}'" for k in COMMON)})
 SELECT *, NOT base_failed AND NOT coalesce(char_js > {PARAMS["max_char_js"]}, false) AND NOT coalesce(word_js > {PARAMS["max_word_js"]}, false) AS kept
 FROM judged"""
 
