@@ -1,0 +1,45 @@
+"""The pipeline's stages, each against what its operator says about the rows before it."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from sparkpanel.llm import decontamination, ngram_join, quality_rules, substring_dedup
+from sparkpanel.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, before, SF).write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        kept[name] = docs.count()
+        ids = {r[0] for r in docs.select("doc_id").collect()}
+        if name == "quality_rules":
+            assert ids == {r[0] for r in quality_rules.quality_rules(before).where("kept").select("doc_id").collect()}
+        elif name == "ngram_jaccard_join":
+            assert ids == {r[0] for r in ngram_join.classes(before, 5, 80).select("component_id").collect()}
+        elif name == "substring_dedup":
+            d = substring_dedup.substring_dedup(before)
+            want = {r[0]: r[1] for r in d.select("doc_id", F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))).collect()}
+            assert {r["doc_id"]: r["text"] for r in docs.collect()} == {k: v for k, v in want.items() if v}
+            assert docs.where("n_chars <> length(text)").isEmpty()
+        elif name == "benchmark_decontamination":
+            held = {r[0] for r in decontamination.contaminated(before, table(spark, SF, "benchmark")).select("doc_id").collect()}
+            assert held and ids == {r[0] for r in before.select("doc_id").collect()} - held
+        if k < 4:
+            assert docs.columns == before.columns
+    assert ids == {r[0] for r in before.select("doc_id").collect()}
+    assert all(kept.values())
+
+
+def test_empty_documents(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
