@@ -9,7 +9,13 @@ from __future__ import annotations
 import numpy as np
 
 VOCABULARY_FILE = "word_bpe_49k.json"
-CACHE = 1_000_000
+#: Entries of each of the cache's two generations.
+CACHE = 600_000
+FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Letters and digits to one class, blanks to another, all other ASCII to a third; and what is left when only texts of
+#: ASCII and the letters from U+00C0 to U+00FF are looked at.
+CLASSES = bytes(97 if c >= 128 or chr(c).isalnum() else 32 if c in b" \t\n\x0b\x0c\r" else 46 for c in range(256))
+PLAIN = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
 
 
 def tokenizer_path(name: str = VOCABULARY_FILE) -> str:
@@ -18,17 +24,32 @@ def tokenizer_path(name: str = VOCABULARY_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def unified(text: bytes) -> bytes:
+    """The same ids from fewer different chunks: A-Z lower-cased and, where no two symbols stand together, full stops and commas set apart."""
+    if b"<|" in text:  # could name a special token
+        return text
+    text = text.translate(FOLD)
+    if not text.translate(None, PLAIN) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text and b".." not in text.translate(CLASSES):
+        for stop in (b".", b","):
+            for blank in (b" ", b"\n"):
+                text = text.replace(stop + blank, b" " + stop + b" ")
+    return text
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library; the cache is emptied when it is full, which changes speed only."""
+    """Encodes texts with the tokenizers library. The cache has two generations: a full one takes the other's place, and
+    chunks that are met again move back; its size changes speed only."""
 
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.stops = {x: self._ids(x) for x in ".,"} | {"": b""}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -42,48 +63,52 @@ class Encoder:
 
     def _learn(self, new: set[bytes]) -> None:
         """Put the ids of new chunks into the cache."""
-        parts: dict[bytes, tuple[bytes, str]] = {}
-        words: dict[bytes, str] = {}
-        known = self.known
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, words = self.known, self.older, []
         for b in new:
+            if (ids := older.get(b)) is not None:
+                known[b] = ids
+                continue
             c = b.decode("utf-8", "replace")
-            # Latin-1 letters lower-case one by one and are in composed form, as the tokenizer's own normaliser leaves them
-            if max(c) >= "Ā" or "<|" in c:
+            # words of letters that the tokenizer takes as one piece each and whose ends it marks
+            if max(c) < "Ā" and c.isalpha() and "ª" not in c and "º" not in c and "µ" not in c:
+                words.append((b, c))
+            else:
                 known[b] = self._ids(c)
+        step = 128
+        groups = [words[k : k + step] for k in range(0, len(words), step)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(c for _, c in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.kind)
+            ends = (np.nonzero(self.last[ids])[0] + 1).tolist()
+            if len(ends) != len(group):
+                known.update((b, self._ids(c)) for b, c in group)
                 continue
-            stop = c[-1] if c[-1] in ".," and c[-2:-1].isalpha() else ""
-            word = c[: len(c) - len(stop)].lower()
-            parts[b] = base, _ = word.encode(), stop
-            if base not in known:
-                words[base] = word
-        keys, todo, step = list(words), list(words.values()), 64
-        for k in range(0, len(todo), 64 * step):
-            groups = [todo[i : i + step] for i in range(k, min(len(todo), k + 64 * step), step)]
-            for j, got in enumerate(self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-                starts, at = [], 0
-                for w in groups[j]:
-                    starts.append(at)
-                    at += len(w) + 1
-                cut = np.searchsorted([o[0] for o in got.offsets], starts).tolist() + [len(got.ids)]
-                ids = np.array(got.ids, self.kind).tobytes()
-                size, i = self.kind.itemsize, k + j * step
-                for n in range(len(groups[j])):
-                    known[keys[i + n]] = ids[cut[n] * size : cut[n + 1] * size]
-        stops = self.stops
-        for b, (base, stop) in parts.items():
-            known[b] = known[base] + stops[stop]
+            data, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for (b, _), end in zip(group, ends, strict=True):
+                known[b] = data[at * size : end * size]
+                at = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        out = []
-        chunks = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*chunks).difference(self.known)
+        return [x for k in range(0, len(texts), 256) for x in self._encode(texts[k : k + 256])]
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        get, todo, new = self.known.get, [], set()
+        for t in texts:
+            chunks = unified((t or "").encode("utf-8", "surrogatepass")).split()
+            ids = list(map(get, chunks))
+            if None in ids:
+                new.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
+                todo.append((chunks, ids))
+            else:
+                todo.append((None, ids))
         if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = set().union(*chunks)
             self._learn(new)
-        known = self.known
-        for c in chunks:
-            out.append(np.frombuffer(b"".join([known[w] for w in c]), self.kind))
+            get, older = self.known.get, self.older.get
+        out = []
+        for chunks, ids in todo:
+            if chunks is not None:
+                ids = [i if i is not None else get(c) or older(c, b"") for c, i in zip(chunks, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
