@@ -32,10 +32,10 @@ def tree_parent(nodes: DataFrame) -> DataFrame:
     """parent of each node (code, title, level): section to the sector whose letters hold it, subdivision to its section, else its sector, else the total."""
     letter = F.substring("title", 1, 1)
     sectors = nodes.where("level = 'sector'").select(F.col("code").alias("sector_code"), F.explode(range_letters(F.col("title"))).alias("letter"))
-    sections = nodes.where("level = 'section'").select(F.col("code").alias("section_code"), letter.alias("letter"))
+    sections = nodes.where("level = 'section'").groupBy(letter.alias("section_letter")).agg(F.min("code").alias("section_code"))
     root = nodes.where("level = 'total'").agg(F.coalesce(F.min("code"), F.lit("root")).alias("root_code"))
     own: Column = F.when(F.col("level") == "section", letter).when(F.col("level") == "subdivision", section_of_division(F.regexp_extract("title", "^([0-9]+)", 1).try_cast("int")))
-    d = nodes.withColumn("letter", own).join(sections, "letter", "left").join(sectors, "letter", "left").crossJoin(F.broadcast(root))
+    d = nodes.withColumn("letter", own).withColumn("section_letter", F.when(F.col("level") == "subdivision", F.col("letter"))).join(sections, "section_letter", "left").join(sectors, "letter", "left").crossJoin(F.broadcast(root))
     parent = F.when(F.col("level") == "total", None).when(F.col("level") == "section", F.coalesce("sector_code", "root_code")).when(F.col("level") == "subdivision", F.coalesce("section_code", "sector_code", "root_code")).otherwise(F.col("root_code"))
     return d.select("code", "title", "level", parent.alias("parent"))
 
