@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from ..functions.text import group_label
 from ..operators.reshape import META
 
-CANONICAL = T.StructType.fromDDL(
-    "model_name string, sector_code string, origin_date date, target_date date, horizon int, y_true double, y_pred double, "
-    "y_lower_80 double, y_upper_80 double, y_lower_95 double, y_upper_95 double"
+_TEXT, _DATE, _NUMBER = T.StringType(), T.DateType(), T.DoubleType()
+CANONICAL = T.StructType(
+    [T.StructField(n, t) for n, t in (("model_name", _TEXT), ("sector_code", _TEXT), ("origin_date", _DATE), ("target_date", _DATE), ("horizon", T.IntegerType()), ("y_true", _NUMBER), ("y_pred", _NUMBER))]
+    + [T.StructField(n, _NUMBER) for n in ("y_lower_80", "y_upper_80", "y_lower_95", "y_upper_95")]
 )
 
 
