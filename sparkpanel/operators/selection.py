@@ -80,3 +80,25 @@ def group_by_category(survivors: DataFrame, origin: DataFrame, registry: DataFra
 def dedupe_presets(presets: DataFrame) -> DataFrame:
     """Presets (name, columns) with equal sets of columns; the first name stays."""
     return presets.groupBy(F.array_sort(F.array_distinct("columns")).alias("columns")).agg(F.min("name").alias("name"), F.count("*").alias("n_same"))
+
+
+def partition_candidates(features: DataFrame, origin: DataFrame, yearly_tables: list[str], prefix: str = "y_") -> DataFrame:
+    """feature and reason: yearly_prefix, unknown_origin, yearly_origin or candidate. features (feature), origin (column, table_id)."""
+    d = features.join(origin.select(F.col("column").alias("feature"), "table_id"), "feature", "left")
+    reason = F.when(F.col("feature").startswith(prefix), "yearly_prefix").when(F.col("table_id").isNull(), "unknown_origin").when(F.col("table_id").isin(yearly_tables), "yearly_origin").otherwise("candidate")
+    return d.select("feature", reason.alias("reason"))
+
+
+def propose_groups(features: DataFrame, prefix: Column, merge: dict[str, str]) -> DataFrame:
+    """group and its columns: features (feature) by prefix, prefixes merged by a map."""
+    name = prefix
+    for a, b in merge.items():
+        name = F.when(prefix == a, b).otherwise(name)
+    return features.groupBy(name.alias("group")).agg(F.array_sort(F.collect_list("feature")).alias("columns"))
+
+
+def validate_groups(groups: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Groups (group, columns) with surviving columns only, and the survivors of no group as `ungrouped`."""
+    g = groups.select("group", F.explode("columns").alias("feature"))
+    d = survivors.select("feature").join(g, "feature", "left")
+    return d.groupBy(F.coalesce("group", F.lit("ungrouped")).alias("group")).agg(F.array_sort(F.collect_set("feature")).alias("columns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ def with_frames(sql: str) -> str:
                 need.append(name)
 
     add(sql)
-    strip = lambda text: __import__("re").sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in CTES else m[0], text)
+    strip = lambda text: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in CTES else m[0], text)
     sql = strip(sql)
     if not need:
         return sql
