@@ -7,11 +7,13 @@ least share_pct per cent of the union. Shingles and sets are held as 64-bit dige
 1. All sets are put into one global order, rarest shingle first; rarity is estimated from the counts of a shingle's
    words, of which the `FREQUENT` most frequent ones are known exactly. Any order gives the same result.
 2. Linked sets share a shingle among the first |set| - ceil(share * |set|) + 1 of that order. Equal sets count once.
-   Prefix shingles that two different sets have join these sets into candidate classes, each closed under linking.
+   Up to `PAIRED` sets with a common prefix shingle are paired, and a pair stays if sizes, places of the shingle and the
+   parity bitmaps of the sets (which differ in no more bits than the sets differ in shingles) allow the link. More sets
+   with a common prefix shingle are joined by bands of size instead. This gives candidate classes closed under linking.
 3. The sets of a class go to one task, where they are stored in a prefix tree, most frequent shingle first, so that
    alike sets share their paths. A set is looked up before it is put in: overlaps are summed up once for each shared
-   path, and subtrees are left out where the shingles that remain on either side can't reach the overlap needed, or all
-   of whose sets are already in the set's class.
+   path, and subtrees are left out where the shingles that remain on either side can't reach the overlap needed, where
+   no set's size and parity bitmap allow the link, or all of whose sets are already in the set's class.
 4. A candidate class that is too large for a task is cut into blocks by set size, and each pair of blocks whose sizes
    can link is a task; links of all tasks are then joined into classes.
 
@@ -34,6 +36,8 @@ from .repeats import NO_ID, keyed, signed
 from .words import FOLD, Words, chunks, shingles
 
 FREQUENT = 200_000
+#: Sets of one prefix shingle that are paired; 64-bit words of a parity bitmap.
+PAIRED, BITMAP = 8, 16
 #: Shingles in the sets that one task compares.
 TASK_SHINGLES = 4_000_000
 
@@ -96,6 +100,12 @@ def digest(shingle_set: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(np.sort(shingle_set).tobytes()))
 
 
+def parity(shingle_set: np.ndarray) -> list[int]:
+    """Bitmap of which bits an odd number of the set's shingles fall on."""
+    at = (shingle_set >> np.uint64(20)) % np.uint64(64 * BITMAP)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1 != 0).view(np.int64).tolist()
+
+
 def prefix_length(size: int, pct: int) -> int:
     """Shingles of the global order among which every linked set has one too."""
     return size - -(-pct * size // 100) + 1
@@ -106,10 +116,10 @@ def enough(shared: int, a: int, b: int, pct: int) -> bool:
 
 
 class _Node:
-    __slots__ = ("label", "children", "sets", "most", "least", "depth", "one", "mixed")
+    __slots__ = ("label", "children", "sets", "most", "least", "depth", "one", "mixed", "up")
 
-    def __init__(self, label: np.ndarray, depth: int):
-        self.label, self.children, self.sets, self.depth = label, {}, [], depth  # depth: shingles on the path, with its own
+    def __init__(self, label: np.ndarray, depth: int, up: _Node | None):
+        self.label, self.children, self.sets, self.depth, self.up = label, {}, [], depth, up  # depth: shingles on the path, with its own
         self.most, self.least, self.one, self.mixed = 0, 1 << 62, -1, False
 
 
@@ -117,8 +127,8 @@ class PrefixTree:
     """Sets as paths of token numbers in ascending order; links of a new set with those stored."""
 
     def __init__(self, tokens: int, pct: int, n: int):
-        self.pct, self.root, self.up, self.mark = pct, _Node(np.zeros(0, np.int64), 0), list(range(n)), np.zeros(tokens, bool)
-        self.sizes: dict[int, int] = {}
+        self.pct, self.root, self.up, self.mark = pct, _Node(np.zeros(0, np.int64), 0, None), list(range(n)), np.zeros(tokens, bool)
+        self.sizes, self.bits, self.ends = np.zeros(n, np.int64), np.zeros((n, BITMAP), np.uint64), [self.root] * n
 
     def find(self, k: int) -> int:
         while self.up[k] != k:
@@ -136,9 +146,25 @@ class PrefixTree:
             node.mixed = False
         return self.find(node.one) == self.find(k)
 
-    def link(self, k: int, x: np.ndarray) -> None:
-        """Join the class of set k, whose sorted tokens are x, with those of the stored sets it links with."""
+    def _open(self, k: int, size: int, bits: np.ndarray) -> set[_Node]:
+        """Nodes above sets that size and bitmap allow set k to link with."""
+        sizes, pct = self.sizes[:k], self.pct
+        near = np.nonzero((100 * np.minimum(sizes, size) >= pct * np.maximum(sizes, size)) & (sizes > 0))[0]
+        differ = np.bitwise_count(self.bits[near] ^ bits).sum(axis=1, dtype=np.int64)
+        out: set[_Node] = set()
+        for s in near[differ * (100 + pct) <= (sizes[near] + size) * (100 - pct)].tolist():
+            node = self.ends[s]
+            while node is not None and node not in out:
+                out.add(node)
+                node = node.up
+        return out
+
+    def link(self, k: int, x: np.ndarray, bits: np.ndarray) -> None:
+        """Join the class of set k, whose sorted tokens are x, with those of the stored sets (0 to k - 1) it links with."""
         size, pct = len(x), self.pct
+        allowed = self._open(k, size, bits)
+        if not allowed:
+            return
         self.mark[x] = True
         todo = [(self.root, 0)]
         while todo:
@@ -150,7 +176,7 @@ class PrefixTree:
                     self.up[self.find(s)] = self.find(k)
             near = []
             for child in node.children.values():
-                if self._settled(child, k) or 100 * min(size, child.most) < pct * max(size, child.least):
+                if child not in allowed or self._settled(child, k) or 100 * min(size, child.most) < pct * max(size, child.least):
                     continue
                 got = shared + int(np.count_nonzero(self.mark[child.label]))
                 # what can still be shared: by the longest set below, and by the tokens of x that come later
@@ -161,8 +187,9 @@ class PrefixTree:
             todo += [(c, got) for got, c in near]
         self.mark[x] = False
 
-    def insert(self, k: int, x: np.ndarray) -> None:
+    def insert(self, k: int, x: np.ndarray, bits: np.ndarray) -> None:
         self.sizes[k] = size = len(x)
+        self.bits[k] = bits
         node, at = self.root, 0
         while True:
             node.most, node.least = max(node.most, size), min(node.least, size)
@@ -172,10 +199,11 @@ class PrefixTree:
                 node.mixed = True
             if at == size:
                 node.sets.append(k)
+                self.ends[k] = node
                 return
             child = node.children.get(int(x[at]))
             if child is None:
-                child = node.children[int(x[at])] = _Node(x[at:], size)
+                child = node.children[int(x[at])] = _Node(x[at:], size, node)
                 at = size
                 node = child
                 continue
@@ -183,10 +211,10 @@ class PrefixTree:
             differ = np.nonzero(child.label[:n] != x[at : at + n])[0]
             n = int(differ[0]) if len(differ) else n
             if n < len(child.label):  # split the path
-                upper = _Node(child.label[:n], node.depth + n)
+                upper = _Node(child.label[:n], node.depth + n, node)
                 upper.most, upper.least, upper.one, upper.mixed = child.most, child.least, child.one, child.mixed
                 upper.children[int(child.label[n])] = child
-                child.label = child.label[n:]
+                child.label, child.up = child.label[n:], upper
                 node.children[int(x[at])] = child = upper
             node, at = child, at + n
 
@@ -201,8 +229,9 @@ def link_sets(sets: list[np.ndarray], pct: int) -> list[int]:
     paths = [np.sort(x) for x in np.split(number[at], np.cumsum([len(s) for s in sets])[:-1])]
     tree = PrefixTree(len(tokens), pct, len(sets))
     for k, x in enumerate(paths):
-        tree.link(k, x)
-        tree.insert(k, x)
+        bits = np.array(parity(sets[k]), np.int64).view(np.uint64)
+        tree.link(k, x, bits)
+        tree.insert(k, x, bits)
     return [tree.find(k) for k in range(len(sets))]
 
 
@@ -232,6 +261,9 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
     known, counts = word_counts(docs, frequent)
     sent = spark.sparkContext.broadcast((known, counts))
 
+    names = ["id", "t", "n", "g", "bits", "token", "place"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32()]
+
     def read(batches):
         """Rows of documents (token null) and of prefix shingles (id null)."""
         known, counts = sent.value
@@ -240,24 +272,27 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
             for part in chunks(batch.column("text").to_pylist()):
                 sets = ordered_sets(Words([b for _, b in part], FOLD), n, known, counts)
                 own = [digest(s) for s in sets]
-                yield pa.record_batch([pa.array([ids[i] for i, _ in part]), pa.array([ts[i] for i, _ in part]), pa.array([len(s) for s in sets], pa.int32()), pa.array(own, pa.int64()), pa.nulls(len(part), pa.int64())], names)
-                first = {g: s[: prefix_length(len(s), share_pct)] for g, s in zip(own, sets, strict=True) if len(s)}
+                columns = [[ids[i] for i, _ in part], [ts[i] for i, _ in part], [len(s) for s in sets], own, [parity(s) for s in sets], [None] * len(part), [None] * len(part)]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                first = {g: s for g, s in zip(own, sets, strict=True) if len(s)}
                 if first:
-                    g = np.repeat(np.array(list(first), np.int64), [len(s) for s in first.values()])
-                    tokens = np.concatenate(list(first.values())).view(np.int64)
-                    yield pa.record_batch([pa.nulls(len(g), pa.int64())] * 2 + [pa.nulls(len(g), pa.int32()), pa.array(g), pa.array(tokens)], names)
-
-    names = ["id", "t", "n", "g", "token"]
-    seen = scratch.save(docs.select("id", "t", "text").mapInArrow(read, "id long, t long, n int, g long, token long"))
-    postings = seen.where("token IS NOT NULL").select("token", "g")
-    rows = seen.where("token IS NULL").select("id", "t", "n", "g")
-    # the smallest set with a prefix shingle stands for it: others are joined to it
-    shared = scratch.save(postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a <> z").select("token", "a"))
+                    sizes = [prefix_length(len(s), share_pct) for s in first.values()]
+                    g, size = np.repeat(np.array(list(first), np.int64), sizes), np.repeat(np.array([len(s) for s in first.values()], np.int32), sizes)
+                    tokens = np.concatenate([s[:k] for s, k in zip(first.values(), sizes, strict=True)]).view(np.int64)
+                    place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                    yield pa.record_batch([pa.nulls(len(g), kinds[0]), pa.nulls(len(g), kinds[1]), pa.array(size), pa.array(g), pa.nulls(len(g), kinds[4]), pa.array(tokens), pa.array(place)], names)
+
+    seen = scratch.save(docs.select("id", "t", "text").mapInArrow(read, "id long, t long, n int, g long, bits array<long>, token long, place int"))
+    scratch.sweep()
+    postings = seen.where("token IS NOT NULL").select("token", "g", "n", "place")
+    rows = seen.where("token IS NULL").select("id", "t", "n", "g", "bits")
+    shared = scratch.save(postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a <> z").select("token"))
     scratch.sweep()
-    edges = scratch.save(postings.join(shared, "token").where("g <> a").select("a", F.col("g").alias("b")).distinct())
+    common = scratch.save(postings.join(shared, "token", "left_semi").dropDuplicates(["token", "g"]))
     scratch.sweep()
+    edges = scratch.save(_edges(common, rows, scratch, share_pct))
     candidates = components(edges, scratch)
-    sets = scratch.save(rows.where("n > 0").groupBy("g").agg(F.min(F.struct("id", "t")).alias("own"), F.first("n").alias("n")).join(candidates.withColumnRenamed("node", "g"), "g").select("g", "n", "own.id", "own.t", "root"))
+    sets = scratch.save(rows.where("n > 0").groupBy("g").agg(F.min(F.struct("id", "t")).alias("own"), F.min("n").alias("n")).join(candidates.withColumnRenamed("node", "g"), "g").select("g", "n", "own.id", "own.t", "root"))
     links = scratch.save(_links(docs, sets, scratch, n, share_pct, task_shingles, send))
     labels = rows.join(links.withColumnRenamed("node", "g"), "g", "left").select("id", "t", "n", F.coalesce("root", "g").alias("root"))
     least = labels.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "t")).alias("class"))
@@ -265,60 +300,70 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
     return labels.join(least, "root", "left").select("id", "t", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(own).alias("least"))
 
 
+def _edges(common: DataFrame, rows: DataFrame, scratch: Scratch, pct: int) -> DataFrame:
+    """a, b: pairs of sets that may link, or chains that hold such pairs, from the prefix shingles (token, g, n, place) that sets share."""
+    sizes = scratch.save(common.groupBy("token").count())
+    few = common.join(sizes.where(F.col("count") <= PAIRED), "token").groupBy("token").agg(F.collect_list(F.struct("g", "n", "place")).alias("own"))
+    pairs = few.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y")).where("x.g < y.g")
+    total, x, y = F.col("x.n") + F.col("y.n"), F.col("x"), F.col("y")
+    fits = (100 * F.least(x["n"], y["n"]) >= pct * F.greatest(x["n"], y["n"])) & ((x["place"] + y["place"]) * (100 + pct) <= total * (100 - pct))
+    pairs = pairs.where(fits).select(x["g"].alias("a"), y["g"].alias("b"), total.alias("total")).distinct()
+    bits = rows.where("n > 0").select("g", "bits").dropDuplicates(["g"])
+    pairs = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, v: k + v)
+    pairs = pairs.where(differ * (100 + pct) <= F.col("total") * (100 - pct)).select("a", "b")
+    # sets that link are in one band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))).cast("int")
+    many = common.join(sizes.where(F.col("count") > PAIRED).select("token"), "token", "left_semi").select("token", band.alias("band"), "g")
+    first = scratch.save(many.groupBy("token", "band").agg(F.min("g").alias("a")))
+    star = many.join(first, ["token", "band"]).where("g <> a").select("a", F.col("g").alias("b"))
+    chain = first.join(first.select("token", (F.col("band") + 1).alias("band"), F.col("a").alias("b")), ["token", "band"]).select("a", "b")
+    return pairs.unionByName(star).unionByName(chain).distinct()
+
+
 def _links(docs: DataFrame, sets: DataFrame, scratch: Scratch, n: int, pct: int, task_shingles: int, send: int) -> DataFrame:
     """node, root: classes of the candidate sets (g, n, id, t, root)."""
     sizes = sets.groupBy("root").agg(F.sum("n").alias("total"))
     tasks = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // task_shingles))
-    # size classes of a large candidate class: its blocks are spread within each, and only classes that can link are paired
     large = scratch.save(sizes.where(F.col("total") > task_shingles))
-    keys = sets.select("id", "t", "g")
-    small = sets.count() <= send
-    d = docs.select("id", "t", "text").join(F.broadcast(keys) if small else keys, ["id", "t"])
-
-    def read(batches):
-        done: set[int] = set()
-        for batch in batches:
-            gs = batch.column("g").to_pylist()
-            for part in chunks(batch.column("text").to_pylist()):
-                found = []
-                for (i, _), s in zip(part, ordered_sets(Words([b for _, b in part], FOLD), n, np.zeros(0, np.uint64), np.zeros(0)), strict=True):
-                    if gs[i] not in done:
-                        done.add(gs[i])
-                        found.append((gs[i], np.sort(s).tobytes()))
-                if found:
-                    yield pa.record_batch([pa.array([g for g, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["g", "tokens"])
-
-    read_sets = d.select("g", "text").mapInArrow(read, "g long, tokens binary")
+    split = not large.isEmpty()
+    if not split:
+        placed = sets.select("g", "id", "t", "root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("string").alias("task"))
+    else:
+        # a block has half a task's shingles; blocks of one band of sizes or of neighbouring bands meet in pairs
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))).cast("int")
+        banded = sets.join(large, "root", "left").select("g", "id", "t", "root", "n", "total", band.alias("band"))
+        few = banded.where("total IS NULL").select("g", "id", "t", "root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("string").alias("task"))
+        many = banded.where("total IS NOT NULL")
+        blocks = many.groupBy("root", "band").agg(F.ceil(F.sum("n") * 2 / task_shingles).cast("int").alias("blocks"))
+        near = blocks.select("root", F.col("band").alias("other"), F.col("blocks").alias("others"))
+        own = many.join(blocks, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+        met = own.join(near, "root").where(F.abs(F.col("band") - F.col("other")) <= 1).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        here, there = F.format_string("%d.%d", "band", "block"), F.format_string("%d.%d", "other", "with")
+        placed = few.unionByName(met.select("g", "id", "t", "root", F.concat_ws(":", F.lit("pair"), F.col("root").cast("string"), F.least(here, there), F.greatest(here, there)).alias("task")))
+    # the texts travel, once to each task that needs them: they are smaller than the sets
+    placed = placed.groupBy("id", "t", "g", "root").agg(F.collect_set("task").alias("tasks"))
+    d = semi(docs.select("id", "t", "text"), sets.select("id", "t"), ["id", "t"]).join(placed, ["id", "t"])
+    d = d.select("g", "root", F.explode("tasks").alias("task"), "text")
 
     def join(table: pa.Table) -> pa.Table:
-        rows: dict[tuple[int, str], dict[int, bytes]] = {}
-        for g, root, task, tokens in zip(*(table.column(c).to_pylist() for c in ("g", "root", "task", "tokens")), strict=True):
-            rows.setdefault((root, task), {})[g] = tokens
+        rows: dict[int, dict[int, np.ndarray]] = {}
+        gs, roots = table.column("g").to_pylist(), table.column("root").to_pylist()
+        for part in chunks(table.column("text").to_pylist()):
+            for (i, _), s in zip(part, ordered_sets(Words([b for _, b in part], FOLD), n, np.zeros(0, np.uint64), np.zeros(0)), strict=True):
+                rows.setdefault(roots[i], {})[gs[i]] = s
         node, to = [], []
         for own in rows.values():
-            gs = sorted(own)
-            found = link_sets([np.frombuffer(own[g], np.uint64) for g in gs], pct)
-            node += gs
-            to += [gs[k] for k in found]
+            names = sorted(own)
+            found = link_sets([own[g] for g in names], pct)
+            node += names
+            to += [names[k] for k in found]
         return pa.table({"a": pa.array(node, pa.int64()), "b": pa.array(to, pa.int64())})
 
-    if large.isEmpty():
-        placed = sets.select("g", "root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("string").alias("task"))
-        joined = read_sets.join(placed, "g").groupBy("task").applyInArrow(join, "a long, b long")
-        return joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    step = 1.0 / (pct / 100)
-    banded = sets.join(large, "root", "left").select("g", "root", "n", "total", F.floor(F.log(F.col("n").cast("double")) / float(np.log(step))).cast("int").alias("band"))
-    few = banded.where("total IS NULL").select("g", "root", F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("string").alias("task"))
-    # a block has half a task's shingles; blocks of one band or of neighbouring bands meet in pairs
-    many = banded.where("total IS NOT NULL")
-    blocks = many.groupBy("root", "band").agg(F.ceil(F.sum("n") * 2 / task_shingles).cast("int").alias("blocks"))
-    near = blocks.select("root", F.col("band").alias("other"), F.col("blocks").alias("others"))
-    own = many.join(blocks, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    met = own.join(near, "root").where(F.abs(F.col("band") - F.col("other")) <= 1).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    here, there = F.format_string("%d.%d", "band", "block"), F.format_string("%d.%d", "other", "with")
-    pairs = met.select("g", "root", F.concat_ws(":", F.lit("pair"), F.col("root").cast("string"), F.least(here, there), F.greatest(here, there)).alias("task"))
-    joined = read_sets.join(few.unionByName(pairs), "g").groupBy("task").applyInArrow(join, "a long, b long")
-    return components(scratch.save(joined), scratch)
+    joined = d.groupBy("task").applyInArrow(join, "a long, b long")
+    if split:
+        return components(scratch.save(joined), scratch)
+    return joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 SQL = f"""
