@@ -34,18 +34,23 @@ END, MAGIC, BLOCK_IDS, ROUNDS, AT_LEAST = 1, b"RPG1", 1 << 19, 5, 8
 def compress(ids: np.ndarray, free: int, rounds: int = ROUNDS, at_least: int = AT_LEAST) -> bytes:
     """The payload of a block; free: the first symbol that no id uses."""
     seq, left, right, size = ids.astype(np.uint32), [], [], []
-    limit = (1 << 16) - free if free < 1 << 16 else (1 << 31) - free
+    half = 16 if free < 1 << 16 else 32
+    limit = (1 << (16 if half == 16 else 31)) - free
     for _ in range(rounds):
         if len(seq) < 2 or len(left) >= limit:
             break
-        codes = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        pairs, counts = np.unique(codes, return_counts=True)
+        # symbols of 16 bits make codes of 32, which sort faster
+        codes = seq[:-1] << np.uint32(16) | seq[1:] if half == 16 else seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        order = np.sort(codes)
+        starts = np.concatenate([[0], np.nonzero(order[1:] != order[:-1])[0] + 1])
+        pairs, counts = order[starts], np.diff(starts, append=len(order))
         often = np.nonzero(counts >= at_least)[0]
         if not len(often):
             break
         often = often[np.argsort(-counts[often], kind="stable")][:8192]
         lefts, rights, chosen = set(), set(), []
-        for x, y in zip((pairs[often] >> np.uint64(32)).tolist(), (pairs[often] & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+        for code in pairs[often].tolist():
+            x, y = code >> half, code & ((1 << half) - 1)
             if x != y and x not in rights and y not in lefts and len(left) + len(chosen) < limit:
                 lefts.add(x)
                 rights.add(y)
@@ -53,8 +58,9 @@ def compress(ids: np.ndarray, free: int, rounds: int = ROUNDS, at_least: int = A
         if not chosen:
             break
         new = {p: free + len(left) + i for i, p in enumerate(chosen)}
-        keys = np.array(sorted(x << 32 | y for x, y in new), np.uint64)
-        names = np.array([new[int(k) >> 32, int(k) & 0xFFFFFFFF] for k in keys], np.uint32)
+        in_order = sorted(new)
+        keys = np.array([x << half | y for x, y in in_order], codes.dtype)
+        names = np.array([new[p] for p in in_order], np.uint32)
         is_left, is_right = np.zeros(free + len(left) + 1, bool), np.zeros(free + len(left) + 1, bool)
         is_left[list(lefts)], is_right[list(rights)] = True, True
         at = np.nonzero(is_left[seq[:-1]] & is_right[seq[1:]])[0]
@@ -92,6 +98,8 @@ class Block:
         rule = self.seq >= self.free
         each[rule] = self.size[self.seq[rule] - self.free]
         self.ends = np.cumsum(each)
+        # expansions of all rules, one after another
+        self.flat, self.at = self._expanded(np.arange(self.free, self.free + rules)), np.cumsum(self.size) - self.size
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
@@ -103,6 +111,16 @@ class Block:
         a, b = np.searchsorted(self.ends, [start, stop - 1], "right")
         before = int(self.ends[a - 1]) if a else 0
         seq = self.seq[a : b + 1]
+        rule = seq >= self.free
+        own = seq[rule] - self.free
+        each, source = np.ones(len(seq), np.int64), np.arange(len(seq)) + len(self.flat)
+        each[rule], source[rule] = self.size[own], self.at[own]
+        ends = np.cumsum(each)
+        out = np.concatenate([self.flat, seq])[np.repeat(source - (ends - each), each) + np.arange(ends[-1])]
+        return out[start - before : stop - before].astype(np.uint32)
+
+    def _expanded(self, seq: np.ndarray) -> np.ndarray:
+        """Symbols with every rule replaced by its sides until only ids are left."""
         while (rule := seq >= self.free).any():
             at = np.cumsum(1 + rule) - (1 + rule)
             out = np.empty(len(seq) + int(rule.sum()), np.int64)
@@ -110,7 +128,7 @@ class Block:
             own = seq[rule] - self.free
             out[at[rule]], out[at[rule] + 1] = self.left[own], self.right[own]
             seq = out
-        return seq[start - before : stop - before].astype(np.uint32)
+        return seq
 
 
 def write_blocks(docs: DataFrame, scratch: Scratch, path: str, end: int = END, block_ids: int = BLOCK_IDS) -> DataFrame:
