@@ -183,7 +183,8 @@ class Repeats:
         """Anchors with repeated inner units are kept in self.places; returned: one row for each distinct context."""
         found = self.scratch.save(find_anchors(self.docs, self.unit))
         many = F.min("id") < F.max("id") if self.by_owner else F.count("*") > 1
-        often = found.groupBy("r0").agg(many.alias("many")).where("many").select("r0")
+        # saved, so that both sides of the join are plain exchanges and a frequent stretch can be split over tasks
+        often = self.scratch.save(found.groupBy("r0").agg(many.alias("many")).where("many").select("r0"))
         self.places = self.scratch.save(found.join(often, "r0", "left_semi"))
         self.scratch.drop(found)
         self.scratch.sweep()
