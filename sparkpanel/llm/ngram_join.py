@@ -5,7 +5,7 @@ shingles (with fewer words the whole sequence; without words nothing). Two docum
 least share_pct per cent of the union. Shingles and sets are held as 64-bit digests.
 
 1. All sets are put into one global order, rarest shingle first; rarity is estimated from the counts of a shingle's
-   words, of which the `FREQUENT` most frequent ones are known exactly. Any order gives the same result.
+   words, of which up to `FREQUENT` of the most frequent ones are known exactly. Any order gives the same result.
 2. Linked sets share a shingle among the first |set| - ceil(share * |set|) + 1 of that order. Equal sets count once.
    Up to `PAIRED` sets with a common prefix shingle are paired, and a pair stays if sizes, places of the shingle and the
    parity bitmaps of the sets (which differ in no more bits than the sets differ in shingles) allow the link. More sets
@@ -35,15 +35,15 @@ from .components import components
 from .repeats import NO_ID, keyed, signed
 from .words import FOLD, Words, chunks, shingles
 
-FREQUENT = 200_000
+FREQUENT = 1_000_000
 #: Sets of one prefix shingle that are paired; 64-bit words of a parity bitmap.
 PAIRED, BITMAP = 8, 16
 #: Shingles in the sets that one task compares.
 TASK_SHINGLES = 4_000_000
 
 
-def word_counts(docs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent words; at most `frequent` of them come to the driver."""
+def word_counts(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent words, words met once in a task aside; at most `frequent` of them come to the driver."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -70,9 +70,17 @@ def word_counts(docs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndarray,
         if held:
             yield rows()
 
-    d = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = d.orderBy(F.desc("n"), "w").limit(frequent).toPandas()
-    h, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    d = scratch.save(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    # the smallest count that leaves no more than `frequent` words; counts above 1000 stand together
+    least, have = 1, 0
+    for r in sorted(d.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), key=lambda r: -r["n"]):
+        have += r["count"]
+        if have > frequent:
+            least = r["n"] + 1
+            break
+    top = d.where(F.col("n") >= least).limit(frequent).toArrow()
+    h, n = top.column("w").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    scratch.drop(d)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -258,7 +266,7 @@ def one_of_each(docs: DataFrame, n: int = 5, share_pct: int = 80, **limits) -> D
 def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent: int = FREQUENT, task_shingles: int = TASK_SHINGLES, send: int = SEND) -> DataFrame:
     """id, t, n (set size) and least (id and t of the class's smallest row) of each row of keyed docs."""
     spark = docs.sparkSession
-    known, counts = word_counts(docs, frequent)
+    known, counts = word_counts(docs, scratch, frequent)
     sent = spark.sparkContext.broadcast((known, counts))
 
     names = ["id", "t", "n", "g", "bits", "token", "place"]
