@@ -43,7 +43,7 @@ TASK_SHINGLES = 4_000_000
 
 
 def word_counts(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent words, words met once in a task aside; at most `frequent` of them come to the driver."""
+    """Hashes (sorted) and counts of the most frequent words; at most `frequent` of them come to the driver."""
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -56,8 +56,7 @@ def word_counts(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) ->
         def rows():
             fold()
             h, n = held[0]
-            often = n > 1
-            return pa.record_batch([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["w", "n"])
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["w", "n"])
 
         for batch in batches:
             for part in chunks(batch.column("text").to_pylist()):
