@@ -1,4 +1,4 @@
-"""Benchmark decontamination: MinHash containment search partitioned by size, then exact shingle containment.
+"""Benchmark decontamination: MinHash containment search partitioned by size, exact lookup of short items, then exact shingle containment.
 
 Words are runs of digits, letters and non-ASCII characters of the lower-cased text; a text's shingles are its distinct
 sequences of five words (a shorter text: its whole sequence; without words: none). A document is contaminated by a
@@ -6,9 +6,15 @@ benchmark item if it holds at least 0.8 of the item's shingles.
 
 Items are put into size partitions, each 1.5 times as long as the one before. For a partition of up to m shingles, every
 document is cut into blocks of m shingles; MinHash values of two neighbouring blocks make up the window's signature, so
-any stretch of m shingles of a document of any length lies wholly in one window that is at most three times as long as
-the item. A window that agrees with an item in any of `perms` values makes its document a candidate for the item
-(chance to miss a whole item below 1e-5), and candidates are verified on the sets themselves in the same task.
+any stretch of m shingles of a document of any length lies wholly in one window that is at most 3.75 times as long as
+the item. A window that agrees with an item in any of `perms` values makes its document a candidate for the item, and
+candidates are verified on the sets themselves in the same task. For hashes like random ones, the chance to miss an item
+that stands in one stretch is at most (1 - 1 / 3.75)^40 = 4e-6 if it is whole and (1 - 0.8 / 3.95)^40 = 1.2e-4 if 0.8 of
+it is left; an item whose shingles are spread over more than 1.25 times its size has no such bound.
+
+Items of fewer than `FEW` distinct shingles, and those that repeat a shingle, are too small a part of such a window and are
+looked up exactly: of an item of c shingles that must share r, any c - r + 1 have one that the document holds, so documents
+that hold one of these (the ones that fewest items have) are the candidates, and none is missed.
 
 Only items travel: blocks of at most `block` items (bytes bounded by `block_bytes`) are sent to the tasks, one pass
 over the documents for each block, so a benchmark of any size is searched and no text is shuffled.
@@ -27,24 +33,26 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, Scratch, semi
 from .words import PLAIN, Words, chunks, shingle_sets, shingles
 
-SHINGLE, SHARE, PERMS, RATIO = 5, 0.8, 40, 1.5
+SHINGLE, SHARE, PERMS, RATIO, FEW = 5, 0.8, 40, 1.5, 8
 BLOCK, BLOCK_BYTES = 5000, 32_000_000
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
 class ItemIndex:
-    """Items by size partition, with the sorted MinHash values of each permutation."""
+    """Items by size partition, with the sorted MinHash values of each permutation; short and repeating ones by shingle."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], n: int = SHINGLE, perms: int = PERMS):
-        self.n = n
+    def __init__(self, ids: list[int | None], texts: list[str | None], share: float = SHARE, n: int = SHINGLE, perms: int = PERMS):
+        self.n, self.share = n, share
         self.factors = np.random.default_rng(7).integers(1, 1 << 63, perms, np.uint64) * np.uint64(2) + np.uint64(1)
         words = Words([(t or "").encode("utf-8", "surrogatepass") for t in texts], PLAIN)
         self.sets = shingle_sets(words, n)
         self.ids = ids
         sizes = [max(1, c - n + 1) for c in words.counts.tolist()]
         parts: dict[int, list[int]] = {}
+        exact = [i for i, size in enumerate(sizes) if 0 < len(self.sets[i]) < max(FEW, size)]
+        self._look_up(exact)
         for i, size in enumerate(sizes):
-            if len(self.sets[i]):
+            if len(self.sets[i]) >= max(FEW, size):
                 m = 8
                 while m < 1.25 * size:  # room for words put in between
                     m = int(m * RATIO)
@@ -55,9 +63,31 @@ class ItemIndex:
             order = np.argsort(values, axis=1)
             self.parts[m] = np.array(own), np.take_along_axis(values, order, 1), order
 
+    def _look_up(self, exact: list[int]) -> None:
+        """keys, owners: sorted shingles, and their items, of which a text must hold one to hold share of the item."""
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        known, often = np.unique(np.concatenate([*keys, *(self.sets[i] for i in exact)]), return_counts=True)
+        for i in exact:
+            own = self.sets[i]
+            least = max(1, int(np.ceil(self.share * len(own) - 1e-9)))
+            rare = np.argsort(often[np.searchsorted(known, own)], kind="stable")[: len(own) - least + 1]
+            keys.append(own[rare])
+            owners.append(np.full(len(rare), i, np.int64))
+        k, o = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(k, kind="stable")
+        self.keys, self.owners = k[order], o[order]
+
     def candidates(self, s: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) of texts whose shingles are s[first : first + count], count > 0, that share a value with an item."""
+        """(text, item) of texts whose shingles are s[first : first + count], count > 0, that share a value or a key with an item."""
         found: set[tuple[int, int]] = set()
+        if len(self.keys):
+            i = np.searchsorted(self.keys, s)
+            i[i == len(self.keys)] = 0
+            hits = np.nonzero(self.keys[i] == s)[0]
+            text = np.searchsorted(firsts, hits, "right") - 1
+            for t, k in np.unique(np.stack([text, i[hits]], axis=1), axis=0).tolist():
+                stop = int(np.searchsorted(self.keys, self.keys[k], "right"))
+                found.update((t, o) for o in self.owners[k:stop].tolist())
         cuts = {}
         for m in self.parts:
             blocks = -(-counts // m)
@@ -82,7 +112,7 @@ class ItemIndex:
                         k += 1
         return found
 
-    def search(self, texts: list[bytes], share: float) -> list[tuple[int, int, int, int]]:
+    def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, size of the item's set, shared) of texts that hold at least share of an item."""
         words, n = Words(texts, PLAIN), self.n
         h = words.hashes()
@@ -92,7 +122,7 @@ class ItemIndex:
             s.append(whole[first : first + count - n + 1] if count >= n else shingles(h[first : first + count], count) if count else whole[:0])
         counts = np.array([len(x) for x in s], np.int64)
         some = np.nonzero(counts)[0]
-        if not len(some) or not self.parts:
+        if not len(some) or not self.parts and not len(self.keys):
             return []
         firsts = np.cumsum(counts[some]) - counts[some]
         out, sets = [], {}
@@ -101,7 +131,7 @@ class ItemIndex:
             if t not in sets:
                 sets[t] = np.unique(s[t])
             shared = int(np.isin(self.sets[i], sets[t], assume_unique=True).sum())
-            if shared >= share * len(self.sets[i]) - 1e-9:
+            if shared >= self.share * len(self.sets[i]) - 1e-9:
                 out.append((t, i, len(self.sets[i]), shared))
         return out
 
@@ -121,12 +151,12 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
 
         def search(batches, sent=sent, memo=memo):
             rows = sent.value
-            index = memo.setdefault("index", None) or ItemIndex([r[0] for r in rows], [r[1] for r in rows])
+            index = memo.setdefault("index", None) or ItemIndex([r[0] for r in rows], [r[1] for r in rows], share)
             memo["index"] = index
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for part in chunks(texts):
-                    found = [(ids[part[t][0]], index.ids[i], n, shared, shared / n) for t, i, n, shared in index.search([b for _, b in part], share)]
+                    found = [(ids[part[t][0]], index.ids[i], n, shared, shared / n) for t, i, n, shared in index.search([b for _, b in part])]
                     if found:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
 

@@ -291,6 +291,27 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.decontaminate(d, bench).count() == len(all_texts) - len({(i, t) for i, t in extra}) - 1
 
 
+def test_decontamination_of_short_and_repeating_items(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(5 + i % 8)) for i in range(240)] + [(300, "again " * 100), (301, (text(9) + " ") * 12)]
+    docs = [(k, text(rng.choice([0, 2, 300])) + " " + t + " " + text(300)) for k, t in items]
+    docs += [(1000 + k, " ".join([text(50), *t.split()[: 4 + k % 8], text(60)])) for k, t in items[:240]]  # the last word is missing
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    held = [(i, shingles(t)) for i, t in docs]
+    want = sorted(((i, j, len(s), len(s & h)) for j, t in items for i, h in held if (s := shingles(t)) and len(s & h) >= 0.8 * len(s)), key=str)
+    assert len(want) > len(items) + 50
+    d, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontamination.contaminated(d, bench), "doc_id", "item_id", "n_item_shingles", "n_shared") == want
+    one = bench.where("item_id = 0")
+    assert rows(decontamination.contaminated(d, one), "doc_id", "item_id", "n_item_shingles", "n_shared") == [(0, 0, 1, 1)]
+
+
 def test_hilbert_shards(docs, empty):
     got = hilbert_shards.hilbert_shards(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts())
