@@ -30,12 +30,14 @@ def component_strength(df: DataFrame, key: str, component: str, remainder: str)
     return df.groupBy(key).agg(F.greatest(F.lit(0.0), 1 - share).alias("strength"))
 
 
-def seasonal_period(df: DataFrame, key: str, time: str, y: str, most: int = 12) -> DataFrame:
-    """key, period: rows per cycle of the frequency with the most power in the differences; frequencies up to half the rows and `most` cycles."""
+def seasonal_period(df: DataFrame, key: str, time: str, y: str) -> DataFrame:
+    """key, period: rows per cycle of the frequency with the most power in the differences, over all frequencies up to half the rows; 1 if it is 1 or more than half the rows."""
     w = Window.partitionBy(key).orderBy(time)
     d = df.select(key, (F.col(y) - F.lag(y).over(w)).alias("d"), (F.row_number().over(w) - 2).alias("t")).where("d IS NOT NULL")
-    d = d.withColumn("n", F.count("*").over(Window.partitionBy(key))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).where("k <= n / 2")
+    d = d.withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n >= 2").withColumn("k", F.explode(F.expr("sequence(1L, n div 2)")))
     angle = F.lit(2 * math.pi) * F.col("k") * F.col("t") / F.col("n")
     c, s = F.sum(F.col("d") * F.cos(angle)), F.sum(F.col("d") * F.sin(angle))
-    p = d.groupBy(key, "k", "n").agg((c * c + s * s).alias("power"))
-    return p.groupBy(key).agg(F.max_by(F.round(F.col("n") / F.col("k")).cast("long"), F.struct(F.round("power", 4), -F.col("k"))).alias("period"))
+    # one-sided: all frequencies but the highest of an even number of rows stand for two
+    p = d.groupBy(key, "k", "n").agg(((c * c + s * s) * F.when(F.col("k") * 2 == F.col("n"), 0.5).otherwise(1.0)).alias("power"))
+    best = p.groupBy(key).agg(F.max_by(F.struct(F.round(F.col("n") / F.col("k")).cast("long").alias("period"), "n"), F.struct(F.round("power", 4), -F.col("k"))).alias("b"))
+    return best.select(key, F.when((F.col("b.period") > 1) & (F.col("b.period") * 2 <= F.col("b.n") + 1), F.col("b.period")).otherwise(1).alias("period"))
