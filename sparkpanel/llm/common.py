@@ -62,8 +62,8 @@ def whole_text(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
-#: Keys that are sent to all tasks at most; more are joined by a shuffle.
-SEND = 1_000_000
+#: Keys (a few numbers each, some 100 bytes in a hash table) that are sent to all tasks at most; more are joined by a shuffle.
+SEND = 250_000
 
 
 def semi(docs: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
