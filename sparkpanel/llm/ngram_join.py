@@ -37,7 +37,7 @@ from .components import components
 from .repeats import NO_ID, keyed, signed
 from .words import FOLD, Words, chunks, shingles
 
-FREQUENT = 1_000_000
+FREQUENT = 250_000
 #: Groups of sets with a common prefix shingle: up to PAIRED sets are looked at pair by pair; over GROUP they are cut into blocks.
 PAIRED, GROUP = 12, 4096
 #: Bits of a parity bitmap: the power of two from a set's size on, within these limits.
@@ -63,11 +63,11 @@ def word_counts(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) ->
             return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["w", "n"])
 
         for batch in batches:
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 held.append(np.unique(Words([b for _, b in part], FOLD).hashes(), return_counts=True))
                 if len(held) >= 16:
                     fold()
-                    if len(held[0][0]) > 4_000_000:
+                    if len(held[0][0]) > 1_000_000:
                         yield rows()
                         held = []
         if held:
@@ -339,7 +339,7 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
         known, counts = sent.value
         for batch in batches:
             ids, ts = batch.column("id").to_pylist(), batch.column("t").to_pylist()
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 sets = ordered_sets(Words([b for _, b in part], FOLD), n, known, counts)
                 own = [digest(s) for s in sets]
                 columns = [[ids[i] for i, _ in part], [ts[i] for i, _ in part], [len(s) for s in sets], own, [parity(s) for s in sets], [None] * len(part), [None] * len(part)]
@@ -461,7 +461,7 @@ def _trees(docs: DataFrame, placed: DataFrame, n: int, pct: int) -> DataFrame:
     def join(table: pa.Table) -> pa.Table:
         rows: dict[int, dict[int, np.ndarray]] = {}
         gs, roots = table.column("g").to_pylist(), table.column("root").to_pylist()
-        for part in chunks(table.column("text").to_pylist()):
+        for part in chunks(table.column("text")):
             for (i, _), s in zip(part, ordered_sets(Words([b for _, b in part], FOLD), n, np.zeros(0, np.uint64), np.zeros(0)), strict=True):
                 rows.setdefault(roots[i], {})[gs[i]] = s
         node, to = [], []

@@ -121,7 +121,7 @@ def find_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     def find(batches):
         for batch in batches:
             ids, ts = batch.column("id").to_numpy(), batch.column("t").to_numpy()
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 x, rows = unit.read([b for _, b in part]), np.array([i for i, _ in part])
                 text, lo, hi, s = x.anchors()
                 if not len(text):

@@ -9,7 +9,7 @@ import numpy as np
 #: A-Z to a-z; and that with every other ASCII character but digits and letters made a blank.
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-CHUNK = 1 << 21  # bytes of text that are worked on together
+CHUNK = 1 << 20  # bytes of text that are worked on together
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -35,10 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[list[tuple[int, bytes]]]:
-    """(index, UTF-8 bytes) of texts, some at a time; one text is never split."""
+def chunks(texts, limit: int = CHUNK) -> Iterator[list[tuple[int, bytes]]]:
+    """(index, UTF-8 bytes) of texts (a list or an Arrow column), some at a time; one text is never split."""
     own, size = [], 0
-    for i, t in enumerate(texts):
+    some = (t for k in range(0, len(texts), 256) for t in (texts[k : k + 256] if isinstance(texts, list) else texts.slice(k, 256).to_pylist()))
+    for i, t in enumerate(some):
         b = (t or "").encode("utf-8", "surrogatepass")
         if own and size + len(b) > limit:
             yield own
