@@ -62,6 +62,19 @@ def whole_text(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def row_key(df: DataFrame, *columns: str) -> Column:
+    """128 bits that tell rows apart by these columns; nulls differ from empty strings."""
+    return F.md5(F.to_json(F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}))
+
+
+def without(df: DataFrame, key: Column, bad: DataFrame) -> DataFrame:
+    """df without the rows whose key is in bad (one column), whatever the names of its columns are."""
+    names = [f"x{i}" for i in range(len(df.columns))]
+    d = df.select(key.alias("own_key"), *[df[c].alias(x) for c, x in zip(df.columns, names, strict=True)])
+    d = semi(d, bad.toDF("own_key"), ["own_key"], "left_anti")
+    return d.select(*[F.col(x).alias(c) for c, x in zip(df.columns, names, strict=True)])
+
+
 #: Keys (a few numbers each, some 100 bytes in a hash table) that are sent to all tasks at most; more are joined by a shuffle.
 SEND = 250_000
 

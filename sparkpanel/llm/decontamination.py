@@ -16,8 +16,8 @@ Items of fewer than `FEW` distinct shingles, and those that repeat a shingle, ar
 looked up exactly: of an item of c shingles that must share r, any c - r + 1 have one that the document holds, so documents
 that hold one of these (the ones that fewest items have) are the candidates, and none is missed.
 
-Only items travel: blocks of at most `block` items (bytes bounded by `block_bytes`) are sent to the tasks, one pass
-over the documents for each block, so a benchmark of any size is searched and no text is shuffled.
+Only items travel: blocks of about `block` items and `block_bytes` bytes at most are sent to the tasks, one pass over the
+documents for each block and one block at a time, so a benchmark of any size is searched and no text is shuffled.
 
 Edge cases: null and empty texts and items match nothing; repeated rows of either table match each by itself; other
 columns are ignored; an empty table on either side gives no rows.
@@ -27,15 +27,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, Scratch, semi
+from .common import LOWER, UPPER, Scratch, row_key, without
 from .words import PLAIN, Words, chunks, shingle_sets, shingles
 
 SHINGLE, SHARE, PERMS, RATIO, FEW = 5, 0.8, 40, 1.5, 8
 BLOCK, BLOCK_BYTES = 5000, 32_000_000
-SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+FOUND = "item_id long, n_item_shingles long, n_shared long, containment double"
 
 
 class ItemIndex:
@@ -140,37 +142,48 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
     """One row per document (doc_id, text) and benchmark item (item_id, text) that it holds."""
     spark = docs.sparkSession
     items = items.select("item_id", items["text"].cast("string").alias("text"))
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("most")).first()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(-(-size["n"] // block), -(-size["b"] // block_bytes))
     docs = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    out = None
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(FOUND).fields])
+    kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+
+    def search_for(own: DataFrame) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
         memo: dict[str, ItemIndex] = {}
 
-        def search(batches, sent=sent, memo=memo):
+        def search(batches):
             rows = sent.value
             index = memo.setdefault("index", None) or ItemIndex([r[0] for r in rows], [r[1] for r in rows], share)
             memo["index"] = index
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for part in chunks(texts):
-                    found = [(ids[part[t][0]], index.ids[i], n, shared, shared / n) for t, i, n, shared in index.search([b for _, b in part])]
+                ids = batch.column("doc_id")
+                kinds[0] = ids.type
+                for part in chunks(batch.column("text")):
+                    found = [(ids[part[t][0]].as_py(), index.ids[i], n, shared, shared / n) for t, i, n, shared in index.search([b for _, b in part])]
                     if found:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], schema.names)
 
-        d = docs.mapInArrow(search, SCHEMA)
+        return docs.mapInArrow(search, schema), sent
+
+    if blocks <= 1:
+        return search_for(items)[0]
+    # one pass a block; its items leave the driver before the next block comes
+    scratch, out = Scratch(spark, "benchmark"), None
+    items = scratch.save(items.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
+    for k in range(blocks):
+        d, sent = search_for(items.where(F.col("block") == k).select("item_id", "text"))
+        d = scratch.save(d)
+        sent.destroy()
         out = d if out is None else out.unionByName(d)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    key = F.xxhash64("doc_id", "text")
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias("row_key")).distinct()
-    found = Scratch(docs.sparkSession, "decontamination").save(found)
-    return semi(docs.withColumn("row_key", key), found, ["row_key"], "left_anti").drop("row_key").select(docs.columns)
+    key = row_key(docs, "doc_id", "text")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), items, share).select("doc_id").distinct()
+    return without(docs, key, Scratch(docs.sparkSession, "decontamination").save(found))
 
 
 _WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"

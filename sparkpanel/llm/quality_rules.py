@@ -1,13 +1,15 @@
 """Quality rules: base rules on words, lines and repeats, and divergence from a language's reference histograms.
 
-Two histograms are taken of each document: character classes, and how many words are common words of each of four
-languages. The reference of a language is the sum of the histograms of all documents that state it. A document is
-compared with the references of its own language and of the four by Jensen-Shannon distance (base 2, 0 to 1), of which
-the smallest counts, as a document may hold another language than it states; below a guard of length the distance says
-nothing and is not used.
+Two histograms are taken of each document: seven classes of characters, and the counts of each of 63 common words of
+four languages and of all other words. The reference of a language is the sum of the histograms of the documents that
+state it, without the one that is judged; it counts from `min_docs` others on. A document is compared with the
+references of its own language and of the four by Jensen-Shannon distance (base 2, 0 to 1), of which the smallest
+counts, as a document may hold another language than it states; below a guard of length the distance says nothing and
+is not used.
 
 Edge cases: a null or blank text has no words, fails the base rule and has null distances; a null language is a
-language of its own; repeated rows are judged each by itself; other columns are ignored; an empty table gives no rows.
+language of its own; repeated rows are judged each by itself; a very long text is one row of a task and its counts are
+whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, semi, whole_text
+from .common import SPACE, Scratch, row_key, whole_text, without
 
 #: Common words by language; fixed values.
 COMMON = {
@@ -25,9 +27,11 @@ COMMON = {
     "es": ["el", "los", "las", "y", "del", "se", "por", "con", "para", "su", "al", "lo", "como", "más", "una", "no"],
 }
 SYMBOLS = "#*$%&|<>"
-PARAMS = {"min_words": 10, "max_repeat_pct": 20, "guard_chars": 200, "guard_words": 40, "max_char_js": 0.32, "max_word_js": 0.22}
-CHARS = ["c_space", "c_symbol", "c_digit", "c_punct", "c_upper", "c_wide", "c_other"]
-WORDS = [f"w_{k}" for k in COMMON] + ["w_other"]
+PARAMS = {"min_words": 10, "max_repeat_pct": 20, "guard_chars": 500, "guard_words": 80, "max_char_js": 0.22, "max_word_js": 0.27, "min_docs": 20}
+#: ASCII classes of characters besides white space and SYMBOLS; what is neither nor non-ASCII is `other`.
+CLASSES = {"digit": "[0-9]", "punct": "[.,;:!?'\"()-]", "upper": "[A-Z]"}
+CHARS = ["space", "symbol", *CLASSES, "wide", "other"]
+WORDS = sorted({w for v in COMMON.values() for w in v})
 
 
 def _times(text: Column, what: str) -> Column:
@@ -35,12 +39,8 @@ def _times(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
-def _members(words: str, of: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(of))).cast("long")
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, and both histograms."""
+    """doc_id, lang, the counts of the base rules, and both histograms: chars by CHARS, commons by WORDS and then all other words."""
     total = lambda cols: sum(cols[1:], cols[0])
     d = docs.select("doc_id", docs["lang"].cast("string").alias("lang"), whole_text(docs).alias("t"))
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
@@ -55,53 +55,71 @@ def features(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform("p", lambda x, k: F.least(F.lit(5), F.coalesce(F.get("p", k + 1) - x, F.lit(5)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     d = d.withColumn("lines", lines)
-    d = d.withColumn("common", F.filter("words", lambda w: w.isin([x for v in COMMON.values() for x in v])))
-    t = F.col("t")
-    return d.select(
+    # common words, each between blanks of its own, so that they can be counted in one string
+    d = d.withColumn("common", F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(WORDS)), "  "), F.lit(" ")))
+    t, often = F.col("t"), lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    d = d.select(
         "doc_id", "lang", "n_words",
-        total([_times(t, c) for c in " \t\n\x0b\x0c\r"]).cast("long").alias("c_space"),
-        total([_times(t, c) for c in SYMBOLS]).cast("long").alias("c_symbol"),
-        F.regexp_count(t, F.lit("[0-9]")).cast("long").alias("c_digit"),
-        F.regexp_count(t, F.lit("[.,;:!?'\"()-]")).cast("long").alias("c_punct"),
-        F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("c_upper"),
-        (F.octet_length(t) - F.length(t)).cast("long").alias("c_wide"),
+        total([_times(t, c) for c in " \t\n\x0b\x0c\r"]).cast("long").alias("space"),
+        total([_times(t, c) for c in SYMBOLS]).cast("long").alias("symbol"),
+        *[F.regexp_count(t, F.lit(rx)).cast("long").alias(c) for c, rx in CLASSES.items()],
+        F.regexp_count(t, F.lit("[^\\x00-\\x7F]")).cast("long").alias("wide"),
         F.length(t).cast("long").alias("n_chars_all"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        *[_members("common", v).alias(f"w_{k}") for k, v in COMMON.items()],
-        F.size("common").cast("long").alias("n_common"),
-    ).withColumns({
-        "word_chars": F.col("n_chars_all") - F.col("c_space"),
-        # wide characters count by their extra bytes, so the rest may not cover them
-        "c_other": F.greatest(F.lit(0).cast("long"), F.col("n_chars_all") - F.col("c_space") - F.col("c_symbol") - F.col("c_digit") - F.col("c_punct") - F.col("c_upper") - F.col("c_wide")),
-        "w_other": F.col("n_words") - F.col("n_common"),
-    })
-
-
-def _distance(bins: list[str], reference: dict[str, Column]) -> Column:
-    """Jensen-Shannon distance of the counts in bins from a reference's; null where either side is empty."""
-    n, m = sum((F.col(b) for b in bins[1:]), F.col(bins[0])), sum((reference[b] for b in bins[1:]), reference[bins[0]])
-    parts = []
-    for b in bins:
-        p, q = F.try_divide(F.col(b).cast("double"), n), F.try_divide(reference[b].cast("double"), m)
-        parts += [F.when(x > 0, x * F.log2(2 * x / (p + q))).when(x.isNotNull(), 0.0) for x in (p, q)]
-    return F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0]) / 2))
+        F.transform(F.array(*[F.lit(w) for w in WORDS]), lambda w: ((F.length("common") - F.length(F.replace("common", often(w), F.lit("")))) / (F.length(w) + 2)).cast("long")).alias("named"),
+    )
+    d = d.withColumn("other", F.col("n_chars_all") - total([F.col(c) for c in CHARS[:-1]]))
+    return d.select(
+        "doc_id", "lang", "n_words", "n_chars_all", "space", "symbol", "n_dup_lines", "n_repeat_words", F.array(*CHARS).alias("chars"),
+        F.concat("named", F.array(F.col("n_words") - F.aggregate("named", F.lit(0).cast("long"), lambda a, x: a + x))).alias("commons"),
+    )
+
+
+def references(saved: DataFrame) -> DataFrame:
+    """r_lang, docs, n_chars, n_words and the summed histograms r_chars and r_commons of each language."""
+    split = saved.select("lang", F.posexplode(F.concat("chars", "commons")).alias("i", "n")).where("n > 0")
+    sums = split.groupBy("lang", "i").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
+    at = lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))
+    part = lambda first, n: F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), at)
+    sums = sums.select(F.col("lang").alias("of"), part(0, len(CHARS)).alias("r_chars"), part(len(CHARS), len(WORDS) + 1).alias("r_commons"))
+    count = saved.groupBy(F.col("lang").alias("r_lang")).agg(F.count("*").alias("docs"), F.sum("n_chars_all").alias("n_chars"), F.sum("n_words").alias("n_words"))
+    return count.join(sums, F.col("r_lang").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _least(refs: str, own: str, n: Column, total: str, bins: str) -> Column:
+    """Smallest Jensen-Shannon distance of the counts in own (n in all) from the references, from which the row itself is left out."""
+
+    def distance(r: Column) -> Column:
+        m = r[total] - r["mine"] * n
+
+        def part(x: Column, y: Column) -> Column:
+            a, b = x / n, (y - r["mine"] * x) / m
+            return F.when(x > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)
+
+        return F.when(m > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(F.col(own), r[bins], part), F.lit(0.0), lambda s, x: s + x) / 2)))
+
+    return F.when(n > 0, F.round(F.array_min(F.transform(refs, distance)), 6))
 
 
 def quality_rules(docs: DataFrame, **params) -> DataFrame:
     """One row per row of docs (doc_id, lang, text): counts, distances, base_failed and kept."""
-    p = PARAMS | params
-    saved = Scratch(docs.sparkSession, "quality").save(features(docs))
-    reference = saved.groupBy(F.col("lang").alias("r_lang")).agg(*[F.sum(b).alias(f"r_{b}") for b in CHARS + WORDS])
-    four = [{b: F.lit(r[f"r_{b}"]) for b in CHARS + WORDS} for r in reference.where(F.col("r_lang").isin(list(COMMON))).collect()]
-    four.append({b: F.col(f"r_{b}") for b in CHARS + WORDS})
-    least = lambda bins: F.round(F.array_min(F.array(*[_distance(bins, r) for r in four])), 6)
-    d = saved.join(reference, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    p, spark = PARAMS | params, docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    saved = scratch.save(features(docs))
+    known = scratch.save(references(saved).where(F.col("docs") > p["min_docs"]))
+    one = F.struct("r_lang", "docs", "n_chars", "n_words", "r_chars", "r_commons")
+    # one row of at most four references for all, and a row's own language if it is another
+    four = known.where(F.col("r_lang").isin(list(COMMON))).agg(F.collect_list(one).alias("four"))
+    more = known.where(~F.coalesce(F.col("r_lang").isin(list(COMMON)), F.lit(False))).select(one.alias("own_ref"), F.lit(True).alias("has"), F.col("r_lang").alias("own_lang"))
+    d = saved.crossJoin(F.broadcast(four)).join(more, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
+    mine = lambda r: F.struct(r["n_chars"].alias("n_chars"), r["n_words"].alias("n_words"), r["r_chars"].alias("r_chars"), r["r_commons"].alias("r_commons"), r["r_lang"].eqNullSafe(F.col("lang")).cast("long").alias("mine"))
+    d = d.withColumn("refs", F.transform(F.when(F.col("has"), F.concat("four", F.array("own_ref"))).otherwise(F.col("four")), mine))
     d = d.select(
-        "doc_id", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", (F.col("n_chars_all") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < p["min_words"]) | (100 * F.col("n_repeat_words") > p["max_repeat_pct"] * F.col("n_words"))).alias("base_failed"),
-        F.when(F.col("n_chars_all") >= p["guard_chars"], least(CHARS)).alias("char_js"),
-        F.when(F.col("n_words") >= p["guard_words"], least(WORDS)).alias("word_js"),
+        F.when(F.col("n_chars_all") >= p["guard_chars"], _least("refs", "chars", F.col("n_chars_all"), "n_chars", "r_chars")).alias("char_js"),
+        F.when(F.col("n_words") >= p["guard_words"], _least("refs", "commons", F.col("n_words"), "n_words", "r_commons")).alias("word_js"),
     )
     far = F.coalesce(F.col("char_js") > p["max_char_js"], F.lit(False)) | F.coalesce(F.col("word_js") > p["max_word_js"], F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -109,28 +127,22 @@ def quality_rules(docs: DataFrame, **params) -> DataFrame:
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
     """docs without the rows that the rules reject."""
-    key = F.xxhash64("doc_id", "text", "lang")
+    key = row_key(docs, "doc_id", "text", "lang")
     judged = quality_rules(docs.select(key.alias("doc_id"), "text", "lang"), **params)
-    bad = Scratch(docs.sparkSession, "quality").save(judged.where(~F.col("kept")).select(F.col("doc_id").alias("row_key")).distinct())
-    return semi(docs.withColumn("row_key", key), bad, ["row_key"], "left_anti").select(docs.columns)
-
-
-def _sql_js(bins: list[str]) -> str:
-    def distance(r: str) -> str:
-        n, m = " + ".join(f"d.{b}" for b in bins), " + ".join(f"{r}.{b}" for b in bins)
-        parts = []
-        for b in bins:
-            p, q = f"(d.{b}::DOUBLE / nullif({n}, 0))", f"({r}.{b}::DOUBLE / nullif({m}, 0))"
-            parts += [f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({p} + {q})) WHEN {x} IS NOT NULL THEN 0 END" for x in (p, q)]
-        return f"sqrt(CASE WHEN d.{bins[0]} IS NOT NULL THEN greatest(0.0, ({' + '.join(parts)}) / 2) END)"
-
-    return "round(least(" + ", ".join(distance(r) for r in ["r", *[f"r_{k}" for k in COMMON]]) + "), 6)"
+    bad = Scratch(docs.sparkSession, "quality").save(judged.where(~F.col("kept")).select("doc_id").distinct())
+    return without(docs, key, bad)
 
 
 def _sql() -> str:
     quote = lambda words: ", ".join(f"'{w}'" for w in words)
     space = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     count = lambda rx: f"length(t) - length(regexp_replace(t, '{rx}', '', 'g'))"
+
+    def distance(own: str, n: str, ref: str, m: str) -> str:
+        a, b, rest = f"(d.{own}[i]::DOUBLE / d.{n})", f"((r.{ref}[i] - mine * d.{own}[i])::DOUBLE / (r.{m} - mine * d.{n}))", f"r.{m} - mine * d.{n} > 0 AND d.{n} > 0"
+        term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({a} + {b})) ELSE 0 END"
+        return f"CASE WHEN {rest} THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, len(d.{own}) + 1), lambda i: {term(a)} + {term(b)})) / 2)) END"
+
     return f"""
 WITH raw AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -147,24 +159,30 @@ covered AS (
   SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM flagged) GROUP BY rid),
 counts AS (
-  SELECT s.rid, s.doc_id, s.lang, len(words)::BIGINT AS n_words, length(t) AS n_all,
-         {count("[ \t-\r]")} AS c_space, {count("[#*$%&|<>]")} AS c_symbol, {count("[0-9]")} AS c_digit,
-         {count("[.,;:!?''\x22()-]")} AS c_punct, {count("[A-Z]")} AS c_upper, strlen(t) - length(t) AS c_wide,
+  SELECT s.rid, s.doc_id, s.lang, len(words)::BIGINT AS n_words, length(t)::BIGINT AS n_all,
+         {count("[ \t-\r]")} AS space, {count("[#*$%&|<>]")} AS symbol, {count("[0-9]")} AS digit,
+         {count("[.,;:!?''\x22()-]")} AS punct, {count("[A-Z]")} AS upper, {count("[^\x00-\x7F]")} AS wide,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         {", ".join(f"len(list_filter(words, lambda w: w IN ({quote(v)})))::BIGINT AS w_{k}" for k, v in COMMON.items())},
-         (len(words) - len(list_filter(words, lambda w: w IN ({quote(x for v in COMMON.values() for x in v)}))))::BIGINT AS w_other
+         list_transform([{quote(WORDS)}], lambda w: len(list_filter(words, lambda x: x = w))) AS named
   FROM split s LEFT JOIN covered c ON s.rid = c.rid),
 feat AS (
-  SELECT *, greatest(0, n_all - c_space - c_symbol - c_digit - c_punct - c_upper - c_wide) AS c_other FROM counts),
+  SELECT *, [space, symbol, digit, punct, upper, wide, n_all - space - symbol - digit - punct - upper - wide] AS chars,
+         list_append(named, n_words - list_sum(named)) AS commons FROM counts),
 refs AS (
-  SELECT lang AS r_lang, {", ".join(f"sum({b}) AS {b}" for b in CHARS + WORDS)} FROM feat GROUP BY lang),
+  SELECT lang AS r_lang, count(*) AS docs, sum(n_all) AS m_all, sum(n_words) AS m_words,
+         [{", ".join(f"sum(chars[{i + 1}])" for i in range(len(CHARS)))}] AS r_chars, [{", ".join(f"sum(commons[{i + 1}])" for i in range(len(WORDS) + 1))}] AS r_commons
+  FROM feat GROUP BY lang HAVING count(*) > {PARAMS["min_docs"]}),
+near AS (
+  SELECT rid, min(char_js) AS char_js, min(word_js) AS word_js FROM (
+    SELECT d.rid, {distance("chars", "n_all", "r_chars", "m_all")} AS char_js, {distance("commons", "n_words", "r_commons", "m_words")} AS word_js
+    FROM (SELECT d.*, r.*, (d.lang IS NOT DISTINCT FROM r.r_lang)::INT AS mine FROM feat d JOIN refs r ON r.r_lang IN ({quote(COMMON)}) OR d.lang IS NOT DISTINCT FROM r.r_lang) AS d, LATERAL (SELECT d.r_chars, d.r_commons, d.m_all, d.m_words) AS r)
+  GROUP BY rid),
 judged AS (
-  SELECT d.doc_id, d.n_words, (d.n_all - d.c_space)::BIGINT AS word_chars, d.c_symbol::BIGINT AS n_symbols, d.n_dup_lines, d.n_repeat_words,
+  SELECT d.doc_id, d.n_words, (d.n_all - d.space)::BIGINT AS word_chars, d.symbol::BIGINT AS n_symbols, d.n_dup_lines, d.n_repeat_words,
          (d.n_words < {PARAMS["min_words"]} OR 100 * d.n_repeat_words > {PARAMS["max_repeat_pct"]} * d.n_words) AS base_failed,
-         CASE WHEN d.n_all >= {PARAMS["guard_chars"]} THEN {_sql_js(CHARS)} END AS char_js,
-         CASE WHEN d.n_words >= {PARAMS["guard_words"]} THEN {_sql_js(WORDS)} END AS word_js
-  FROM feat d LEFT JOIN refs r ON d.lang IS NOT DISTINCT FROM r.r_lang
-       {" ".join(f"LEFT JOIN refs r_{k} ON r_{k}.r_lang = '{k}'" for k in COMMON)})
+         CASE WHEN d.n_all >= {PARAMS["guard_chars"]} THEN round(n.char_js, 6) END AS char_js,
+         CASE WHEN d.n_words >= {PARAMS["guard_words"]} THEN round(n.word_js, 6) END AS word_js
+  FROM feat d LEFT JOIN near n USING (rid))
 SELECT *, NOT base_failed AND NOT coalesce(char_js > {PARAMS["max_char_js"]}, false) AND NOT coalesce(word_js > {PARAMS["max_word_js"]}, false) AS kept
 FROM judged"""
 
