@@ -1,9 +1,9 @@
 """Token ids in files, compressed by a grammar of frequent pairs (Re-Pair) per block.
 
 Documents are put into ascending doc_id order by range partitioning (equal ids are ordered, and may be split, by a hash
-of their text). Each partition writes blocks of whole documents. In a block, frequent pairs of neighbouring symbols are
-replaced by new symbols, many pairs at a time, as long as that pays; chosen pairs never overlap, because no symbol is a
-right side of one and a left side of another. A block keeps its rules, the expansion length of each, and the sequence
+of their text). Each partition writes blocks of whole documents. In a block, pairs of neighbouring symbols are replaced
+by new symbols until no pair pays for its rule, many pairs a round: those of a round never overlap, because no symbol is
+a right side of one and a left side of another. A block keeps its rules, the expansion length of each, and the sequence
 left, so any stretch of ids can be decoded from the running sum of expansion lengths.
 
 A block's payload: 4-byte magic, then as unsigned 32-bit little-endian numbers the first free symbol, the symbol width
@@ -12,7 +12,7 @@ lengths (32 bits) and the sequence (in the width). Blocks are rows of a Parquet
 will do.
 
 Edge cases: a null or empty text has the end id only; null doc_ids come first; repeated rows are written each by
-itself; a document is never split over blocks; other columns are ignored; an empty table gives no rows.
+itself; a document is never split over blocks, so a very long one is a block by itself; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,58 +28,101 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .tokens import Encoder, tokenizer_path
 
-END, MAGIC, BLOCK_IDS, ROUNDS, AT_LEAST = 1, b"RPG1", 1 << 19, 5, 8
-
-
-def compress(ids: np.ndarray, free: int, rounds: int = ROUNDS, at_least: int = AT_LEAST) -> bytes:
-    """The payload of a block; free: the first symbol that no id uses."""
-    seq, left, right, size = ids.astype(np.uint32), [], [], []
+END, MAGIC, BLOCK_IDS, AT_LEAST = 1, b"RPG1", 1 << 19, 6
+
+
+def choose(pairs: np.ndarray, counts: np.ndarray, half: int, symbols: int) -> np.ndarray:
+    """Of pairs (codes), which can be replaced together, from the most frequent down: no symbol ends one and begins another, and x, x stands alone."""
+    order = np.argsort(-counts, kind="stable")
+    role, chosen = bytearray(symbols), []  # 1: begins pairs, 2: ends pairs, 3: its own pair
+    lefts, rights = (pairs[order] >> pairs.dtype.type(half)).tolist(), (pairs[order] & pairs.dtype.type((1 << half) - 1)).tolist()
+    for i, x, y in zip(order.tolist(), lefts, rights, strict=True):
+        if x == y:
+            if not role[x]:
+                role[x] = 3
+                chosen.append(i)
+        elif role[x] < 2 and role[y] in (0, 2):
+            role[x], role[y] = 1, 2
+            chosen.append(i)
+    return np.array(chosen, np.int64)
+
+
+def numbered(pairs: np.ndarray, codes: np.ndarray, bits: int = 18) -> np.ndarray:
+    """For each code its index in pairs (distinct), or -1; by tables of 2^bits slots, a second for pairs that lost theirs, and so on."""
+    out, todo, own, salt = np.full(len(codes), -1, np.int32), None, np.arange(len(pairs), dtype=np.int32), 0x9E3779B1
+    while len(own):
+        slot = lambda x: (x * x.dtype.type(salt & 0xFFFFFFFF) >> x.dtype.type(32 - bits)) & x.dtype.type((1 << bits) - 1)  # noqa: B023, E731
+        at = slot(pairs[own])
+        table = np.full(1 << bits, -1, np.int32)
+        table[at] = own
+        i = table[slot(codes if todo is None else codes[todo])]
+        good = np.nonzero(i >= 0)[0]
+        good = good[pairs[i[good]] == (codes[good] if todo is None else codes[todo[good]])]
+        out[good if todo is None else todo[good]] = i[good]
+        own = own[table[at] != own]
+        todo, salt = np.nonzero(out < 0)[0], salt + 0x85EBCA6A
+    return out
+
+
+def compress(ids: np.ndarray, free: int, at_least: int = AT_LEAST) -> bytes:
+    """The payload of a block; free: the first symbol that no id uses.
+
+    Each round counts the pairs at live places: those whose pair was frequent when last counted, and those next to a new
+    symbol. Other pairs can only get rarer. Rounds go on until no pair occurs at_least times, at which a rule of 8 bytes
+    pays with symbols of two bytes. Where ids fit into two bytes so do all symbols: a rule past 65,536 would double every
+    symbol of the block, so the rarest pairs are then left as they are.
+    """
+    seq, left, right, size = ids.astype(np.uint32), [], [], np.ones(free, np.int64)
     half = 16 if free < 1 << 16 else 32
-    limit = (1 << (16 if half == 16 else 31)) - free
-    for _ in range(rounds):
-        if len(seq) < 2 or len(left) >= limit:
-            break
+    kind, limit = (np.uint32, 1 << 16) if half == 16 else (np.uint64, 1 << 31)
+    live = np.arange(len(seq) - 1) if len(seq) > 1 else np.zeros(0, np.int64)
+    while len(live) and free + len(left) < limit:
         # symbols of 16 bits make codes of 32, which sort faster
-        codes = seq[:-1] << np.uint32(16) | seq[1:] if half == 16 else seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        codes = seq[live].astype(kind) << kind(half) | seq[live + 1].astype(kind)
         order = np.sort(codes)
         starts = np.concatenate([[0], np.nonzero(order[1:] != order[:-1])[0] + 1])
-        pairs, counts = order[starts], np.diff(starts, append=len(order))
-        often = np.nonzero(counts >= at_least)[0]
-        if not len(often):
-            break
-        often = often[np.argsort(-counts[often], kind="stable")][:8192]
-        lefts, rights, chosen = set(), set(), []
-        for code in pairs[often].tolist():
-            x, y = code >> half, code & ((1 << half) - 1)
-            if x != y and x not in rights and y not in lefts and len(left) + len(chosen) < limit:
-                lefts.add(x)
-                rights.add(y)
-                chosen.append((x, y))
-        if not chosen:
-            break
-        new = {p: free + len(left) + i for i, p in enumerate(chosen)}
-        in_order = sorted(new)
-        keys = np.array([x << half | y for x, y in in_order], codes.dtype)
-        names = np.array([new[p] for p in in_order], np.uint32)
-        is_left, is_right = np.zeros(free + len(left) + 1, bool), np.zeros(free + len(left) + 1, bool)
-        is_left[list(lefts)], is_right[list(rights)] = True, True
-        at = np.nonzero(is_left[seq[:-1]] & is_right[seq[1:]])[0]
-        i = np.searchsorted(keys, codes[at])
-        hit = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == codes[at])
-        at, i = at[hit], i[hit]
-        seq[at] = names[i]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        for x, y in chosen:
-            left.append(x)
-            right.append(y)
-            size.append((size[x - free] if x >= free else 1) + (size[y - free] if y >= free else 1))
-        if len(at) < len(seq) // 50:
+        counts = np.diff(starts, append=len(order))
+        often = counts >= at_least
+        if not often.any():
             break
+        pairs, counts = order[starts[often]], counts[often]
+        i = numbered(pairs, codes)
+        frequent = i >= 0
+        live, i = live[frequent], i[frequent]
+        chosen = choose(pairs, counts, half, free + len(left))[: limit - free - len(left)]
+        new = np.full(len(pairs), -1, np.int64)
+        new[chosen] = free + len(left) + np.arange(len(chosen))
+        x, y = (pairs[chosen] >> kind(half)).astype(np.int64), (pairs[chosen] & kind((1 << half) - 1)).astype(np.int64)
+        left += x.tolist()
+        right += y.tolist()
+        size = np.concatenate([size, size[x] + size[y]])
+        hit = new[i] >= 0
+        at, name = live[hit], new[i[hit]]
+        # of a run of x, x the first, third and so on are replaced
+        same = np.nonzero(seq[at] == seq[at + 1])[0]
+        if len(same):
+            own = at[same]
+            first = np.concatenate([[True], (own[1:] != own[:-1] + 1)])
+            start = own[first][np.cumsum(first) - 1]
+            keep = np.ones(len(at), bool)
+            keep[same[(own - start) % 2 == 1]] = False
+            at, name = at[keep], name[keep]
+        seq[at] = name
+        gone = np.zeros(len(seq), bool)
+        gone[at + 1] = True
+        # live places of what is left: frequent pairs that still stand, and both sides of new symbols
+        alive = np.zeros(len(seq), bool)
+        alive[live] = True
+        alive[at] = True
+        alive = alive[~gone]
+        seq = seq[~gone]
+        fresh = at - np.arange(len(at))
+        alive[fresh[fresh > 0] - 1] = True
+        alive[-1] = False
+        live = np.nonzero(alive)[0]
     kind = np.dtype("<u2") if free + len(left) <= 1 << 16 else np.dtype("<u4")
     head = np.array([free, kind.itemsize, len(left), len(seq)], "<u4").tobytes()
-    return b"".join([MAGIC, head, np.array(left, kind).tobytes(), np.array(right, kind).tobytes(), np.array(size, "<u4").tobytes(), seq.astype(kind).tobytes()])
+    return b"".join([MAGIC, head, np.array(left, kind).tobytes(), np.array(right, kind).tobytes(), size[free:].astype("<u4").tobytes(), seq.astype(kind).tobytes()])
 
 
 class Block:
@@ -98,8 +141,7 @@ class Block:
         rule = self.seq >= self.free
         each[rule] = self.size[self.seq[rule] - self.free]
         self.ends = np.cumsum(each)
-        # expansions of all rules, one after another
-        self.flat, self.at = self._expanded(np.arange(self.free, self.free + rules)), np.cumsum(self.size) - self.size
+        self.flat, self.at = None, np.cumsum(self.size) - self.size
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
@@ -111,6 +153,10 @@ class Block:
         a, b = np.searchsorted(self.ends, [start, stop - 1], "right")
         before = int(self.ends[a - 1]) if a else 0
         seq = self.seq[a : b + 1]
+        if self.flat is None and b - a < len(self.left):
+            return self._expanded(seq)[start - before : stop - before].astype(np.uint32)
+        if self.flat is None:  # expansions of all rules, one after another
+            self.flat = self._expanded(np.arange(self.free, self.free + len(self.left)))
         rule = seq >= self.free
         own = seq[rule] - self.free
         each, source = np.ones(len(seq), np.int64), np.arange(len(seq)) + len(self.flat)

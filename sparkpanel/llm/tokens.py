@@ -6,6 +6,8 @@ chunks one after another. A worker keeps the ids of chunks it has met, and encod
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 VOCABULARY_FILE = "word_bpe_49k.json"
@@ -15,6 +17,7 @@ FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Letters and digits to one class, blanks to another, all other ASCII to a third; and what is left when only texts of
 #: ASCII and the letters from U+00C0 to U+00FF are looked at.
 CLASSES = bytes(97 if c >= 128 or chr(c).isalnum() else 32 if c in b" \t\n\x0b\x0c\r" else 46 for c in range(256))
+LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3])
 PLAIN = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
 
 
@@ -43,6 +46,7 @@ class Encoder:
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
@@ -50,6 +54,8 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        special = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|"))
+        self.mark = (special[0][0].encode(), special[0][1]) if special else None
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -65,28 +71,35 @@ class Encoder:
         """Put the ids of new chunks into the cache."""
         if len(self.known) + len(new) > CACHE:
             self.known, self.older = {}, self.known
-        known, older, words = self.known, self.older, []
+        known, older, words, others = self.known, self.older, [], []
         for b in new:
             if (ids := older.get(b)) is not None:
                 known[b] = ids
-                continue
-            c = b.decode("utf-8", "replace")
-            # words of letters that the tokenizer takes as one piece each and whose ends it marks
-            if max(c) < "Ā" and c.isalpha() and "ª" not in c and "º" not in c and "µ" not in c:
-                words.append((b, c))
+            # words of letters, each of which the tokenizer takes as one piece whose end it marks
+            elif not b.translate(None, LETTERS) and b"\xc3\x97" not in b and b"\xc3\xb7" not in b:
+                words.append(b)
+            elif self.mark is None or b"<|" in b:
+                known[b] = self._ids(b.decode("utf-8", "replace"))
             else:
-                known[b] = self._ids(c)
-        step = 128
-        groups = [words[k : k + step] for k in range(0, len(words), step)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(c for _, c in g) for g in groups], add_special_tokens=False), strict=True):
+                others.append(b)
+        self._together(words, b" ", lambda ids: np.nonzero(self.last[ids])[0] + 1, 0)
+        if self.mark is not None:  # a special token after each chunk, as no chunk holds it
+            self._together(others, b" " + self.mark[0] + b" ", lambda ids: np.append(np.nonzero(ids == self.mark[1])[0] + 1, len(ids) + 1), 1)
+
+    def _together(self, chunks: list[bytes], between: bytes, ends_of, gap: int, step: int = 128) -> None:
+        """Put into the cache what chunks encode to, some at a time; ends_of: where each one's ids end, with gap ids of what stands between."""
+        known, size = self.known, self.kind.itemsize
+        groups = [chunks[k : k + step] for k in range(0, len(chunks), step)]
+        texts = [between.join(g).decode("utf-8", "replace") for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.kind)
-            ends = (np.nonzero(self.last[ids])[0] + 1).tolist()
+            ends = ends_of(ids).tolist()
             if len(ends) != len(group):
-                known.update((b, self._ids(c)) for b, c in group)
+                known.update((b, self._ids(b.decode("utf-8", "replace"))) for b in group)
                 continue
-            data, size, at = ids.tobytes(), self.kind.itemsize, 0
-            for (b, _), end in zip(group, ends, strict=True):
-                known[b] = data[at * size : end * size]
+            data, at = ids.tobytes(), 0
+            for b, end in zip(group, ends, strict=True):
+                known[b] = data[at * size : (end - gap) * size]
                 at = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -98,17 +111,14 @@ class Encoder:
         for t in texts:
             chunks = unified((t or "").encode("utf-8", "surrogatepass")).split()
             ids = list(map(get, chunks))
-            if None in ids:
-                new.update([c for c, i in zip(chunks, ids, strict=True) if i is None])
-                todo.append((chunks, ids))
-            else:
-                todo.append((None, ids))
+            missed = [(k, chunks[k]) for k, i in enumerate(ids) if i is None] if None in ids else []
+            new.update(c for _, c in missed)
+            todo.append((ids, missed))
         if new:
             self._learn(new)
-            get, older = self.known.get, self.older.get
-        out = []
-        for chunks, ids in todo:
-            if chunks is not None:
-                ids = [i if i is not None else get(c) or older(c, b"") for c, i in zip(chunks, ids, strict=True)]
+        get, older, out = self.known.get, self.older.get, []
+        for ids, missed in todo:
+            for k, c in missed:
+                ids[k] = get(c) or older(c, b"")
             out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
