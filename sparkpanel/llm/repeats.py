@@ -31,6 +31,7 @@ from .words import Words, chunks, mix, shingles
 GROUP = 20_000
 #: Contexts in a bucket.
 BUCKET = 20_000
+WINDOWS = ["d1", "d2", "r0", "k0", "id", "n", "p"]
 NO_ID = (1 << 63) - 1
 
 
@@ -224,26 +225,30 @@ class Repeats:
         hot = self.scratch.save(self.distinct.groupBy("r0").count().where(F.col("count") > self.group).select("r0"))
         return None if hot.isEmpty() else hot
 
-    def counted(self, contexts: DataFrame) -> DataFrame:
-        """Repeated windows of contexts in hot groups, counted one by one: r0, k0, id, first, last (windows from the context's first)."""
-        unit, by_owner = self.unit, self.by_owner
+    def windows(self, contexts: DataFrame) -> DataFrame:
+        """WINDOWS' columns of all windows of contexts: 128-bit digest, context, window counted from its first."""
+        unit = self.unit
 
         def windows(rows):
             out = []
             for c, before, after in rows:
-                x = unit.read([before + b" " + after if unit.words and before else before + after])
+                x = unit.read([before + after])
                 for p in range(c["hi"] - c["lo"] + 1):
                     d = xxhash.xxh3_128_intdigest(x.cut(p, p + unit.width))
                     out.append((signed(d >> 64), signed(d & ((1 << 64) - 1)), c["r0"], c["k0"], c["id"], c["n"], p))
                 if len(out) > 20_000:
-                    yield batch_of(out, ["d1", "d2", "r0", "k0", "id", "n", "p"])
+                    yield batch_of(out, WINDOWS)
                     out = []
             if out:
-                yield batch_of(out, ["d1", "d2", "r0", "k0", "id", "n", "p"])
+                yield batch_of(out, WINDOWS)
 
-        w = self.scratch.save(self.strings(contexts, windows, "d1 long, d2 long, r0 long, k0 long, id long, n long, p long"))
+        return self.strings(contexts, windows, ", ".join(f"{c} long" for c in WINDOWS))
+
+    def counted(self, windows: DataFrame) -> DataFrame:
+        """Repeated windows of contexts in hot groups, counted one by one: r0, k0, id, first, last (windows from the context's first)."""
+        w = self.scratch.save(windows)
         per = w.groupBy("d1", "d2").agg(F.sum("n").alias("total"), F.min("id").alias("least"))
-        hit = w.join(per, ["d1", "d2"]).where(F.col("least") < F.col("id") if by_owner else F.col("total") > 1)
+        hit = w.join(per, ["d1", "d2"]).where(F.col("least") < F.col("id") if self.by_owner else F.col("total") > 1)
         return hit.groupBy("r0", "k0", "id").agg(F.min("p").cast("int").alias("first"), F.max("p").cast("int").alias("last"))
 
     def intervals(self, found: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -276,13 +281,13 @@ class Repeats:
             out = self.docs.join(cut, ["id", "t"], "left").select("doc_id", "text", "cut", *more).mapInArrow(run, schema)
         return out.withColumnsRenamed(dict(zip(more, self.carry, strict=True)))
 
-    def found(self, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """r0, k0, id, n, first and last repeated window of each context (null: none); compare does it for whole groups of bounded size."""
+    def found(self, compare: Callable[[DataFrame], DataFrame], windows: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """r0, k0, id, n, first and last repeated window of each context (null: none); compare does it for whole groups of bounded size, windows lists those of hot ones."""
         contexts, hot = self.contexts(), self.hot()
         if hot is None:
             return compare(contexts)
         most = contexts.join(hot, "r0", "left_semi")
-        counted = most.select("r0", "k0", "id", "n").join(self.counted(most).drop("id"), ["r0", "k0"], "left")
+        counted = most.select("r0", "k0", "id", "n").join(self.counted((windows or self.windows)(most)).drop("id"), ["r0", "k0"], "left")
         return compare(contexts.join(hot, "r0", "left_anti")).unionByName(counted)
 
     def buckets(self) -> int:

@@ -1,72 +1,99 @@
 """Removal of passages that an earlier document has, by automata of repeated phrases.
 
 Words are runs of anything but ASCII white space. Anchors (see `repeats`) whose next `inner` words occur in more than
-one document are phrases that may begin a repeated passage. They are dealt into shards of bounded size; each shard
-compiles its distinct phrases into an Aho-Corasick automaton and streams the contexts of all documents in which one of
-its phrases stands, which confirms the phrases word for word and locates each occurrence. Occurrences of one phrase are
-then compared word by word to both sides: a window of `width` words is removed if a document of smaller doc_id has it.
+one document are phrases that may begin a repeated passage. They are dealt into shards of bounded size, and so are the
+stretches of all documents in which one of a shard's phrases can stand; words of a document outside of these hold no
+repeated phrase. Each shard confirms its phrases word for word, compiles those that recur into an Aho-Corasick automaton
+over word numbers and streams its stretches through it. Only the occurrences that the automaton finds are compared word
+by word to both sides: a window of `width` words is removed if a document of smaller doc_id has it.
 
-Each distinct context is streamed once, for its smallest doc_id; copies of it in other documents follow from that.
-Groups of more than `repeats.GROUP` distinct contexts of one phrase have their windows counted by a 128-bit digest, with
-partial minima before the exchange.
+Each distinct stretch is streamed once, for its smallest doc_id; copies of it in other documents follow from that.
+Groups of more than `repeats.GROUP` distinct stretches of one phrase are spread over several shards; there the windows
+around each occurrence are counted by a 128-bit digest, with partial minima before the exchange.
 
 Edge cases: a null or blank text has no words; rows with equal doc_id never remove each other's words; a null doc_id
-counts as the largest; other columns are ignored; an empty table gives no rows.
+counts as the largest; a very long text is worked on by one task, which holds some 60 bytes for each of its words; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BUCKET, GROUP, Repeats, Unit, adjacent, coverage
+from .repeats import BUCKET, GROUP, WINDOWS, Repeats, Unit, adjacent, coverage, signed
 from .suffix_dedup import FOUND
 
 WIDTH, SPREAD = 50, 32
 
 
-def located(phrases: list[str], contexts: list[tuple[str, str]]) -> list[int]:
-    """For each context (words before, words from the anchor on): the index of the phrase that stands at the anchor, or -1."""
+def located(phrases: list[tuple[int, ...]], stretches: list[tuple[int, ...]]) -> Iterator[tuple[int, int]]:
+    """(stretch, place) of every occurrence of a phrase; words are numbers, all phrases of one length."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for i, p in enumerate(phrases):
-        automaton.add_word(f" {p} ", (i, len(p) + 2))
+    if not phrases:
+        return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for p in phrases:
+        automaton.add_word(p, len(p))
     automaton.make_automaton()
-    out = []
-    for before, after in contexts:
-        anchor = len(before) + 1 if before else 0
-        found = -1
-        for end, (i, size) in automaton.iter(f" {before} {after} " if before else f" {after} "):
-            if end + 1 - size == anchor:
-                found = i
-        out.append(found)
-    return out
+    for i, stretch in enumerate(stretches):
+        for end, size in automaton.iter(stretch):
+            yield i, end + 1 - size
+
+
+class Shard:
+    """Stretches (r0, k0, id, n, words before the anchor, words from it on) and the occurrences of their recurring phrases."""
+
+    def __init__(self, table: pa.Table, inner: int, least: int = 2):
+        """least: copies that a phrase must have here."""
+        names: dict[str, int] = {}
+        number = lambda text: [names.setdefault(w, len(names)) for w in text.split(" ")] if text else []
+        before, after = [number(t) for t in table.column("before").to_pylist()], [number(t) for t in table.column("after").to_pylist()]
+        self.stretches = [tuple(a + b) for a, b in zip(before, after, strict=True)]
+        copies: Counter[tuple[int, ...]] = Counter()
+        for a, n in zip(after, table.column("n").to_pylist(), strict=True):
+            copies[tuple(a[:inner])] += n
+        found = list(located([p for p, n in copies.items() if n >= least and len(p) == inner], self.stretches))
+        self.row, self.place = np.array(found, np.int64).reshape(-1, 2).T
+        self.columns = {k: table.column(k).to_numpy()[self.row] for k in ("r0", "k0", "id", "n")}
 
 
 def compare_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
-    before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
-    words = [a.split(" ") for a in after]
-    phrases = sorted({" ".join(w[:inner]) for w in words})
-    phrase = np.array(located(phrases, list(zip(before, after, strict=True))), np.int64)
-    names: dict[str, int] = {}
-    packed = lambda ws: np.array([names.setdefault(w, len(names)) for w in ws], ">u4").tobytes()
-    rights = [packed(w) for w in words]
-    lefts = [packed(b.split(" ")[::-1]) if b else b"" for b in before]
-    order = np.array(sorted(range(len(rights)), key=rights.__getitem__), np.int64)
-    lcp = adjacent([rights[i] for i in order.tolist()], 4)
-    lcp[1:][phrase[order[1:]] != phrase[order[:-1]]] = 0
-    lefts = [lefts[i] for i in order.tolist()]
+    """FOUND's columns for each occurrence with repeated windows."""
+    s = Shard(table, inner)
+    packed = lambda words: np.array(words, ">u4").tobytes()
+    sides = [(packed(s.stretches[i][q:]), packed(s.stretches[i][:q][::-1])) for i, q in zip(s.row.tolist(), s.place.tolist(), strict=True)]
+    order = np.array(sorted(range(len(sides)), key=lambda i: sides[i][0]), np.int64)
+    rights, lefts = [sides[i][0] for i in order.tolist()], [sides[i][1] for i in order.tolist()]
+    lcp = adjacent(rights, 4)
     left_order = np.array(sorted(range(len(lefts)), key=lefts.__getitem__), np.int64)
     left_lcp = adjacent([lefts[i] for i in left_order.tolist()], 4)
-    left, right = np.array([len(x) // 4 for x in lefts], np.int64), np.array([len(w) for w in words], np.int64)[order]
-    take = lambda k: table.column(k).to_numpy()[order]
-    most, least = coverage(lcp, right, lefts, left_lcp, left_order, left, width, take("id"))
-    hit = (most >= 0) | (take("n") > 1)
+    left, right = s.place[order], np.array([len(x) // 4 for x in rights], np.int64)
+    c = {k: v[order] for k, v in s.columns.items()}
+    most, least = coverage(lcp, right, lefts, left_lcp, left_order, left, width, c["id"])
+    hit = (most >= 0) | (c["n"] > 1)
     some = lambda x: pa.array(np.where(most >= 0, left - x, 0)[hit].astype(np.int32), mask=(most < 0)[hit])
-    return pa.table({"r0": take("r0")[hit], "k0": take("k0")[hit], "id": take("id")[hit], "n": take("n")[hit], "first": some(most), "last": some(least)})
+    return pa.table({**{k: v[hit] for k, v in c.items()}, "first": some(most), "last": some(least)})
+
+
+def count_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
+    """WINDOWS' columns for the windows around each occurrence; the phrases are those of hot groups, which are known to recur."""
+    s = Shard(table, inner, 1)
+    words = [f"{a} {b}".split() for a, b in zip(table.column("before").to_pylist(), table.column("after").to_pylist(), strict=True)]
+    own: dict[tuple[int, int], tuple] = {}
+    for k, (i, q) in enumerate(zip(s.row.tolist(), s.place.tolist(), strict=True)):
+        for p in range(max(0, q + inner - width), min(q, len(words[i]) - width) + 1):
+            if (i, p) not in own:
+                d = xxhash.xxh3_128_intdigest(" ".join(words[i][p : p + width]).encode("utf-8", "surrogatepass"))
+                own[i, p] = (signed(d >> 64), signed(d & ((1 << 64) - 1)), *(int(s.columns[c][k]) for c in ("r0", "k0", "id", "n")), p)
+    return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*own.values(), strict=True)) or [()] * 7)], WINDOWS)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, group: int = GROUP, bucket: int = BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -74,10 +101,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, g
     unit = Unit(True, width, spread, 3)
     r = Repeats(docs.sparkSession, docs, unit, "substring-dedup", True, group, bucket, carry)
 
-    def compare(contexts: DataFrame) -> DataFrame:
-        shards, inner = r.buckets(), unit.inner
-        names = ["shard", "r0", "k0", "id", "n"]
+    inner, names = unit.inner, ["shard", "r0", "k0", "id", "n"]
 
+    def sent(contexts: DataFrame, shard) -> DataFrame:
         def send(rows):
             out = []
 
@@ -86,17 +112,24 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, spread: int = SPREAD, g
                 return pa.record_batch([*columns, pa.array([x[5] for x in out], pa.string()), pa.array([x[6] for x in out], pa.string())], [*names, "before", "after"])
 
             for c, before, after in rows:
-                out.append((c["r0"] % shards, c["r0"], c["k0"], c["id"], c["n"], before.decode("utf-8", "replace").rstrip(" "), after.decode("utf-8", "replace")))
+                out.append((shard(c), c["r0"], c["k0"], c["id"], c["n"], before.decode("utf-8", "replace").rstrip(" "), after.decode("utf-8", "replace")))
                 if len(out) == 4000:
                     yield batch()
                     out = []
             if out:
                 yield batch()
 
-        sent = r.strings(contexts, send, "shard long, r0 long, k0 long, id long, n long, before string, after string")
-        return sent.groupBy("shard").applyInArrow(lambda t: compare_shard(t, width, inner), FOUND)
+        return r.strings(contexts, send, "shard long, r0 long, k0 long, id long, n long, before string, after string").groupBy("shard")
+
+    def compare(contexts: DataFrame) -> DataFrame:
+        shards = r.buckets()
+        return sent(contexts, lambda c: c["r0"] % shards).applyInArrow(lambda t: compare_shard(t, width, inner), FOUND)
+
+    def windows(contexts: DataFrame) -> DataFrame:
+        parts = max(1, r.buckets())
+        return sent(contexts, lambda c: (c["r0"] ^ c["k0"]) % parts).applyInArrow(lambda t: count_shard(t, width, inner), ", ".join(f"{c} long" for c in WINDOWS))
 
-    found = r.found(compare).where("first IS NOT NULL OR n > 1")
+    found = r.found(compare, windows).where("first IS NOT NULL OR n > 1")
     at = lambda c, own: F.when(F.col("id") > F.col("owner"), F.col(c)).otherwise(F.col("lo") + F.col(own))
     return r.finish(r.intervals(found, at("lo", "first"), at("hi", "last")), kept_words)
 

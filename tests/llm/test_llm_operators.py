@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,19 @@ def test_substring_dedup(docs, empty, limits):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_automaton_decides_on_passages(monkeypatch):
+    passage = [f"w{k}" for k in range(60)]
+    rows = [(5, 100 + i, i, 1, " ".join(f"{x}{i}" for x in "abc"), " ".join([*passage, f"z{i}"])) for i in range(3)]
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["r0", "k0", "id", "n", "before", "after"])
+    got = substring_dedup.compare_shard(table, 50, 19).to_pylist()
+    # the first has no earlier copy; the windows of the others start at place 3 of their stretch, as windows that hold no phrase belong to other stretches
+    assert sorted((r["id"], r["first"], r["last"]) for r in got) == [(1, 3, 3), (2, 3, 3)]
+    assert len(substring_dedup.count_shard(table, 50, 19)) == 3 * 4
+    assert sorted(substring_dedup.located([(1, 2), (2, 1)], [(1, 2, 1, 2), (3,)])) == [(0, 0), (0, 1), (0, 2)]
+    monkeypatch.setattr(substring_dedup, "located", lambda *a: iter(()))
+    assert len(substring_dedup.compare_shard(table, 50, 19)) == len(substring_dedup.count_shard(table, 50, 19)) == 0
+
+
 def test_loser_tree_merges_and_knows_common_prefixes():
     rng = random.Random(1)
     for k in (1, 2, 3, 7, 16):
