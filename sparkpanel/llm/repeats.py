@@ -30,7 +30,7 @@ from .words import Words, chunks, mix, shingles
 #: Contexts of one inner stretch that are compared in one task; beyond it their windows are counted one by one.
 GROUP = 20_000
 #: Contexts in a bucket.
-BUCKET = 20_000
+BUCKET = 10_000
 WINDOWS = ["d1", "d2", "r0", "k0", "id", "n", "p"]
 NO_ID = (1 << 63) - 1
 

@@ -4,8 +4,9 @@ Words are runs of anything but ASCII white space. Anchors (see `repeats`) whose
 one document are phrases that may begin a repeated passage. They are dealt into shards of bounded size, and so are the
 stretches of all documents in which one of a shard's phrases can stand; words of a document outside of these hold no
 repeated phrase. Each shard confirms its phrases word for word, compiles those that recur into an Aho-Corasick automaton
-over word numbers and streams its stretches through it. Only the occurrences that the automaton finds are compared word
-by word to both sides: a window of `width` words is removed if a document of smaller doc_id has it.
+over word numbers and streams its stretches through it. Of the occurrences that the automaton finds, those that lie in all windows of a
+stretch are compared word by word to both sides: a window of `width` words is removed if a document of smaller doc_id
+has it.
 
 Each distinct stretch is streamed once, for its smallest doc_id; copies of it in other documents follow from that.
 Groups of more than `repeats.GROUP` distinct stretches of one phrase are spread over several shards; there the windows
@@ -51,8 +52,8 @@ def located(phrases: list[tuple[int, ...]], stretches: list[tuple[int, ...]]) ->
 class Shard:
     """Stretches (r0, k0, id, n, words before the anchor, words from it on) and the occurrences of their recurring phrases."""
 
-    def __init__(self, table: pa.Table, inner: int, least: int = 2):
-        """least: copies that a phrase must have here."""
+    def __init__(self, table: pa.Table, width: int, inner: int, least: int = 2):
+        """least: copies that a phrase must have here. Kept are occurrences that lie in all windows of their stretch."""
         names: dict[str, int] = {}
         number = lambda text: [names.setdefault(w, len(names)) for w in text.split(" ")] if text else []
         before, after = [number(t) for t in table.column("before").to_pylist()], [number(t) for t in table.column("after").to_pylist()]
@@ -60,14 +61,15 @@ class Shard:
         copies: Counter[tuple[int, ...]] = Counter()
         for a, n in zip(after, table.column("n").to_pylist(), strict=True):
             copies[tuple(a[:inner])] += n
-        found = list(located([p for p, n in copies.items() if n >= least and len(p) == inner], self.stretches))
+        found = located([p for p, n in copies.items() if n >= least and len(p) == inner], self.stretches)
+        found = [(i, q) for i, q in found if len(self.stretches[i]) - width <= q <= width - inner]
         self.row, self.place = np.array(found, np.int64).reshape(-1, 2).T
         self.columns = {k: table.column(k).to_numpy()[self.row] for k in ("r0", "k0", "id", "n")}
 
 
 def compare_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
     """FOUND's columns for each occurrence with repeated windows."""
-    s = Shard(table, inner)
+    s = Shard(table, width, inner)
     packed = lambda words: np.array(words, ">u4").tobytes()
     sides = [(packed(s.stretches[i][q:]), packed(s.stretches[i][:q][::-1])) for i, q in zip(s.row.tolist(), s.place.tolist(), strict=True)]
     order = np.array(sorted(range(len(sides)), key=lambda i: sides[i][0]), np.int64)
@@ -85,7 +87,7 @@ def compare_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
 
 def count_shard(table: pa.Table, width: int, inner: int) -> pa.Table:
     """WINDOWS' columns for the windows around each occurrence; the phrases are those of hot groups, which are known to recur."""
-    s = Shard(table, inner, 1)
+    s = Shard(table, width, inner, 1)
     words = [f"{a} {b}".split() for a, b in zip(table.column("before").to_pylist(), table.column("after").to_pylist(), strict=True)]
     own: dict[tuple[int, int], tuple] = {}
     for k, (i, q) in enumerate(zip(s.row.tolist(), s.place.tolist(), strict=True)):
