@@ -356,7 +356,13 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
     scratch.sweep()
     postings = seen.where("token IS NOT NULL").select("token", "g", "n", "place")
     rows = seen.where("token IS NULL").select("id", "t", "n", "g", "bits")
-    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.count("*").alias("many")).where("a <> z").select("token", "many")
+    # a shingle that two sets share is left out if their sizes or its places rule out a link; both are packed into one number
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")
+    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.count("*").alias("many"), F.min(packed).alias("x"), F.max(packed).alias("y")).where("a <> z")
+    of = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    (low, i), (high, j) = of("x"), of("y")
+    fits = (100 * low >= share_pct * high) & ((i + j) * (100 + share_pct) <= (low + high) * (100 - share_pct))
+    shared = shared.where((F.col("many") > 2) | fits).select("token", "many")
     shared = scratch.save(shared)
     scratch.sweep()
     bits = rows.where("n > 0").select("g", "bits").dropDuplicates(["g"])
