@@ -354,11 +354,11 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
 
     seen = scratch.save(docs.select("id", "t", "text").mapInArrow(read, "id long, t long, n int, g long, bits binary, token long, place int"))
     scratch.sweep()
-    postings = seen.where("token IS NOT NULL").select("token", "g", "n", "place")
-    rows = seen.where("token IS NULL").select("id", "t", "n", "g", "bits")
-    # a shingle that two sets share is left out if their sizes or its places rule out a link; both are packed into one number
-    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")
-    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.count("*").alias("many"), F.min(packed).alias("x"), F.max(packed).alias("y")).where("a <> z")
+    # n and place as one number: narrow rows are dealt out
+    postings = seen.where("token IS NOT NULL").select("token", "g", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("x"))
+    rows = scratch.save(seen.where("token IS NULL").select("id", "t", "n", "g", "bits"))
+    # a shingle that two sets share is left out if their sizes or its places rule out a link
+    shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.count("*").alias("many"), F.min("x").alias("x"), F.max("x").alias("y")).where("a <> z")
     of = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     (low, i), (high, j) = of("x"), of("y")
     fits = (100 * low >= share_pct * high) & ((i + j) * (100 + share_pct) <= (low + high) * (100 - share_pct))
@@ -367,6 +367,7 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
     scratch.sweep()
     bits = rows.where("n > 0").select("g", "bits").dropDuplicates(["g"])
     common = scratch.save(postings.join(shared, "token").dropDuplicates(["token", "g"]))
+    scratch.drop(seen)
     scratch.sweep()
     edges = scratch.save(_edges(common, bits, scratch, share_pct, group))
     scratch.sweep()
@@ -440,10 +441,10 @@ def _ties(d: DataFrame, pct: int, stand: bool) -> DataFrame:
 
 
 def _edges(common: DataFrame, bits: DataFrame, scratch: Scratch, pct: int, group: int) -> DataFrame:
-    """a, b: ties of sets that may link, from the prefix shingles (token, g, n, place, and many: how many sets have it) that sets share."""
-    blocks = F.ceil(F.col("many") / group).cast("int")
+    """a, b: ties of sets that may link, from the prefix shingles (token, g, x: size and place, many: how many sets have it) that sets share."""
+    n, blocks = F.shiftright("x", 32).cast("int"), F.ceil(F.col("many") / group).cast("int")
     part = lambda k: F.when(k > 1, F.pmod(F.xxhash64("a"), k)).otherwise(-1).cast("long")
-    d = common.join(bits, "g").select("token", F.col("g").alias("a"), F.col("n").alias("low"), F.col("n").alias("high"), "place", F.lit(0).alias("radius"), "bits", blocks.alias("blocks"))
+    d = common.join(bits, "g").select("token", F.col("g").alias("a"), n.alias("low"), n.alias("high"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), F.lit(0).alias("radius"), "bits", blocks.alias("blocks"))
     first = scratch.save(_ties(d.withColumn("block", part(F.col("blocks"))), pct, True))
     stand = first.where("b IS NULL")
     edges = first.where("b IS NOT NULL").select("a", "b")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .tokens import Encoder, tokenizer_path
+from .words import slices
 
 CAPACITY, END, GROUPS, SMALL = 2048, 0, 128, 256
 
@@ -41,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def cut(batches):
         encoder, part, seen = Encoder.get(path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, end).astype("<u4")

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SEND, Scratch
-from .words import Words, chunks, mix, shingles
+from .common import SEND, Scratch, semi
+from .words import Words, chunks, mix, shingles, slices
 
 #: Contexts of one inner stretch that are compared in one task; beyond it their windows are counted one by one.
 GROUP = 20_000
@@ -184,9 +184,9 @@ class Repeats:
         """Anchors with repeated inner units are kept in self.places; returned: one row for each distinct context."""
         found = self.scratch.save(find_anchors(self.docs, self.unit))
         many = F.min("id") < F.max("id") if self.by_owner else F.count("*") > 1
-        # saved, so that both sides of the join are plain exchanges and a frequent stretch can be split over tasks
+        # saved and counted: few are sent round, else both sides are plain exchanges and a frequent stretch can be split over tasks
         often = self.scratch.save(found.groupBy("r0").agg(many.alias("many")).where("many").select("r0"))
-        self.places = self.scratch.save(found.join(often, "r0", "left_semi"))
+        self.places = self.scratch.save(semi(found, often, ["r0"]))
         self.scratch.drop(found)
         self.scratch.sweep()
         own = F.min_by(F.struct("t", "lo", "hi", "s"), F.struct("id", "t", "lo")).alias("o")
@@ -208,7 +208,7 @@ class Repeats:
 
         def rows(batches) -> Iterator[tuple[dict, bytes, bytes]]:
             seen: set[tuple[int, int]] = set()
-            for batch in batches:
+            for batch in slices(batches):
                 for row in batch.to_pylist():
                     if (key := (row["id"], row["t"])) in seen:
                         continue
@@ -262,7 +262,7 @@ class Repeats:
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 lists = batch.column("cut").to_pylist() if "cut" in batch.schema.names else [None] * batch.num_rows
                 spans = [merged(c or []) for c in lists]
                 out = [keep(t.encode("utf-8", "surrogatepass"), c) for t, c in zip(batch.column("text").to_pylist(), spans, strict=True)]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .tokens import Encoder, tokenizer_path
+from .words import slices
 
 END, MAGIC, BLOCK_IDS, AT_LEAST = 1, b"RPG1", 1 << 19, 6
 
@@ -191,7 +192,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch, path: str, end: int = END, b
             row = [part, block, before, len(ids), names, [len(x) for x in own], compress(ids, free)]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 own.append(np.append(ids, np.array(end, ids.dtype)))
                 names.append(doc_id)

@@ -35,6 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches of a few rows each, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def chunks(texts, limit: int = CHUNK) -> Iterator[list[tuple[int, bytes]]]:
     """(index, UTF-8 bytes) of texts (a list or an Arrow column), some at a time; one text is never split."""
     own, size = [], 0
