@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SEND, Scratch, semi
+from .common import SEND, Scratch
 from .words import Words, chunks, mix, shingles, slices
 
 #: Contexts of one inner stretch that are compared in one task; beyond it their windows are counted one by one.
@@ -184,9 +184,9 @@ class Repeats:
         """Anchors with repeated inner units are kept in self.places; returned: one row for each distinct context."""
         found = self.scratch.save(find_anchors(self.docs, self.unit))
         many = F.min("id") < F.max("id") if self.by_owner else F.count("*") > 1
-        # saved and counted: few are sent round, else both sides are plain exchanges and a frequent stretch can be split over tasks
+        # saved, and dealt out at any size: both sides are plain exchanges, so that a frequent stretch can be split over tasks
         often = self.scratch.save(found.groupBy("r0").agg(many.alias("many")).where("many").select("r0"))
-        self.places = self.scratch.save(semi(found, often, ["r0"]))
+        self.places = self.scratch.save(found.join(often.hint("merge"), "r0", "left_semi"))
         self.scratch.drop(found)
         self.scratch.sweep()
         own = F.min_by(F.struct("t", "lo", "hi", "s"), F.struct("id", "t", "lo")).alias("o")
