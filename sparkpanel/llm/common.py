@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share; sets one where it is unset (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sparkpanel-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
