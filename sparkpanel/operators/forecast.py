@@ -121,7 +121,7 @@ def ridge_deseason(y: np.ndarray, h: int, params: dict) -> np.ndarray:
 FORECASTERS: dict[str, Forecaster] = {"seasonal_mean": seasonal_mean, "seasonal_naive": seasonal_naive, "ets": ets, "stl_ets": stl_ets, "ridge": ridge, "ridge_deseason": ridge_deseason}
 
 
-def walk_forward(df: DataFrame, configs: list[tuple[str, str, dict]], key: str, time: str, y: str, n_test: int = 8, h: int = 4, inner_share: float = 0.4) -> DataFrame:
+def walk_forward(df: DataFrame, configs: list[tuple[str, str, dict]], key: str, time: str, y: str, n_test: int = 20, h: int = 4, inner_share: float = 0.4) -> DataFrame:
     """key, config, origin_date, target_date, horizon, y_true, y_pred, fold_set, error: every configuration (name, forecaster, parameters) refitted at each origin.
 
     One task holds one series and configuration; a series that fails has its error as text and no forecasts.
@@ -134,10 +134,11 @@ def walk_forward(df: DataFrame, configs: list[tuple[str, str, dict]], key: str,
         pdf = pdf.dropna(subset=[y]).sort_values(time)
         name, k = pdf["config"].iloc[0] if len(pdf) else None, pdf[key].iloc[0] if len(pdf) else None
         values, dates, out = pdf[y].to_numpy(float), pdf[time].tolist(), []
-        origins = list(range(len(values) - n_test, len(values) - h + 1, h))
+        # every h rows over the last n_test, as far as there is more than a season before
+        origins = [o for o in range(len(values) - n_test, len(values) - h + 1, h) if o > SEASON]
         inner = min(int(np.ceil(inner_share * len(origins))), len(origins) - 1)
         try:
-            if not origins or origins[0] < 2 * SEASON:
+            if not origins:
                 raise ValueError("history too short")
             f, params = names[name]
             for i, o in enumerate(origins):

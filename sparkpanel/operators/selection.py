@@ -40,6 +40,8 @@ def lagged_correlation(df: DataFrame, features: list[str], y: str, key: str, tim
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     """a, b, r of each pair of columns, in one pass. Their number is that of columns, not rows."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     row = df.agg(*[corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 

@@ -10,7 +10,7 @@ from .frames import panel
 from .registry import query
 
 six = lambda c: F.round(c, 6)
-GRID = [("ets_none", "ets", {}), ("ets_damped", "ets", {"trend": "damped"}), ("ridge", "ridge", {}), ("mean", "seasonal_mean", {})]
+GRID = [("ets_none", "ets", {}), ("ets_damped", "ets", {"trend": "damped"}), ("ridge", "ridge", {}), ("mean", "seasonal_mean", {}), ("naive", "seasonal_naive", {}), ("stl_ets", "stl_ets", {}), ("ridge_deseason", "ridge_deseason", {"window": 4})]
 
 
 def backtest(spark, d, configs):

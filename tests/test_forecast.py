@@ -33,5 +33,5 @@ def test_walk_forward_rows_and_errors(spark):
     rows = [("a", k, float(10 + SEASONS[k])) for k in range(24)] + [("b", k, 1.0) for k in range(6)]
     got = O.walk_forward(spark.createDataFrame(rows, "sector string, t int, y double"), [("m", "seasonal_naive", {})], "sector", "t", "y").collect()
     a = [r for r in got if r["sector"] == "a"]
-    assert len(a) == 8 and {r["fold_set"] for r in a} == {"inner", "outer"} and all(abs(r["y_pred"] - r["y_true"]) < 1e-9 and r["target_date"] > r["origin_date"] for r in a)
+    assert len(a) == 16 and {r["fold_set"] for r in a} == {"inner", "outer"} and all(abs(r["y_pred"] - r["y_true"]) < 1e-9 and r["target_date"] > r["origin_date"] for r in a)
     assert [r["error"] for r in got if r["sector"] == "b"] == ["history too short"]
