@@ -59,3 +59,34 @@ def best_indicator(df: DataFrame, key: str, year: str, value: str, features: lis
     r = d.groupBy(key, "feature").agg(corr(F.col("x"), F.col("annual")).alias("r"), F.count_if(F.col("x").isNotNull() & F.col("annual").isNotNull()).alias("n"))
     ok = r.where((F.col("n") >= least_years) & (F.abs("r") >= least_r))
     return ok.groupBy(key).agg(F.max_by(F.struct("feature", "r"), F.struct(F.round(F.abs("r"), 9), "feature")).alias("b")).select(key, "b.feature", "b.r")
+
+
+def smooth_yearly(df: DataFrame, year: str, quarter: str, columns: list[str], features: list[str] = (), least_r: float = 0.30) -> tuple[DataFrame, DataFrame]:
+    """df with its yearly columns (one value on all rows of a year) made quarterly, and a report: column, is_broadcast, method, indicator, r.
+
+    A column's annual series is its mean over a year's rows. With features, the one that goes with it best gives the shape
+    (denton), unless a year lacks a quarter of it; else the values are interpolated. Fewer than two annual values, and
+    periods without a new value, leave the column as it is. What is solved in Python is a row per period and column.
+    """
+    means = [F.avg(f).alias(f) for f in features]
+    periods = df.groupBy(year, quarter).agg(*means, *[F.stddev_pop(c).alias(c) for c in columns])
+    own = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    annual = df.groupBy(year).agg(*means, *[F.avg(c).alias(c) for c in columns]).select(year, *features, own).where("value IS NOT NULL")
+    report = periods.select(own).groupBy("column").agg(F.coalesce(F.max("value") < 1e-10, F.lit(True)).alias("is_broadcast"))
+    report = report.join(annual.groupBy("column").agg(F.count("*").alias("n")), "column", "left")
+    if features:
+        report = report.join(best_indicator(annual, "column", year, "value", list(features), least_r=least_r).withColumnRenamed("feature", "indicator"), "column", "left")
+    else:
+        report = report.withColumns({"indicator": F.lit(None).cast("string"), "r": F.lit(None).cast("double")})
+    shape = F.inline(F.array(*[F.struct(F.lit(f).alias("indicator"), F.col(f).cast("double").alias("x")) for f in features])) if features else F.inline(F.array(F.struct(F.lit("").alias("indicator"), F.lit(0.0).alias("x"))))
+    quarters = annual.select(year, "column", "value").join(report.where("n >= 2").select("column", "indicator"), "column").join(periods.select(year, quarter, shape).where("x IS NOT NULL"), [year, "indicator"], "left")
+    whole = quarters.groupBy("column", year).agg(F.count("x").alias("n")).groupBy("column").agg((F.min("n") == 4).alias("whole"))
+    report = report.join(whole, "column", "left").withColumn("method", F.when(F.coalesce(F.col("n"), F.lit(0)) < 2, "skip").when(F.col("indicator").isNull(), "linear").when(F.col("whole"), "denton").otherwise("linear (incomplete quarters)"))
+    report = report.select("column", "is_broadcast", "method", "indicator", "r")
+    of = lambda rule: report.where(rule).select("column")
+    new = interpolate_linear(annual.join(of(F.col("method").startswith("linear")), "column", "left_semi"), "column", year, "value")
+    if features:
+        new = new.unionByName(denton_series(quarters.join(of("method = 'denton'"), "column", "left_semi"), "column", year, quarter, "value", "x"))
+    new = new.groupBy(year, "quarter").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"new_{c}") for c in columns]).withColumnRenamed("quarter", quarter)
+    out = df.join(new, [year, quarter], "left")
+    return out.select(*[F.coalesce(f"new_{c}", F.col(c).cast("double")).alias(c) if c in columns else F.col(c) for c in df.columns]), report

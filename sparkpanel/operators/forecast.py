@@ -96,18 +96,26 @@ def stl_ets(y: np.ndarray, h: int, params: dict) -> np.ndarray:
     return ets(y - seasonal, h, {"trend": params.get("trend", "damped"), "seasonal": "none"}) + np.array([seasonal[len(y) - SEASON + k % SEASON] for k in range(h)])
 
 
-def ridge(y: np.ndarray, h: int, params: dict) -> np.ndarray:
-    """Scaled ridge on the last `window` values, applied step by step."""
-    window, alpha = int(params.get("window", 8)), float(params.get("alpha", 1.0))
+def ridge_fit(y: np.ndarray, window: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """Coefficients of the scaled last `window` values (oldest first), their means and scales, and the mean; None where there are too few values."""
     if len(y) <= window + 2:
-        return np.full(h, y.mean())
+        return None
     x = np.lib.stride_tricks.sliding_window_view(y, window)[:-1]
     t, mean, scale = y[window:], x.mean(axis=0), x.std(axis=0) + 1e-12
     z = (x - mean) / scale
-    b = np.linalg.solve(z.T @ z + alpha * np.eye(window), z.T @ (t - t.mean()))
+    return np.linalg.solve(z.T @ z + alpha * np.eye(window), z.T @ (t - t.mean())), mean, scale, float(t.mean())
+
+
+def ridge(y: np.ndarray, h: int, params: dict) -> np.ndarray:
+    """Scaled ridge on the last `window` values, applied step by step."""
+    window = int(params.get("window", 8))
+    fit = ridge_fit(y, window, float(params.get("alpha", 1.0)))
+    if fit is None:
+        return np.full(h, y.mean())
+    b, mean, scale, level = fit
     own, out = list(y), []
     for _ in range(h):
-        out.append(float(((np.array(own[-window:]) - mean) / scale) @ b + t.mean()))
+        out.append(float(((np.array(own[-window:]) - mean) / scale) @ b + level))
         own.append(out[-1])
     return np.array(out)
 

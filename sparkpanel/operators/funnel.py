@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import selection as K
+from .forecast import ridge_fit
 from .windows import differences
 
 #: Finite-sample 5 % critical value of the unit-root t statistic with a constant, by powers of 1 / n. Fixed values.
@@ -238,6 +239,58 @@ def lagged_ols(df: DataFrame, x: str, y: str, key: str, time: str, lag: int = 3,
     return d.where(F.col("back") <= h).join(fit, key).select(key, time, y, (F.col("base") + F.col("slope") * F.col("x")).alias("y_pred"))
 
 
+def lag_vectors(df: DataFrame, key: str, time: str, y: str, window: int) -> DataFrame:
+    """key, time, label and vector (the values before, latest first) of each row with `window` non-null values before it."""
+    from pyspark.ml.functions import array_to_vector
+
+    w = Window.partitionBy(key).orderBy(time)
+    d = df.where(F.col(y).isNotNull()).select(key, time, F.col(y).cast("double").alias("label"), *[F.lag(y, k).over(w).cast("double").alias(f"lag_{k}") for k in range(1, window + 1)]).dropna()
+    return d.select(key, time, "label", array_to_vector(F.array(*[f"lag_{k}" for k in range(1, window + 1)])).alias("vector"))
+
+
+def random_forest(df: DataFrame, key: str, time: str, y: str, window: int = 12, h: int = 4, trees: int = 50, least: int = 3, seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """key, time, y and y_pred of the last h rows of each series, and the weights of the lags.
+
+    One forest over the lags of all series, fitted without those rows and applied step by step; series with fewer than
+    `window` earlier values have no forecast, and a table without any such series has no rows and no weights.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+
+    d = df.where(F.col(y).isNotNull()).select(key, time, F.col(y).cast("double").alias(y)).withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time))))
+    past = d.where(F.col("back") > h)
+    train = lag_vectors(past, key, time, y, window)
+    if train.isEmpty():
+        return d.select(key, time, y, F.lit(None).cast("double").alias("y_pred")).limit(0), []
+    model = RandomForestRegressor(featuresCol="vector", labelCol="label", numTrees=trees, minInstancesPerNode=least, seed=seed).fit(train)
+    state = past.where(F.col("back") <= h + window).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("back", y))).getField(y).alias("lags")).where(F.size("lags") == window)
+    steps = [f"p{k}" for k in range(1, h + 1)]
+    for p in steps:
+        state = model.transform(state.withColumn("vector", array_to_vector("lags"))).withColumnRenamed("prediction", p)
+        state = state.withColumn("lags", F.slice(F.concat(F.array(p), "lags"), 1, window)).drop("vector")
+    ahead = state.select(key, F.inline(F.array(*[F.struct(F.lit(h - k).cast("int").alias("back"), F.col(p).alias("y_pred")) for k, p in enumerate(steps)])))
+    return d.join(ahead, [key, "back"]).select(key, time, y, "y_pred"), [float(v) for v in model.featureImportances.toArray()]
+
+
+def champion_importance(df: DataFrame, champions: DataFrame, key: str, time: str, y: str, forest: list[float], window: int = 8, alpha: float = 1.0, n: int = 15) -> DataFrame:
+    """key, model, feature, weight, rank: the n largest weights of each champion (key, model) that has any.
+
+    A ridge is refitted on its whole series, one series in a task; a forest has the weights of the one that all series
+    share; other models, and series too short to refit, have no rows.
+    """
+    types = dict(df.dtypes)
+
+    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit = ridge_fit(pdf.dropna(subset=[y]).sort_values(time)[y].to_numpy(float), window, alpha)
+        out = [] if fit is None else [(pdf[key].iloc[0], "ridge", f"lag_{window - k}", float(b)) for k, b in enumerate(fit[0])]
+        return pd.DataFrame(out, columns=[key, "model", "feature", "weight"])
+
+    linear = df.select(key, time, y).join(champions.where("model = 'ridge'").select(key), key, "left_semi").groupBy(key).applyInPandas(refit, f"{key} {types[key]}, model string, feature string, weight double")
+    shared = F.array(*[F.struct(F.lit(f"lag_{k}").alias("feature"), F.lit(v).alias("weight")) for k, v in enumerate(forest, 1)]) if forest else F.expr("CAST(array() AS array<struct<feature:string,weight:double>>)")
+    trees = champions.where("model = 'random_forest'").select(key, "model", F.inline(shared))
+    return top_importance(linear.unionByName(trees), key, "weight", n)
+
+
 def adf(y: np.ndarray) -> tuple[float, int, float]:
     """t statistic of the level in the unit-root regression with a constant, lags (by Akaike's criterion on one sample), and the 5 % critical value."""
     dy, n = np.diff(y), len(y)

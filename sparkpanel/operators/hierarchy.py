@@ -15,9 +15,9 @@ def lookup(df: DataFrame, titles: DataFrame, code: str) -> DataFrame:
     return d.withColumns({"title": F.coalesce("title", F.lit("")), "level": F.coalesce("level", F.lit("unknown"))})
 
 
-def code_is_numeric(df: DataFrame, column: str) -> bool:
-    """Whether more than half of ten non-null values are digits."""
-    row = df.where(F.col(column).isNotNull()).select(F.trim(column).rlike("^[0-9]+$").cast("int").alias("d")).limit(10).agg(F.avg("d").alias("share")).first()
+def code_is_numeric(df: DataFrame, column: str, order: str | None = None) -> bool:
+    """Whether more than half of the first ten non-null values, by order or by themselves, are digits."""
+    row = df.where(F.col(column).isNotNull()).orderBy(order or column).select(F.trim(column).rlike("^[0-9]+$").cast("int").alias("d")).limit(10).agg(F.avg("d").alias("share")).first()
     return (row["share"] or 0) > 0.5
 
 

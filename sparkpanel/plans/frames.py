@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.period import add_quarters, quarter_end
 from ..operators.windows import by, lagged, rolling_same_quarter_mean, seasonal_ma
 
-LAST = "2001-06-30"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their nation and region, up to the last whole quarter."""
     t = lambda n: table(spark, sf_dir, n)
-    d = t("orders").where(F.col("o_orderdate") < F.lit(LAST).cast("date") + F.expr("INTERVAL 1 DAY"))
+    end = t("orders").agg(F.date_trunc("quarter", F.max("o_orderdate") + F.expr("INTERVAL 1 DAY"))).scalar()
+    d = t("orders").where(F.col("o_orderdate") < end)
     d = d.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return d.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
 
@@ -54,21 +53,16 @@ def sector_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def period_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perioden (codes of quarters, months and years), dim (order priority, with totals), sector and Metric_1 as text."""
-    d = order_facts(spark, sf_dir).select(F.col("n_name").alias("sector"), F.year("o_orderdate").alias("yy"), F.quarter("o_orderdate").alias("q"), F.month("o_orderdate").alias("m"), F.col("o_orderpriority").alias("dim"), "o_totalprice")
-    code = lambda mark, n: F.format_string(f"%d{mark}%02d", "yy", n)
-    parts = []
-    for mark, n in (("KW", F.col("q")), ("MM", F.col("m")), ("JJ", F.lit(0))):
-        own = d.withColumn("Perioden", code(mark, n))
-        parts += [own.groupBy("Perioden", "dim", "sector").agg(F.count("*").alias("v")), own.groupBy("Perioden", F.lit("T001").alias("dim"), "sector").agg(F.count("*").alias("v"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("Perioden", "dim", "sector", F.col("v").cast("string").alias("Metric_1"))
+    d = order_facts(spark, sf_dir).groupBy(F.col("n_name").alias("sector"), F.year("o_orderdate").alias("yy"), F.quarter("o_orderdate").alias("q"), F.month("o_orderdate").alias("m"), F.col("o_orderpriority").alias("dim")).agg(F.count("*").alias("v"))
+    # each count of a month goes to its quarter, month and year, and to the totals
+    codes = F.array(*[F.format_string(f"%d{mark}%02d", "yy", n) for mark, n in (("KW", F.col("q")), ("MM", F.col("m")), ("JJ", F.lit(0)))])
+    d = d.select("sector", "v", "dim", F.explode(codes).alias("Perioden")).select("sector", "v", "Perioden", F.explode(F.array("dim", F.lit("T001"))).alias("dim"))
+    return d.groupBy("Perioden", "dim", "sector").agg(F.sum("v").cast("string").alias("Metric_1"))
 
 
 CTES = {
-    "facts": f"""SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderdate < DATE '{LAST}' + INTERVAL 1 DAY""",
+    "facts": """SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE o_orderdate < (SELECT date_trunc('quarter', max(o_orderdate) + INTERVAL 1 DAY) FROM orders)""",
     "panel": """SELECT n_name AS sector, r_name AS region, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS period_enddate, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter,
   round(avg(o_totalprice) / 1000, 6) AS y, count(*) AS n_orders, round(avg(c_acctbal), 6) AS x_bal FROM {facts} GROUP BY n_name, r_name, period_enddate, year(o_orderdate), quarter(o_orderdate)""",
     "models": """SELECT 'rolling' AS model_name, *, CASE WHEN count(y) OVER w = 3 THEN avg(y) OVER w END AS y_pred FROM {panel} WINDOW w AS (PARTITION BY sector, quarter ORDER BY year ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)

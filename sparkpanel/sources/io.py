@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,15 +18,20 @@ CANONICAL = T.StructType(
 )
 
 
-def star_scan(spark: SparkSession, folder: str, table_id: str, schema: T.StructType | None = None) -> dict[str, DataFrame]:
-    """Tables of a raw folder of JSON arrays: TypedDataSet becomes <id>_fact, any other file <id>_dim_<name>. Files are listed by Spark, so any store will do."""
-    reader = spark.read.option("multiLine", True)
-    files = [r["p"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(F.col("path").alias("p")).collect()]
+def star_scan(spark: SparkSession, folder: str, table_id: str, schema: T.StructType | None = None, lines: bool = False) -> dict[str, DataFrame]:
+    """Tables of a raw folder: TypedDataSet.json becomes <id>_fact, any other name <id>_dim_<name>.
+
+    A name is a file with an array or, with lines set, a file or a folder of files with an object per line. Names are
+    listed by Spark, so any store will do.
+    """
+    reader, top = spark.read.option("multiLine", not lines), urlsplit(folder).path.rstrip("/")
+    found = spark.read.format("binaryFile").options(pathGlobFilter="*.json", recursiveFileLookup=True).load(folder)
+    names = found.select(F.split_part(F.split_part("path", F.lit(top + "/"), F.lit(2)), F.lit("/"), F.lit(1)).alias("name")).distinct()
     out = {}
-    for f in files:
-        stem = f.rsplit("/", 1)[-1].removesuffix(".json")
-        name = f"{table_id}_fact" if stem == "TypedDataSet" else f"{table_id}_dim_{stem}"
-        out[name] = (reader.schema(schema) if schema and stem == "TypedDataSet" else reader).json(f)
+    for name in sorted(r["name"] for r in names.collect()):
+        stem = name.removesuffix(".json")
+        fact = stem == "TypedDataSet"
+        out[f"{table_id}_fact" if fact else f"{table_id}_dim_{stem}"] = (reader.schema(schema) if schema and fact else reader).json(f"{folder}/{name}")
     return out
 
 

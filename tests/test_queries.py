@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sparkpanel.plans import forecasts, funnel, models, products, registry, scores, series, tables  # noqa: F401
+from sparkpanel.plans import forecasts, funnel, landing, models, products, registry, scores, series, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
