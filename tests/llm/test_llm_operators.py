@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparkpanel.llm.common import Scratch
 from sparkpanel.llm import decontamination, hilbert_shards, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files, url_filter
 from sparkpanel.llm.tokens import Encoder, tokenizer_path
 
@@ -337,6 +338,31 @@ def test_hilbert_shards(docs, empty):
     assert max(counts) - min(counts) <= 1 and hilbert_shards.hilbert_shards(empty).count() == 0
 
 
+def test_hilbert_order_by_brute_force(docs):
+    held = docs.select("doc_id", "text", "lang", "source").collect()
+
+    def steps(values):
+        count, start, out = Counter(values), 0, {}
+        for v in sorted(count):
+            out[v] = int((start + count[v] / 2) * 16 / len(values))
+            start += count[v]
+        return out
+
+    table, lang, source = hilbert_shards.hilbert_table(), steps([r["lang"] or "" for r in held]), steps([r["source"] or "" for r in held])
+    size = lambda t: len((t or "").encode()) + 1
+    cell = lambda r: table[lang[r["lang"] or ""] * 256 + source[r["source"] or ""] * 16 + max(0, min(15, size(r["text"]).bit_length() - 5))]
+    got = sorted(hilbert_shards.hilbert_shards(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert Counter((r["doc_id"], r["text_crc32"], r["curve"]) for r in got) == Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), cell(r)) for r in held)
+    order = [(r["curve"], r["text_crc32"]) for r in got]
+    assert order == sorted(order)
+
+
+def test_value_steps_share_rows_evenly(spark):
+    values = spark.createDataFrame([(f"s{k:03d}",) for k in range(320)] + [("t",)] * 160, "v string")
+    got = {r["v"]: r["q"] for r in hilbert_shards.value_steps(values, Scratch(spark, "steps")).collect()}
+    assert [got[f"s{k:03d}"] for k in range(320)] == [k * 16 // 480 for k in range(320)] and got["t"] == 13
+
+
 def test_hilbert_curve_steps_by_one_cell():
     at = {p: c for c, p in enumerate(hilbert_shards.hilbert_table())}
     assert sorted(at) == list(range(4096))
