@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-The words of all templates that are rare in ordinary prose form a fixed vocabulary. One pass over the texts keeps, per
-document, the positions of vocabulary words only. Their inverse document frequencies over all documents then order each
-template's words; the postings of a template's words, each shifted by the word's place in the template, are intersected
-from the rarest word on, which leaves the starts where every mandatory word stands at its place. Optional words at
-their places raise the score.
+Templates are the openings and key clauses of licence texts and notices; their words that are rare in ordinary prose, at
+their places, are mandatory. One pass over the texts keeps, per document, the places of such words only. The words'
+inverse document frequencies over all documents name each template's rarest word, by which it stands in the index: a
+document's words are looked up there, which gives its candidate templates. The postings of a candidate's words, each
+shifted by the word's place in the template, are intersected from the rarest word on, which leaves the starts where every
+mandatory word stands at its place. Optional words at their places raise the score.
 
 Edge cases: a null or empty text has no words, empty label strings and score 0; repeated rows are scanned each by
 itself; other columns are ignored; an empty table gives no rows.
@@ -20,23 +21,34 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, Scratch, ascii_lower, whole_text
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: label: mandatory words as (place, word), optional words likewise. Base labels count towards n_base. Fixed values.
-BASE = {
-    "apache": [(0, "apache"), (1, "license")],
-    "gpl": [(0, "general"), (1, "public"), (2, "license")],
-    "mit": [(0, "mit"), (1, "license")],
-}
+
+
+def clause(text: str) -> list[tuple[int, str]]:
+    """(place, word) of the words of a clause; _ stands for any word."""
+    return [(i, w) for i, w in enumerate(text.split()) if w != "_"]
+
+
+#: label: mandatory words. Base labels count towards n_base. Fixed values.
+BASE = {"apache": clause("apache license"), "gpl": clause("general public license"), "mit": clause("mit license")}
+#: label: mandatory words, optional words as (place, word).
 MORE = {
-    "agpl": ([(0, "affero"), (1, "general"), (2, "public"), (3, "license")], [(-1, "gnu")]),
-    "apache-2.0": ([(0, "apache"), (1, "license"), (2, "version"), (3, "2"), (4, "0")], [(-3, "licensed")]),
-    "bsd": ([(0, "redistribution"), (4, "source"), (6, "binary"), (7, "forms")], []),
-    "cc-by": ([(0, "licensed"), (2, "cc")], [(3, "by")]),
-    "cc-by-nc": ([(0, "cc"), (1, "by"), (2, "nc")], [(-2, "licensed"), (3, "4"), (4, "0")]),
-    "gpl-3.0": ([(0, "general"), (1, "public"), (2, "license"), (3, "version"), (4, "3")], [(-1, "gnu")]),
-    "lgpl": ([(0, "lesser"), (1, "general"), (2, "public"), (3, "license")], [(-1, "gnu")]),
-    "mit-text": ([(0, "permission"), (2, "hereby"), (3, "granted"), (6, "charge")], [(4, "free")]),
-    "mpl": ([(0, "mozilla"), (1, "public"), (2, "license")], [(3, "version")]),
-    "unlicense": ([(3, "unencumbered"), (4, "software")], [(2, "and"), (8, "public"), (9, "domain")]),
+    "agpl": (clause("affero general public license"), [(-1, "gnu")]),
+    "apache-2.0": (clause("apache license version 2 0"), [(-3, "licensed")]),
+    "apache-2.0-notice": (clause("licensed _ _ apache license version 2 0 _ license _ _ _ _ _ file except _ compliance"), []),
+    "bsd": (clause("redistribution _ _ _ source _ binary forms"), [(11, "modification"), (13, "permitted"), (18, "conditions")]),
+    "cc-by": (clause("licensed _ cc"), [(3, "by")]),
+    "cc-by-nc": (clause("cc by nc"), [(-2, "licensed"), (3, "4"), (4, "0")]),
+    "cc-by-text": (clause("licensed _ _ creative commons attribution"), [(6, "4"), (7, "0"), (8, "international")]),
+    "gpl-3.0": (clause("general public license version 3"), [(-1, "gnu")]),
+    "gpl-notice": (clause("redistribute _ _ _ modify _ _ _ terms _ _ gnu general public license _ published"), [(19, "free"), (20, "software"), (21, "foundation")]),
+    "isc-text": (clause("permission _ _ copy modify _ _ distribute _ software _ _ purpose _ _ _ fee _ hereby granted"), []),
+    "lgpl": (clause("lesser general public license"), [(-1, "gnu")]),
+    "mit-text": (clause("permission _ hereby granted _ _ charge"), [(4, "free"), (10, "obtaining"), (12, "copy"), (15, "software"), (17, "associated"), (18, "documentation"), (19, "files")]),
+    "mit-warranty": (clause("software _ provided _ _ without warranty _ _ kind"), [(10, "express"), (12, "implied")]),
+    "mpl": (clause("mozilla public license"), [(3, "version")]),
+    "mpl-2.0-notice": (clause("source code form _ subject _ _ terms _ _ mozilla public license"), [(14, "2"), (15, "0")]),
+    "unlicense": (clause("_ _ _ unencumbered software"), [(2, "and"), (8, "public"), (9, "domain")]),
+    "zlib-text": (clause("software _ provided _ _ without _ express _ implied warranty"), []),
 }
 TEMPLATES = {k: (v, []) for k, v in BASE.items()} | MORE
 VOCABULARY = sorted({w for need, more in TEMPLATES.values() for _, w in need + more})
@@ -61,9 +73,22 @@ def _places(word: str, shift: int) -> Column:
     return F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["p"] - F.lit(shift))
 
 
+def rarest_first(need: list[tuple[int, str]], idf: dict[str, float]) -> list[tuple[int, str]]:
+    return sorted(need, key=lambda x: (-idf[x[1]], x))
+
+
+def candidates(idf: dict[str, float]) -> Column:
+    """Labels of the templates whose rarest word is among a document's hits, from an index of these words."""
+    index: dict[str, list[str]] = {}
+    for label, (need, _) in TEMPLATES.items():
+        index.setdefault(rarest_first(need, idf)[0][1], []).append(label)
+    at = F.create_map(*[c for w, own in sorted(index.items()) for c in (F.lit(w), F.array(*[F.lit(k) for k in own]))])
+    return F.flatten(F.array_compact(F.transform(F.array_distinct(F.transform("hits", lambda x: x["w"])), lambda w: F.try_element_at(at, w))))
+
+
 def template_starts(need: list[tuple[int, str]], idf: dict[str, float]) -> Column:
     """Starts at which all mandatory words stand, intersected from the rarest word on."""
-    first, *rest = sorted(need, key=lambda x: (-idf[x[1]], x))
+    first, *rest = rarest_first(need, idf)
     out = F.array_distinct(_places(first[1], first[0]))
     for place, word in rest:
         out = F.array_intersect(out, _places(word, place))
@@ -76,7 +101,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     idf = word_idf(saved)
     none = F.array().cast("array<int>")
     some = F.size("hits") > 0
-    d = saved.withColumns({f"s_{k}": F.when(some, template_starts(need, idf)).otherwise(none) for k, (need, _) in TEMPLATES.items()})
+    d = saved.withColumn("near", candidates(idf))
+    d = d.withColumns({f"s_{k}": F.when(F.array_contains("near", k), template_starts(need, idf)).otherwise(none) for k, (need, _) in TEMPLATES.items()})
     d = d.withColumn("base", F.concat(*[F.col(f"`s_{k}`") for k in sorted(BASE)]))
     found = lambda keys: F.array_join(F.array_compact(F.array(*[F.when(F.size(f"`s_{k}`") > 0, F.lit(k)) for k in sorted(keys)])), ",")
     share = []

@@ -74,6 +74,28 @@ def test_license_scan(docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_templates_match_their_texts(spark):
+    known = {
+        "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "gpl-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "zlib-text": "This software is provided 'as-is', without any express or implied warranty.",
+        "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    other = {"apache-2.0-notice": "apache,apache-2.0,apache-2.0-notice", "gpl-notice": "gpl,gpl-notice", "mpl-2.0-notice": "mpl,mpl-2.0-notice"}
+    prosaic = "the software provided to any person without a copy of the files is subject to the terms of the source code form " * 20
+    texts = [(k, f"some words {t} and more") for k, t in enumerate(known.values())] + [(99, prosaic), (98, " ".join(reversed(known["isc-text"].split())))]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in range(len(known))] == [other.get(k, k) for k in known]
+    assert all(got[k]["score"] == 1.0 for k in range(len(known)))
+    assert got[99]["labels"] == got[98]["labels"] == "" and got[99]["score"] == got[98]["score"] == 0.0
+
+
 def test_quality_rules(docs, empty):
     def brute(t):
         w = [x.decode() for x in split(t)]
