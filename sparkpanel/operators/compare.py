@@ -77,16 +77,18 @@ def loss_differences(df: DataFrame, extra: list[str] | None = None) -> DataFrame
 def diebold_mariano(diff: DataFrame, keys: list[str], order: list[str], h: int = 1, least: int = 8, bartlett: bool = False) -> DataFrame:
     """n, mean loss difference and statistic with the small-sample correction; null for too few rows or no variance.
 
-    The long-run variance takes h - 1 lags, with weights 1 or 1 - k / h.
+    The long-run variance takes h - 1 lags: each the mean over its own products, or with bartlett their sum over n times 1 - k / h.
     """
-    w, part = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
-    d = diff.withColumn("c", F.col("d") - F.avg("d").over(part))
     lags = range(1, h)
-    d = d.withColumns({f"g{k}": F.col("c") * F.lag("c", k).over(w) for k in lags})
-    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.avg(F.col("c") * F.col("c")).alias("g0"), *[F.sum(f"g{k}").alias(f"s{k}") for k in lags])
+    g = diff.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.var_pop("d").alias("g0"))
+    if lags:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        d = diff.join(g.select(*keys, "mean_d"), keys).withColumn("c", F.col("d") - F.col("mean_d"))
+        d = d.select(*keys, *[(F.col("c") * F.lag("c", k).over(w)).alias(f"s{k}") for k in lags])
+        g = g.join(d.groupBy(*keys).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in lags]), keys)
     var: Column = F.col("g0")
     for k in lags:
-        var = var + 2 * (1 - k / h if bartlett else 1.0) * F.col(f"s{k}") / F.col("n")
+        var = var + 2 * F.coalesce((1 - k / h) * F.col(f"s{k}") / F.col("n") if bartlett else F.try_divide(F.col(f"s{k}"), F.col("n") - k), F.lit(0.0))
     n = F.col("n")
     correct = F.sqrt((n + 1 - 2 * h + F.lit(h * (h - 1)) / n) / n)
     stat = F.when((n >= least) & (var > 0), F.try_divide(F.col("mean_d"), F.sqrt(F.when(var > 0, var) / n)) * correct)

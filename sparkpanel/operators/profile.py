@@ -56,9 +56,16 @@ def impute_features(df: DataFrame, columns: list[str], binary: list[str], how: s
 
 
 def impute_target(df: DataFrame, y="y", key="sector", time="period_enddate", scope: str = "key") -> DataFrame:
-    """Forward fill by date, inside each series (or over all with scope="global" on a constant key), then the global median."""
+    """Forward fill inside each series or, with scope="global", over all rows by date and key; then the global median."""
     median = df.agg(F.percentile(y, F.lit(0.5)).alias("fill"))
-    d = forward_fill(df, [y], key, time) if scope == "key" else df.withColumn(y, F.last(y, ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy(time, key).rowsBetween(Window.unboundedPreceding, 0)))
+    if scope == "key":
+        d = forward_fill(df, [y], key, time)
+    else:  # from the rows of the date, else from the last date before that has a value
+        past = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+        dates = df.groupBy(time).agg(F.max_by(y, F.when(F.col(y).isNotNull(), F.col(key))).alias("last_y"))
+        dates = dates.select(F.col(time).alias("own_time"), F.last("last_y", ignorenulls=True).over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)).alias("before_y"))
+        own = df.withColumn(y, F.last(y, ignorenulls=True).over(past(Window.partitionBy(time).orderBy(key))))
+        d = own.join(dates, own[time] == dates["own_time"], "left").withColumn(y, F.coalesce(y, "before_y")).drop("own_time", "before_y")
     return d.crossJoin(F.broadcast(median)).withColumn(y, F.coalesce(F.col(y).cast("double"), "fill")).drop("fill")
 
 

@@ -334,6 +334,13 @@ def _(spark, d):
     return dm(spark, d, ["model_a", "model_b"], h=2, bartlett=True).select("model_a", "model_b", F.round("stat", 5).alias("stat"))
 
 
+@query("dm_two_steps", f"""SELECT model_a, model_b, sector_code, round(CASE WHEN n >= 8 AND v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END, 5) AS stat FROM (
+SELECT model_a, model_b, sector_code, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) + 2 * coalesce(avg(c * l), 0) AS v FROM (SELECT *, lag(c) OVER (PARTITION BY model_a, model_b, sector_code ORDER BY target_date) AS l FROM (SELECT *, d - avg(d) OVER (PARTITION BY model_a, model_b, sector_code) AS c FROM {DIFF})) GROUP BY ALL)""")
+def _(spark, d):
+    keys = ["model_a", "model_b", "sector_code"]
+    return C.diebold_mariano(C.loss_differences(canonical(spark, d)), keys, ["target_date"], h=2).select(*keys, F.round("stat", 5).alias("stat"))
+
+
 @query("pairwise_dm", f"SELECT model_a, model_b, round(avg(d), 4) AS mean_d, count(*) AS n FROM {DIFF} GROUP BY ALL")
 def _(spark, d):
     return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.round("mean_d", 4).alias("mean_d"), "n")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sparkpanel.functions.period import period_to_date, regime_ramps
 from sparkpanel.functions.text import json_value, tier
 from sparkpanel.operators import champion, disaggregation, hierarchy, profile, reshape, selection, windows
-from sparkpanel.operators.compare import normal_p
+from sparkpanel.operators.compare import diebold_mariano, normal_p
 from sparkpanel.sources import io
 from sparkpanel.streaming.landing import land_new_files
 
@@ -151,3 +151,20 @@ def test_redundancy_keeps_the_better_of_a_pair(spark):
 def test_normal_tail(spark):
     got = spark.range(1).select(normal_p(F.lit(1.959964)).alias("a"), normal_p(F.lit(0.0)).alias("b")).first()
     assert got["a"] == pytest.approx(0.05, abs=1e-6) and got["b"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_impute_target_over_all_series(spark):
+    d = spark.createDataFrame([("a", 1, 5.0), ("b", 1, None), ("a", 2, None), ("b", 2, 7.0), ("a", 3, None), ("b", 3, None), ("a", 0, None)], "sector string, period_enddate int, y double")
+    got = rows(profile.impute_target(d, scope="global"), "sector", "period_enddate", "y")
+    assert got == sorted([("a", 0, 6.0), ("a", 1, 5.0), ("b", 1, 5.0), ("a", 2, 5.0), ("b", 2, 7.0), ("a", 3, 7.0), ("b", 3, 7.0)], key=str)
+
+
+def test_diebold_mariano_lags_by_hand(spark):
+    e = np.array([0.3, -0.1, 0.4, 0.6, -0.2, 0.5, 0.1, 0.7, 0.2, -0.3])
+    d = spark.createDataFrame([("a", "b", k, float(v)) for k, v in enumerate(e)], "model_a string, model_b string, t int, d double")
+    c, n = e - e.mean(), len(e)
+    for h, bartlett in ((1, False), (2, False), (3, False), (3, True)):
+        g = [(c[k:] * c[: n - k]).sum() for k in range(h)]
+        var = g[0] / n + 2 * sum((1 - k / h) * g[k] / n if bartlett else g[k] / (n - k) for k in range(1, h))
+        got = diebold_mariano(d, ["model_a", "model_b"], ["t"], h, bartlett=bartlett).first()["stat"]
+        assert got == (pytest.approx(e.mean() / np.sqrt(var / n) * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)) if var > 0 else None)
