@@ -89,7 +89,7 @@ def catalog(spark, d) -> str:
     return path
 
 
-@query("catalog_json_sink", f"SELECT step, filter, count_if(retained) AS n_retained, count_if(NOT retained) AS n_dropped FROM {STEPS} GROUP BY ALL")
+@query("catalog_json_sink", f"SELECT step, filter, count_if(retained)::BIGINT AS n_retained, count_if(NOT retained)::BIGINT AS n_dropped FROM {STEPS} GROUP BY ALL")
 def _(spark, d):
     steps = spark.read.schema("steps array<struct<step:int,filter:string,retained:array<string>,dropped:array<string>>>").json(catalog(spark, d))
     return steps.select(F.inline("steps")).select("step", "filter", F.size("retained").cast("long").alias("n_retained"), F.size("dropped").cast("long").alias("n_dropped"))
