@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Forecaster = Callable[[np.ndarray, int, dict], np.ndarray]
@@ -186,3 +186,12 @@ def decompose(df: DataFrame, key: str, time: str, y: str) -> DataFrame:
 
     types = dict(df.dtypes)
     return df.select(key, time, y).groupBy(key).applyInPandas(fit, f"{key} {types[key]}, {time} {types[time]}, trend double, seasonal double, remainder double")
+
+
+def sliding_backtest(df: DataFrame, key: str, time: str, y: str, window: int = 48, h: int = 4) -> DataFrame:
+    """key, step, n and rmse of seasonal means over a window of fixed length that moves by one row; h is a season at most, so a target's season-mates in the window are the last window / SEASON before it."""
+    w = Window.partitionBy(key).orderBy(time)
+    d = df.select(key, time, y).withColumn("place", F.row_number().over(w))
+    season = Window.partitionBy(key, F.col("place") % SEASON).orderBy(time).rowsBetween(-(window // SEASON), -1)
+    d = d.withColumn("error", F.col(y) - F.avg(y).over(season)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h)))).where(F.col("place") >= window + F.col("step"))
+    return d.groupBy(key, "step").agg(F.count("error").alias("n"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +63,12 @@ def metric_allow_deny(columns: list[str], allow: list[str] | None, deny: list[st
     return [c for c in kept if not any(re.search(p, c, re.IGNORECASE) for p in deny or [])]
 
 
+def keep_prefixes(df: DataFrame, feature: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose feature name begins with an allowed prefix; none are left without prefixes."""
+    own = [F.col(feature).startswith(p) for p in prefixes]
+    return df.where(functools.reduce(lambda a, b: a | b, own, F.lit(False)))
+
+
 def prefix_yearly(df: DataFrame, structural: list[str], lag: int, prefix: str = "y_") -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in structural and not c.startswith(prefix)}) if lag > 0 else df
 

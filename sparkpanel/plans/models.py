@@ -197,9 +197,12 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size", X.section_of_division(F.col("p_size")).alias("section"))
 
 
-@query("range_letters", "SELECT n_nationkey, array_to_string(list_transform(range(66, 71), lambda x: chr(x::INT)), '') AS letters FROM nation")
+@query("range_letters", "SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 0 THEN array_to_string(list_transform(range(65 + n_regionkey, 66 + n_regionkey + n_nationkey % 5), lambda x: chr(x::INT)), '') END AS letters FROM nation")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(X.range_letters(F.lit("B-F Industry")), "").alias("letters"))
+    first = F.ascii(F.lit("A")) + F.col("n_regionkey")
+    ends = F.when(F.col("n_nationkey") % 7 != 0, F.concat(F.lit("-"), F.char(first + F.col("n_nationkey") % 5))).otherwise("")
+    title = F.concat(F.char(first), ends, F.lit(" "), "n_name")
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(X.range_letters(title), "").alias("letters"))
 
 
 @query("metric_prefix", "SELECT s_suppkey, regexp_extract(s_name || '_x_' || s_suppkey || '_y', '^(.+?)_[0-9]', 1) AS prefix FROM supplier")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import metric_prefix, tier
 from ..operators import champion as H
 from ..operators import selection as K
-from ..operators.forecast import walk_forward
+from ..operators.forecast import sliding_backtest, walk_forward
 from ..operators.hierarchy import lookup
 from ..sources import io
 from ..sources.scratch import shared_path
@@ -93,12 +93,12 @@ def _(spark, d):
     return s.groupBy("sector_code", "model_name").agg(six(F.avg(F.abs(F.col("y_pred") - F.col("y_true")))).alias("outer_mae"))
 
 
-@query("sliding_backtest", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY period_enddate) AS pos FROM {panel})
-SELECT a.sector, a.period_enddate, round(abs(a.y - avg(b.y)), 9) AS ae FROM p a JOIN p b ON a.sector = b.sector AND b.pos BETWEEN a.pos - 12 AND a.pos - 1 WHERE a.pos > 12 GROUP BY a.sector, a.period_enddate, a.y""")
+@query("sliding_backtest", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY period_enddate) AS pos FROM {panel}),
+e AS (SELECT a.sector, s AS step, a.pos, a.y - avg(b.y) AS e FROM p a, range(1, 5) t(s), p b WHERE a.sector = b.sector AND b.pos BETWEEN a.pos - s - 11 AND a.pos - s AND b.pos % 4 = a.pos % 4 AND a.pos - s >= 12 GROUP BY a.sector, s, a.pos, a.y)
+SELECT sector, step::INT AS step, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse FROM e GROUP BY ALL""")
 def _(spark, d):
-    w = Window.partitionBy("sector").orderBy("period_enddate")
-    p = panel(spark, d).withColumns({"mean": F.avg("y").over(w.rowsBetween(-12, -1)), "pos": F.row_number().over(w)})
-    return p.where("pos > 12").select("sector", "period_enddate", F.round(F.abs(F.col("y") - F.col("mean")), 9).alias("ae"))
+    """Windows of 12 quarters: the panel has 26."""
+    return sliding_backtest(panel(spark, d), "sector", "period_enddate", "y", window=12).withColumn("rmse", six("rmse"))
 
 
 @query("sector_sweep")

@@ -150,10 +150,10 @@ def _(spark, d):
     return R.cast_plan(table(spark, d, "part"), ["p_size"], ["p_brand"], ["p_name", "p_retailprice"])
 
 
-@query("domain_prefix_filter", "SELECT feature FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) v(feature) WHERE starts_with(feature, 'o_order') OR starts_with(feature, 'o_total')")
+@query("domain_prefix_filter", "SELECT p_brand || '_' || p_size AS feature, count(*) AS n FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_brand || '_', 'Brand#23_') GROUP BY 1")
 def _(spark, d):
-    f = spark.createDataFrame([(c,) for c in table(spark, d, "orders").columns], "feature string")
-    return f.where(F.col("feature").startswith("o_order") | F.col("feature").startswith("o_total"))
+    f = table(spark, d, "part").groupBy(F.concat_ws("_", "p_brand", F.col("p_size").cast("string")).alias("feature")).agg(F.count("*").alias("n"))
+    return R.keep_prefixes(f, "feature", ["Brand#1", "Brand#23_"])
 
 
 LASTS = "(SELECT DISTINCT period_enddate FROM {panel} ORDER BY 1 DESC LIMIT 8)"
