@@ -88,3 +88,19 @@ def test_forest_learns_a_season_and_gives_weights(spark):
     empty, none = N.random_forest(d.where("s = 'short'"), "s", "t", "y")
     assert empty.count() == 0 and none == []
     assert N.champion_importance(d, champions, "s", "t", "y", none).where("s = 'a'").count() == 0
+
+
+def test_sliding_backtest_counts_windows_and_is_exact_on_seasons(spark):
+    from sparkpanel.operators.forecast import sliding_backtest
+
+    rows = [("a", t, float(t % 4)) for t in range(60)] + [("b", t, 1.0) for t in range(10)]
+    d = spark.createDataFrame(rows, "s string, t int, y double")
+    got = [tuple(r) for r in sliding_backtest(d, "s", "t", "y").orderBy("step").collect()]
+    assert got == [("a", 1, 12, 0.0), ("a", 2, 11, 0.0), ("a", 3, 10, 0.0), ("a", 4, 9, 0.0)]
+    trend = spark.createDataFrame([("a", t, float(t)) for t in range(20)], "s string, t int, y double")
+    assert {r["rmse"] for r in sliding_backtest(trend, "s", "t", "y", window=8).collect()} == {6.0}  # mates lie 4 and 8 rows before
+
+
+def test_feature_prefixes(spark):
+    d = spark.createDataFrame([("a_1",), ("b_1",), ("c",)], "f string")
+    assert sorted(r["f"] for r in reshape.keep_prefixes(d, "f", ["a_", "c"]).collect()) == ["a_1", "c"] and reshape.keep_prefixes(d, "f", []).count() == 0
