@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, quality_rules, spelling, substring_dedup, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -55,5 +55,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), misspell=31)
+    return spelling.spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards, op11_spelling_variants)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
