@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, quality_rules, spelling, substring_dedup, suffix_dedup, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, periodic_runs, quality_rules, spelling, substring_dedup, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -60,5 +60,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards, op11_spelling_variants)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic_runs.find_runs(periodic_runs.plant_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+    length = -F.col("b.less")
+    exponent = F.floor(1000 * length / F.col("b.period")).alias("exponent_milli")
+    return d.select("doc_id", "n_runs", "b.start", length.alias("length"), "b.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards, op11_spelling_variants, op12_periodic_runs)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
