@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, periodic_runs, quality_rules, spelling, substring_dedup, suffix_dedup, token_files, url_filter
+from . import decontamination, hilbert_shards, license_scan, ngram_join, packing, periodic_runs, quality_rules, spelling, substring_dedup, suffix_dedup, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -70,5 +70,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_runs", "b.start", length.alias("length"), "b.period", exponent, "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards, op11_spelling_variants, op12_periodic_runs)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op5_quality_rules, op6_url_filter, op7_decontamination, op8_substring_dedup, op9_token_files, op10_hilbert_shards, op11_spelling_variants, op12_periodic_runs, op13_toxicity)}
 ORACLES = {"op1_license_scan": license_scan.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL, "op7_decontamination": decontamination.SQL}
