@@ -100,12 +100,13 @@ class Model:
         """The most likely words behind a token, joined by blanks."""
         log = self.log
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        last = ""
-        for ch in token:
+        # only a character that stands three times in a row counts as repeated
+        often = {k for m in THRICE.finditer(token) for k in range(m.start() + 1, m.end())}
+        for k, ch in enumerate(token):
             own = number(ch)
             options = [(own, 0.0)] if own else []
             options += [(number(c), LOOK) for c in LOOKS.get(ch, "")]
-            again = {c for c, _ in options} if ch == last else ()
+            again = {c for c, _ in options} if k in often else ()
             skip = None if own else DROP if ch in LOOKS else SKIP
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
@@ -125,7 +126,7 @@ class Model:
                         put((b, 0), value + (DROP if ch in LOOKS else STOP) + float(log[a, b, 0]), (0, ch, path))
                     else:
                         put((a, b), value, path)
-            states, last = new, ch
+            states = new
         best, path = max(((v + float(log[a, b, 0] if b else 0.0), p) for (a, b), (v, p) in states.items()), key=lambda x: x[0])
         out = []
         while path:
@@ -143,7 +144,7 @@ def number(ch: str) -> int:
 
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘¿¡–—…"
-THRICE = re.compile(r"(.)\1\1")
+THRICE = re.compile(r"(.)\1\1+")
 #: Three or more single characters in a row.
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 

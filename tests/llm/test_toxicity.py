@@ -60,7 +60,7 @@ def test_viterbi_takes_the_best_of_all_paths(model):
         for k, ch in enumerate(token):
             own = T.number(ch)
             ways.append([("put", own, 0.0)] * bool(own) + [("put", T.number(c), T.LOOK) for c in T.LOOKS.get(ch, "")])
-            ways[-1] += [("again", {c for _, c, _ in ways[-1]}, T.REPEAT)] * bool(k and token[k - 1] == ch) + [("skip", None, T.DROP if ch in T.LOOKS else T.SKIP), ("stop", 0, T.DROP if ch in T.LOOKS else T.STOP)] * (not own)
+            ways[-1] += [("again", {c for _, c, _ in ways[-1]}, T.REPEAT)] * bool(k and token[k - 1] == ch and ch * 3 in token) + [("skip", None, T.DROP if ch in T.LOOKS else T.SKIP), ("stop", 0, T.DROP if ch in T.LOOKS else T.STOP)] * (not own)
         for path in itertools.product(*ways):
             a, b, value, out = 0, 0, 0.0, []
             for kind, c, price in path:
@@ -79,7 +79,7 @@ def test_viterbi_takes_the_best_of_all_paths(model):
                 best = value, "".join(out).strip()
         return best[1]
 
-    for token in ("1d10t", "m0r0n", "tr4ash", "i.d.1o", "br3ad!", "w1ne", "iddio0t", "a-b"):
+    for token in ("1d10t", "m0r0n", "tr4ash", "i.d.1o", "br3ad!", "w1ne", "iddio0t", "iddd10", "w0ooo", "a-b"):
         assert model.decode(token) == brute(token), token
 
 
