@@ -81,15 +81,18 @@ class Text:
             for k in range(unit.gram):
                 keys |= b[k : k + len(keys)] << np.uint64(8 * k)
             keys = mix(keys)
-        bits = np.uint64(max(1, int(len(keys)).bit_length()))
-        low = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
-        size = 1
+        # the smallest whole hash of `spread` places, the first of equal ones: nothing but the window decides
+        low, at, size = keys, np.arange(len(keys)), 1
+
+        def joined(step: int):
+            right = low[step:] < low[:-step]
+            return np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+
         while size * 2 <= unit.spread:
-            low = np.minimum(low[:-size], low[size:])
+            low, at = joined(size)
             size *= 2
         if size < unit.spread:
-            low = np.minimum(low[: size - unit.spread], low[unit.spread - size :])
-        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            low, at = joined(unit.spread - size)
         # windows that lie within one text
         long = np.nonzero(self.counts >= unit.width)[0]
         if not len(long):
