@@ -33,7 +33,8 @@ from .common import Scratch
 from .tokens import Encoder, tokenizer_path
 from .words import slices
 
-CAPACITY, END, GROUPS, SMALL = 2048, 0, 128, 256
+#: More groups round lengths up less; the plan's cost depends on the number of lengths, which `capacity` bounds.
+CAPACITY, END, GROUPS, SMALL = 2048, 0, 8192, 512
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -1,11 +1,13 @@
 """Token ids of whole texts by a public tokenizer, word by word through a bounded cache.
 
-The tokenizer file splits at white space before it merges pairs, so the ids of a text are those of its blank-separated
-chunks one after another. A worker keeps the ids of chunks it has met, and encodes the new chunks of a batch together.
+Where the tokenizer's file lower-cases and splits words from signs and white space before it merges pairs (`SPLITS`), the
+ids of a text are those of its blank-separated chunks one after another. A worker keeps the ids of chunks it has met, and
+encodes the new chunks of a batch together. A text of any other tokenizer is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -20,6 +22,13 @@ CLASSES = bytes(97 if c >= 128 or chr(c).isalnum() else 32 if c in b" \t\n\x0b\x
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3])
 PLAIN = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
 
+#: The normalisers and the rule of splitting that make chunks independent. Fixed values, as in the tokenizer's file.
+SPLITS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "rule": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "end": "</w>",
+}
+
 
 def tokenizer_path(name: str = VOCABULARY_FILE) -> str:
     import public_tokenizers
@@ -52,6 +61,10 @@ class Encoder:
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        own = {"normalizer": (rules["normalizer"] or {}).get("normalizers"), "rule": steps[0].get("pattern"), "end": rules["model"].get("end_of_word_suffix")}
+        self.chunked = own == SPLITS and not rules["post_processor"] and all(t["special"] and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in rules["added_tokens"])
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         special = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|"))
@@ -107,6 +120,9 @@ class Encoder:
         return [x for k in range(0, len(texts), 256) for x in self._encode(texts[k : k + 256])]
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.chunked:
+            whole = [(t or "").encode("utf-8", "replace").decode("utf-8", "replace") for t in texts]
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         get, todo, new = self.known.get, [], set()
         for t in texts:
             chunks = unified((t or "").encode("utf-8", "surrogatepass")).split()
