@@ -28,8 +28,10 @@ def with_frames(sql: str) -> str:
     sql = strip(sql)
     if not need:
         return sql
-    head = ", ".join(f"{n} AS ({strip(CTES[n])})" for n in need)
-    return f"WITH {head}, {sql.strip()[5:]}" if sql.strip()[:5].upper() == "WITH " else f"WITH {head} {sql}"
+    # materialised, as a frame that is named twice would be worked out twice
+    head = ", ".join(f"{n} AS MATERIALIZED ({strip(CTES[n])})" for n in need)
+    body, start = sql.strip(), re.match(r"WITH\s+(RECURSIVE\s+)?", sql.strip(), re.IGNORECASE)
+    return f"WITH {start[1] or ''}{head}, {body[start.end():]}" if start else f"WITH {head} {body}"
 
 
 def query(name: str, sql: str | None = None):
