@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions.tails import chi2_tail, t_two_sided
+from .order import neighbours, placed
 from .windows import average_rank
 
 KEYS = ["sector_code", "target_date", "horizon"]
@@ -18,14 +18,11 @@ def metrics_by(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def grouping_metrics(df: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Metrics of several groupings in one pass; a column that a grouping lacks is null there, and `grouping` names it."""
+    """Metrics of several groupings in one aggregation; a column that a grouping lacks is null there, and `grouping` names the grouping."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    d = df.withColumn("sets", F.array(*[F.lit(i) for i in range(len(sets))])).withColumn("set", F.explode("sets"))
-    for c in columns:
-        d = d.withColumn(f"g_{c}", F.when(F.col("set").isin([i for i, s in enumerate(sets) if c in s]), F.col(c)))
-    name = F.element_at(F.array(*[F.lit("+".join(s) or "all") for s in sets]), F.col("set") + 1)
-    out = d.groupBy(name.alias("grouping"), *[f"g_{c}" for c in columns]).agg(*[c.alias(k) for k, c in M.point_metrics(F.col("y_true"), F.col("y_pred")).items()])
-    return out.withColumnsRenamed({f"g_{c}": c for c in columns})
+    name = F.element_at(F.create_map(*[x for s in sets for x in (F.lit(sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in s)).cast("long"), F.lit("+".join(s) or "all"))]), F.grouping_id())
+    metrics = [c.alias(k) for k, c in M.point_metrics(F.col("y_true"), F.col("y_pred")).items()]
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(name.alias("grouping"), *metrics).select("grouping", *columns, *M.point_metrics(F.col("y_true"), F.col("y_pred")))
 
 
 def directional_accuracy(df: DataFrame, keys: list[str], series: list[str], time: str) -> DataFrame:
@@ -74,17 +71,24 @@ def loss_differences(df: DataFrame, extra: list[str] | None = None) -> DataFrame
     return a.join(b, KEYS).where("model_a <> model_b").withColumn("d", F.col("ea") - F.col("eb"))
 
 
-def diebold_mariano(diff: DataFrame, keys: list[str], order: list[str], h: int = 1, least: int = 8, bartlett: bool = False) -> DataFrame:
+def diebold_mariano(diff: DataFrame, keys: list[str], order: list[str], h: int = 1, least: int = 8, bartlett: bool = False, spread: bool = False) -> DataFrame:
     """n, mean loss difference and statistic with the small-sample correction; null for too few rows or no variance.
 
     The long-run variance takes h - 1 lags: each the mean over its own products, or with bartlett their sum over n times 1 - k / h.
+    spread: keys are few and hold many rows each, so lags are joined by place instead of a window over all rows of a key; order must be total.
     """
     lags = range(1, h)
     g = diff.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.var_pop("d").alias("g0"))
     if lags:
-        w = Window.partitionBy(*keys).orderBy(*order)
         d = diff.join(g.select(*keys, "mean_d"), keys).withColumn("c", F.col("d") - F.col("mean_d"))
-        d = d.select(*keys, *[(F.col("c") * F.lag("c", k).over(w)).alias(f"s{k}") for k in lags])
+        if spread:
+            d = placed(d.select(*keys, *order, "c"), keys, order)
+            for k in lags:
+                d = neighbours(d, keys, "place", ["c"], k)
+            d = d.select(*keys, *[(F.col("c") * F.col(f"c_back{k}")).alias(f"s{k}") for k in lags])
+        else:
+            w = Window.partitionBy(*keys).orderBy(*order)
+            d = d.select(*keys, *[(F.col("c") * F.lag("c", k).over(w)).alias(f"s{k}") for k in lags])
         g = g.join(d.groupBy(*keys).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in lags]), keys)
     var: Column = F.col("g0")
     for k in lags:
@@ -95,16 +99,21 @@ def diebold_mariano(diff: DataFrame, keys: list[str], order: list[str], h: int =
     return g.select(*keys, "n", "mean_d", stat.alias("stat"))
 
 
-def normal_p(stat: Column) -> Column:
-    """Two-sided p-value of a standard normal statistic, from a rational approximation (error below 1.5e-7) in plain columns."""
-    x = F.abs(stat) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+def student_lower(stat: Column, freedom: Column) -> Column:
+    """Chance of a smaller t value: small where model a has the smaller loss."""
+    half = t_two_sided(stat, freedom) / 2
+    return F.when(stat <= 0, half).otherwise(1 - half)
+
+
+def win_loss_tie(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
+    """win, loss and tie of model_a over tests (model_a, model_b, mean_d, p), one for each sector; tests without a p-value don't count."""
+    sure = F.col(p) < level
+    d = tests.where(F.col(p).isNotNull())
+    return d.groupBy("model_a", "model_b").agg(F.count_if(sure & (F.col("mean_d") < 0)).alias("win"), F.count_if(sure & (F.col("mean_d") >= 0)).alias("loss"), F.count_if(~sure).alias("tie"))
 
 
 def friedman(scores: DataFrame, group: str, model: str, value: str) -> DataFrame:
-    """n groups, k models and the tie-corrected statistic over groups that have all models; null below 3 x 3."""
+    """n groups, k models, the tie-corrected statistic over groups that have all models and its p-value; null below 3 x 3."""
     k = scores.agg(F.countDistinct(model).alias("k"))
     full = scores.groupBy(group).agg(F.countDistinct(model).alias("own")).crossJoin(F.broadcast(k)).where("own = k").select(group, "k")
     ranked = average_rank(scores.join(full, group), value, group).withColumn("ties", F.count("*").over(Window.partitionBy(group, value)))
@@ -112,7 +121,8 @@ def friedman(scores: DataFrame, group: str, model: str, value: str) -> DataFrame
     s = sums.agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sum(F.col("r") * F.col("r")).alias("r2"), F.sum("t").alias("t"))
     n, kk = F.col("n").cast("double"), F.col("k").cast("double")
     raw = 12 / (n * kk * (kk + 1)) * F.col("r2") - 3 * n * (kk + 1)
-    return s.select("n", "k", F.when((F.col("n") >= 3) & (F.col("k") >= 3), F.try_divide(raw, 1 - F.col("t") / (n * (kk * kk * kk - kk)))).alias("stat"))
+    s = s.select("n", "k", F.when((F.col("n") >= 3) & (F.col("k") >= 3), F.try_divide(raw, 1 - F.col("t") / (n * (kk * kk * kk - kk)))).alias("stat"))
+    return s.withColumn("p", F.when(F.col("stat").isNotNull(), chi2_tail(F.col("stat"), (F.col("k") - 1).cast("double"))))
 
 
 #: Studentised range quantiles at 0.05 divided by sqrt(2), for 2 to 10 models. Fixed values.

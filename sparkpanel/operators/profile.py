@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import quantiles, wide_quantiles
 from .reshape import numeric_columns
 from .windows import forward_fill
 
@@ -28,11 +29,12 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    parts = []
-    for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(c).cast("double").alias("max")))
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    """n, mean, standard deviation, extremes and exact quartiles of each column; quartiles by ranges of values, not in one task."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in columns]
+    d = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    quarter = lambda p: F.max(F.when(F.col("share") == p, F.col("value")))
+    q = quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"))
+    return d.join(q, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def binary_columns(df: DataFrame) -> list[str]:
@@ -49,15 +51,16 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_features(df: DataFrame, columns: list[str], binary: list[str], how: str = "median") -> DataFrame:
     """Null binaries become 0; other nulls the column's median or mean (one row, sent to all)."""
     rest = [c for c in columns if c not in binary]
-    agg = {c: F.percentile(c, F.lit(0.5)) if how == "median" else F.avg(c) for c in rest}
-    fill = df.agg(*[agg[c].alias(f"fill_{c}") for c in rest]) if rest else None
+    fill = None
+    if rest:
+        fill = wide_quantiles(df, {f"fill_{c}": (c, 0.5) for c in rest}) if how == "median" else df.agg(*[F.avg(c).alias(f"fill_{c}") for c in rest])
     d = df.crossJoin(F.broadcast(fill)) if rest else df
     return d.withColumns({c: F.coalesce(c, F.lit(0)) for c in binary} | {c: F.coalesce(F.col(c).cast("double"), f"fill_{c}") for c in rest}).drop(*[f"fill_{c}" for c in rest])
 
 
 def impute_target(df: DataFrame, y="y", key="sector", time="period_enddate", scope: str = "key") -> DataFrame:
     """Forward fill inside each series or, with scope="global", over all rows by date and key; then the global median."""
-    median = df.agg(F.percentile(y, F.lit(0.5)).alias("fill"))
+    median = wide_quantiles(df, {"fill": (y, 0.5)})
     if scope == "key":
         d = forward_fill(df, [y], key, time)
     else:  # from the rows of the date, else from the last date before that has a value

@@ -10,6 +10,7 @@ from ..operators import champion as H
 from ..operators import disaggregation as D
 from ..operators import hierarchy as T
 from ..operators import selection as K
+from ..operators.order import wide_quantiles
 from ..operators.windows import by, lagged
 from .frames import canonical, panel, sector_mae, table
 from .registry import query
@@ -136,10 +137,11 @@ def _(spark, d):
     return p.where("y_lag4 IS NOT NULL")
 
 
-@query("quantile_bands", "SELECT horizon, round(quantile_cont(e, 0.1), 6) AS low_80, round(quantile_cont(e, 0.9), 6) AS high_80 FROM (SELECT horizon, y_true - y_pred AS e FROM {canonical} WHERE model_name = 'rolling') GROUP BY 1")
+@query("quantile_bands", "SELECT model_name, horizon, round(quantile_cont(e, 0.1), 6) AS low_80, round(quantile_cont(e, 0.9), 6) AS high_80 FROM (SELECT model_name, horizon, y_true - y_pred AS e FROM {canonical}) GROUP BY 1, 2")
 def _(spark, d):
-    e = canonical(spark, d).where("model_name = 'rolling'").select("horizon", (F.col("y_true") - F.col("y_pred")).alias("e"))
-    return e.groupBy("horizon").agg(six(F.percentile("e", F.lit(0.1))).alias("low_80"), six(F.percentile("e", F.lit(0.9))).alias("high_80"))
+    e = canonical(spark, d).select("model_name", "horizon", (F.col("y_true") - F.col("y_pred")).alias("e"))
+    q = wide_quantiles(e, {"low_80": ("e", 0.1), "high_80": ("e", 0.9)}, ["model_name", "horizon"])
+    return q.select("model_name", "horizon", six("low_80").alias("low_80"), six("high_80").alias("high_80"))
 
 
 YEARS = "(SELECT sector, year, round(avg(y), 6) AS v FROM {panel} GROUP BY ALL)"

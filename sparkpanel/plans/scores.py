@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
+from ..functions.tails import normal_two_sided
 from ..operators import compare as C
+from ..operators.order import placed, wide_quantiles
 from ..operators.windows import by, first_rows
+from . import integrals as S
 from .frames import canonical, panel, sector_mae, table
 from .registry import query
 
@@ -34,9 +37,9 @@ for _name, _sql, _agg in (
     ("metric_r2", "round(1 - sum((y_pred - y_true) ** 2) / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(*)), 6)", M.r2),
 ):
 
-    @query(_name, f"SELECT sector_code, {_sql} AS value FROM {{canonical}} WHERE model_name = 'naive' GROUP BY 1")
+    @query(_name, f"SELECT model_name, sector_code, {_sql} AS value FROM {{canonical}} GROUP BY 1, 2")
     def _(spark, d, agg=_agg):
-        return canonical(spark, d).where("model_name = 'naive'").groupBy("sector_code").agg(six(agg(F.col("y_true"), F.col("y_pred"))).alias("value"))
+        return canonical(spark, d).groupBy("model_name", "sector_code").agg(six(agg(F.col("y_true"), F.col("y_pred"))).alias("value"))
 
 
 @query("directional_accuracy", """SELECT model_name, round(avg((sign(y_true - a) = sign(y_pred - b))::INT), 6) AS dir_acc FROM (SELECT *, lag(y_true) OVER w AS a, lag(y_pred) OVER w AS b FROM {canonical} WINDOW w AS (PARTITION BY model_name, sector_code ORDER BY target_date)) WHERE a IS NOT NULL GROUP BY 1""")
@@ -69,10 +72,10 @@ def _(spark, d):
 TIER = "CASE WHEN mase <= 0.9 + 1e-9 THEN 'Good' WHEN mase < 1 - 1e-9 THEN 'Medium' ELSE 'Poor' END"
 
 
-@query("mase_leaderboard", f"SELECT sector_code, mase, {TIER} AS tier, row_number() OVER (ORDER BY mase, sector_code)::INT AS place FROM {MASE} WHERE model_name = 'rolling'")
+@query("mase_leaderboard", f"SELECT model_name, sector_code, mase, {TIER} AS tier, row_number() OVER (PARTITION BY model_name ORDER BY mase, sector_code) AS place FROM {MASE}")
 def _(spark, d):
-    m = mase(spark, d).where("model_name = 'rolling'").select("sector_code", "mase", X.tier(F.col("mase")).alias("tier"))
-    return m.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mase", "sector_code"))).orderBy("place")
+    m = mase(spark, d).select("model_name", "sector_code", "mase", X.tier(F.col("mase")).alias("tier"))
+    return placed(m, ["model_name"], ["mase", "sector_code"])
 
 
 @query("assign_tier", f"SELECT model_name, sector_code, mase, {TIER} AS tier FROM {MASE}")
@@ -225,8 +228,8 @@ def _(spark, d):
 @query("horizon_quantiles", "SELECT horizon, round(quantile_cont(e, 0.5), 6) AS median, round(quantile_cont(e, 0.75) - quantile_cont(e, 0.25), 6) AS iqr, round(max(e), 6) AS max FROM (SELECT horizon, abs(y_true - y_pred) AS e FROM {canonical}) GROUP BY 1")
 def _(spark, d):
     e = canonical(spark, d).select("horizon", F.abs(F.col("y_true") - F.col("y_pred")).alias("e"))
-    q = lambda p: F.percentile("e", F.lit(p))
-    return e.groupBy("horizon").agg(six(q(0.5)).alias("median"), six(q(0.75) - q(0.25)).alias("iqr"), six(F.max("e")).alias("max"))
+    q = wide_quantiles(e, {"low": ("e", 0.25), "mid": ("e", 0.5), "high": ("e", 0.75), "top": ("e", 1.0)}, ["horizon"])
+    return q.select("horizon", six("mid").alias("median"), six(F.col("high") - F.col("low")).alias("iqr"), six("top").alias("max"))
 
 
 @query("cv_summary", "SELECT model_name, count(DISTINCT origin_date) AS n_folds, count(*) FILTER (y_pred IS NULL) AS n_null, round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) ** 2)), 6) AS rmse FROM {canonical} GROUP BY 1")
@@ -299,13 +302,11 @@ def _(spark, d):
     return sector_mae(spark, d).groupBy("sector_code").pivot("model_name", MODELS).agg(F.max("mae"))
 
 
-@query("best_median_worst", "WITH r AS (SELECT *, row_number() OVER (ORDER BY mae, sector_code) AS k, count(*) OVER () AS n_all FROM {sector_mae} WHERE model_name = 'naive') SELECT CASE WHEN k = 1 THEN 'best' WHEN k = n_all THEN 'worst' ELSE 'median' END AS place, sector_code, mae FROM r WHERE k IN (1, n_all // 2 + 1, n_all)")
+@query("best_median_worst", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY mae, sector_code) AS k, count(*) OVER (PARTITION BY model_name) AS n_all FROM {sector_mae}) SELECT model_name, CASE WHEN k = 1 THEN 'best' WHEN k = n_all THEN 'worst' ELSE 'median' END AS place, sector_code, mae FROM r WHERE k IN (1, n_all // 2 + 1, n_all)")
 def _(spark, d):
-    s = sector_mae(spark, d).where("model_name = 'naive'")
-    one = Window.partitionBy("model_name")
-    r = s.withColumn("k", F.row_number().over(one.orderBy("mae", "sector_code"))).withColumn("n_all", F.count("*").over(one))
-    r = r.where("k IN (1, n_all div 2 + 1, n_all)")
-    return r.select(F.when(F.col("k") == 1, "best").when(F.col("k") == F.col("n_all"), "worst").otherwise("median").alias("place"), "sector_code", "mae")
+    r = placed(sector_mae(spark, d), ["model_name"], ["mae", "sector_code"], "k")
+    r = r.join(r.groupBy("model_name").agg(F.count("*").alias("n_all")), "model_name").where("k IN (1, n_all div 2 + 1, n_all)")
+    return r.select("model_name", F.when(F.col("k") == 1, "best").when(F.col("k") == F.col("n_all"), "worst").otherwise("median").alias("place"), "sector_code", "mae")
 
 
 @query("validate_canonical", "SELECT model_name, sector_code, origin_date, target_date, horizon, y_true, y_pred, y_lower_80, y_upper_80, y_lower_95, y_upper_95 FROM {canonical}")
@@ -323,15 +324,19 @@ def dm(spark, d, keys, **more):
     return C.diebold_mariano(C.loss_differences(canonical(spark, d)), keys, ["sector_code", "target_date"], **more)
 
 
-@query("diebold_mariano", f"""SELECT model_a, model_b, n, round(CASE WHEN n >= 8 AND g0 > 0 THEN m / sqrt(g0 / n) * sqrt((n - 1) / n) END, 5) AS stat FROM (SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) AS g0 FROM {CENTRED} GROUP BY ALL)""")
+DM = f"(SELECT model_a, model_b, n, m AS mean_d, CASE WHEN n >= 8 AND g0 > 0 THEN m / sqrt(g0 / n) * sqrt((n - 1) / n) END AS stat FROM (SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) AS g0 FROM {CENTRED} GROUP BY ALL))"
+
+
+@query("diebold_mariano", f"SELECT model_a, model_b, n, round(stat, 5) AS stat, round({S.normal_two_sided('stat')}, 8) AS p FROM {DM}")
 def _(spark, d):
-    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.col("n").cast("double").alias("n"), F.round("stat", 5).alias("stat"))
+    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.col("n").cast("double").alias("n"), F.round("stat", 5).alias("stat"), F.round(normal_two_sided(F.col("stat")), 8).alias("p"))
 
 
-@query("dm_one_sided", f"""SELECT model_a, model_b, round(CASE WHEN v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END, 5) AS stat FROM (
-SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) + sum(c * l) / count(*) AS v FROM (SELECT *, lag(c) OVER (PARTITION BY model_a, model_b ORDER BY sector_code, target_date) AS l FROM {CENTRED}) GROUP BY ALL)""")
+@query("dm_one_sided", f"""SELECT model_a, model_b, round(stat, 5) AS stat, round({S.t_upper('-stat', '(n - 1)')}, 8) AS p FROM (SELECT model_a, model_b, n, CASE WHEN v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END AS stat FROM (
+SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) + sum(c * l) / count(*) AS v FROM (SELECT *, lag(c) OVER (PARTITION BY model_a, model_b ORDER BY sector_code, target_date) AS l FROM {CENTRED}) GROUP BY ALL))""")
 def _(spark, d):
-    return dm(spark, d, ["model_a", "model_b"], h=2, bartlett=True).select("model_a", "model_b", F.round("stat", 5).alias("stat"))
+    t = dm(spark, d, ["model_a", "model_b"], h=2, bartlett=True, spread=True)
+    return t.select("model_a", "model_b", F.round("stat", 5).alias("stat"), F.round(C.student_lower(F.col("stat"), (F.col("n") - 1).cast("double")), 8).alias("p"))
 
 
 @query("dm_two_steps", f"""SELECT model_a, model_b, sector_code, round(CASE WHEN n >= 8 AND v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END, 5) AS stat FROM (
@@ -341,24 +346,30 @@ def _(spark, d):
     return C.diebold_mariano(C.loss_differences(canonical(spark, d)), keys, ["target_date"], h=2).select(*keys, F.round("stat", 5).alias("stat"))
 
 
-@query("pairwise_dm", f"SELECT model_a, model_b, round(avg(d), 4) AS mean_d, count(*) AS n FROM {DIFF} GROUP BY ALL")
+@query("pairwise_dm", f"SELECT model_a, model_b, round(mean_d, 4) AS mean_d, n::BIGINT AS n, round({S.normal_two_sided('stat')}, 8) AS p FROM {DM}")
 def _(spark, d):
-    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.round("mean_d", 4).alias("mean_d"), "n")
+    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.round("mean_d", 4).alias("mean_d"), "n", F.round(normal_two_sided(F.col("stat")), 8).alias("p"))
+
 
+SECTOR_DM = f"""(SELECT model_a, model_b, sector_code, m AS mean_d, CASE WHEN n >= 8 AND g0 > 0 THEN m / sqrt(g0 / n) * sqrt((n - 1) / n) END AS stat FROM (
+SELECT model_a, model_b, sector_code, count(*)::DOUBLE AS n, avg(d) AS m, var_pop(d) AS g0 FROM {DIFF} GROUP BY ALL))"""
 
-@query("dm_win_loss_tie")
+
+@query("dm_win_loss_tie", f"SELECT model_a, model_b, count(*) FILTER (p < 0.05 AND mean_d < 0) AS win, count(*) FILTER (p < 0.05 AND mean_d >= 0) AS loss, count(*) FILTER (p >= 0.05) AS tie FROM (SELECT *, {S.normal_two_sided('stat')} AS p FROM {SECTOR_DM} WHERE stat IS NOT NULL) GROUP BY 1, 2")
 def _(spark, d):
-    t = dm(spark, d, ["model_a", "model_b", "sector_code"]).withColumn("p", C.normal_p(F.col("stat")))
-    hit = F.col("p") < 0.05
-    return t.groupBy("model_a", "model_b").agg(F.count_if(hit & (F.col("stat") < 0)).alias("win"), F.count_if(hit & (F.col("stat") > 0)).alias("loss"), F.count_if(~F.coalesce(hit, F.lit(False))).alias("tie"))
+    t = dm(spark, d, ["model_a", "model_b", "sector_code"]).withColumn("p", normal_two_sided(F.col("stat")))
+    return C.win_loss_tie(t)
 
 
 RANKS = "(SELECT *, rank() OVER (PARTITION BY sector_code ORDER BY mae) + (count(*) OVER (PARTITION BY sector_code, mae) - 1) / 2.0 AS r FROM {sector_mae})"
 
 
-@query("friedman", f"SELECT n, k, round((12.0 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - t / (n * (k * k * k - k))), 5) AS stat FROM (SELECT max(n) AS n, count(*) AS k, sum(s * s) AS r2, sum(t) AS t FROM (SELECT model_name, count(*) AS n, sum(r) AS s, sum(t * t - 1) AS t FROM (SELECT *, count(*) OVER (PARTITION BY sector_code, mae) AS t FROM {RANKS}) GROUP BY 1))")
+FRIEDMAN = f"(SELECT n, k, (12.0 / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - t / (n * (k * k * k - k))) AS stat FROM (SELECT max(n) AS n, count(*) AS k, sum(s * s) AS r2, sum(t) AS t FROM (SELECT model_name, count(*) AS n, sum(r) AS s, sum(t * t - 1) AS t FROM (SELECT *, count(*) OVER (PARTITION BY sector_code, mae) AS t FROM {RANKS}) GROUP BY 1)))"
+
+
+@query("friedman", f"SELECT n, k, round(stat, 5) AS stat, round({S.chi2_upper('stat', '(k - 1)')}, 8) AS p FROM {FRIEDMAN}")
 def _(spark, d):
-    return C.friedman(sector_mae(spark, d), "sector_code", "model_name", "mae").withColumn("stat", F.round("stat", 5))
+    return C.friedman(sector_mae(spark, d), "sector_code", "model_name", "mae").withColumns({"stat": F.round("stat", 5), "p": F.round("p", 8)})
 
 
 @query("nemenyi_cd", "SELECT round(2.569 * sqrt(4 * 5 / (6.0 * count(DISTINCT sector_code))), 6) AS cd FROM {sector_mae}")

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from sparkpanel.functions.period import period_to_date, regime_ramps
 from sparkpanel.functions.text import json_value, tier
 from sparkpanel.operators import champion, disaggregation, hierarchy, profile, reshape, selection, windows
-from sparkpanel.operators.compare import diebold_mariano, normal_p
+from sparkpanel.functions.tails import normal_two_sided as normal_p
+from sparkpanel.operators.compare import diebold_mariano
 from sparkpanel.sources import io
 from sparkpanel.streaming.landing import land_new_files
 
