@@ -1,7 +1,7 @@
-"""The chain of feature selection on a panel (key, time, y and feature columns), and tests of stationarity per series.
+"""The chain of feature selection on a panel (key, time, y and feature columns).
 
 Sums of squares and products over rows are Spark aggregates; what is solved in Python is as large as the number of
-features, or one series. Rows with a null in what a step needs are left out of that step; an empty panel selects nothing.
+features. Rows with a null in what a step needs are left out of that step; an empty panel selects nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from . import selection as K
 from .forecast import ridge_fit
+from .lagged import granger
 from .windows import differences
 
-#: Finite-sample 5 % critical value of the unit-root t statistic with a constant, by powers of 1 / n. Fixed values.
-ADF_5 = (-2.86154, -2.8903, -4.234, -40.04)
 #: Cumulative Poisson(1) probabilities. Fixed values.
 POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
 
@@ -29,63 +28,6 @@ def derive_features(columns: list[str], structural: list[str], target: str, flag
     return [(c, c.startswith(yearly)) for c in own]
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    value = 0.0
-    for m in range(200, 0, -1):  # from the innermost term outwards
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        value = even / (1 + odd / (1 + value))
-    first = -(a + b) * x / (a + 1)
-    return front / (1 + first / (1 + value))
-
-
-def f_tail(f: float, top: int, bottom: int) -> float:
-    """Chance of a larger F value with these degrees of freedom."""
-    return incomplete_beta(bottom / 2, top / 2, bottom / (bottom + top * f)) if f > 0 else 1.0
-
-
-def residual(x: np.ndarray, y: np.ndarray) -> float:
-    return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
-
-
-def granger_p(x: np.ndarray, y: np.ndarray, most: int) -> float | None:
-    """Smallest p over 1 to most lags of x added to as many of y; null where there are too few rows."""
-    best = None
-    for lag in range(1, most + 1):
-        n = len(y) - lag
-        if len(y) < 3 * lag or n <= 2 * lag + 1:
-            continue
-        own = np.column_stack([np.ones(n), *[y[lag - k : len(y) - k] for k in range(1, lag + 1)]])
-        more = np.column_stack([own, *[x[lag - k : len(x) - k] for k in range(1, lag + 1)]])
-        less, full, bottom = residual(own, y[lag:]), residual(more, y[lag:]), n - 2 * lag - 1
-        p = f_tail((less - full) / lag / (full / bottom), lag, bottom) if full > 1e-12 else 0.0
-        best = p if best is None else min(best, p)
-    return best
-
-
-def granger(df: DataFrame, features: list[str], y: str, key: str, time: str, most: int = 4, p: float = 0.05, least: float = 0.2) -> DataFrame:
-    """feature, share of series with p below the level, n series tested, retained. Differences are tested; one series is in a task, and its features in turn."""
-    d = differences(df.select(key, time, y, *features), [y, *features], key, time)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(time), []
-        for f in features:
-            own = pdf[[f, y]].astype(float).dropna()
-            got = granger_p(own[f].to_numpy(), own[y].to_numpy(), most) if len(own) else None
-            out.append((f, got))
-        return pd.DataFrame(out, columns=["feature", "p"])
-
-    tested = d.groupBy(key).applyInPandas(fit, "feature string, p double").where("p IS NOT NULL")
-    share = F.avg((F.col("p") < p).cast("double"))
-    return tested.groupBy("feature").agg(share.alias("share"), F.count("*").alias("n"), (share >= least).alias("retained"))
-
-
 def gram(df: DataFrame, by: list[str], columns: list[str], weight: Column) -> DataFrame:
     """by, and the weighted sums s_i_j of products of the columns, of which the first is 1."""
     c = [F.lit(1.0), *[F.col(x).cast("double") for x in columns]]
@@ -289,64 +231,3 @@ def champion_importance(df: DataFrame, champions: DataFrame, key: str, time: str
     shared = F.array(*[F.struct(F.lit(f"lag_{k}").alias("feature"), F.lit(v).alias("weight")) for k, v in enumerate(forest, 1)]) if forest else F.expr("CAST(array() AS array<struct<feature:string,weight:double>>)")
     trees = champions.where("model = 'random_forest'").select(key, "model", F.inline(shared))
     return top_importance(linear.unionByName(trees), key, "weight", n)
-
-
-def adf(y: np.ndarray) -> tuple[float, int, float]:
-    """t statistic of the level in the unit-root regression with a constant, lags (by Akaike's criterion on one sample), and the 5 % critical value."""
-    dy, n = np.diff(y), len(y)
-    most = min(int(math.ceil(12 * (n / 100) ** 0.25)), max(0, n // 2 - 2))
-
-    def fit(lags: int, start: int):
-        rows = np.arange(start, len(dy))
-        x = np.column_stack([y[rows], np.ones(len(rows)), *[dy[rows - k] for k in range(1, lags + 1)]])
-        b, t = np.linalg.lstsq(x, dy[rows], rcond=None)[0], dy[rows]
-        return x, b, float(((t - x @ b) ** 2).sum()), len(rows)
-
-    def criterion(lags: int) -> float:
-        x, _, sse, m = fit(lags, most)
-        return m * math.log(max(sse, 1e-300) / m) + 2 * x.shape[1]
-
-    lags = min(range(most + 1), key=criterion)
-    x, b, sse, m = fit(lags, lags)
-    var = sse / max(1, m - x.shape[1]) * np.linalg.pinv(x.T @ x)[0, 0]
-    return float(b[0] / math.sqrt(var)) if var > 0 else -math.inf, lags, sum(c / m**k for k, c in enumerate(ADF_5))
-
-
-def lag_correlation(y: np.ndarray, lag: int) -> float:
-    d = y - y.mean()
-    s = float((d * d).sum())
-    return float((d[lag:] * d[:-lag]).sum() / s) if s > 0 and len(y) > lag else 0.0
-
-
-def orders(y: np.ndarray, season: int) -> tuple[int, int]:
-    """Differences in time (0 for a stationary series, else 1, or 2 where that lowers the variance) and over the season, neither of them overdone."""
-    if adf(y)[0] < adf(y)[2]:
-        return 0, 0
-    once, twice = np.diff(y), np.diff(y, 2)
-    d = 2 if twice.var(ddof=1) < once.var(ddof=1) and lag_correlation(twice, 1) >= -0.5 else 1
-    own = twice if d == 2 else once
-    if len(own) <= season + 2 or abs(lag_correlation(own, season)) <= 1.96 / math.sqrt(len(own)):
-        return d, 0
-    after = own[season:] - own[:-season]
-    return d, int(after.var(ddof=1) < own.var(ddof=1) and lag_correlation(after, 1) >= -0.5)
-
-
-def adf_test(df: DataFrame, key: str, time: str, y: str, least: int = 10) -> DataFrame:
-    """key, statistic, lags, critical, stationary of each series of at least `least` rows; nulls are left out. One series is in a task."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=[y]).sort_values(time)[y].to_numpy(float)
-        out = [(pdf[key].iloc[0], *(got := adf(own)), got[0] < got[2])] if len(own) >= least else []
-        return pd.DataFrame(out, columns=[key, "statistic", "lags", "critical", "stationary"])
-
-    return df.select(key, time, y).groupBy(key).applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, statistic double, lags int, critical double, stationary boolean")
-
-
-def differencing_order(df: DataFrame, key: str, time: str, y: str, season: int = 4, least: int = 10) -> DataFrame:
-    """key, d, seasonal_d of each series of at least `least` rows; nulls are left out. One series is in a task."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.dropna(subset=[y]).sort_values(time)[y].to_numpy(float)
-        return pd.DataFrame([(pdf[key].iloc[0], *orders(own, season))] if len(own) >= least else [], columns=[key, "d", "seasonal_d"])
-
-    return df.select(key, time, y).groupBy(key).applyInPandas(fit, f"{key} {dict(df.dtypes)[key]}, d int, seasonal_d int")

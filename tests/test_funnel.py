@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from sparkpanel.operators import funnel as N
+from sparkpanel.operators import lagged as G
 
 
 def frame(spark, n=60):
@@ -17,16 +18,8 @@ def frame(spark, n=60):
     return spark.createDataFrame(rows, "sector string, t int, y double, q_lead double, q_noise double, q_flat double, q_copy double, y_lead double")
 
 
-def test_f_tail_values():
-    # F(1, b) is the square of t; F(2, b) has a closed form
-    for b in (3, 10, 40):
-        for f in (0.1, 1.0, 4.0, 20.0):
-            assert N.f_tail(f, 2, b) == pytest.approx((1 + 2 * f / b) ** (-b / 2), rel=1e-9)
-    assert N.f_tail(161.4476, 1, 1) == pytest.approx(0.05, abs=1e-6)
-
-
 def test_granger_finds_the_leader(spark):
-    got = {r["feature"]: r for r in N.granger(frame(spark), ["q_lead", "q_noise"], "y", "sector", "t").collect()}
+    got = {r["feature"]: r for r in G.granger(frame(spark), ["q_lead", "q_noise"], "y", "sector", "t").collect()}
     assert got["q_lead"]["share"] == 1.0 and got["q_lead"]["retained"] and got["q_lead"]["n"] == 3
 
 
@@ -58,16 +51,6 @@ def test_select_features_end_to_end(spark):
         N.select_features(d.limit(0), ["sector", "t"], "y", "sector", "t", holdout=0)
 
 
-def test_stationarity():
-    rng = np.random.default_rng(3)
-    noise, walk = rng.normal(size=200), rng.normal(size=200).cumsum()
-    t, _, critical = N.adf(noise)
-    assert t < critical < -2.8 and N.adf(walk)[0] > N.adf(walk)[2]
-    assert N.orders(noise, 4) == (0, 0) and N.orders(walk, 4)[0] == 1
-    assert N.orders(np.arange(200.0) ** 2 + walk.cumsum(), 4)[0] == 2
-    assert N.orders(walk + np.tile([9.0, -9.0, 5.0, -5.0], 50), 4)[1] == 1
-
-
 def test_lagged_ols(spark):
     rows = [("a", k, float(k % 7), 2.0 + 3.0 * ((k - 3) % 7)) for k in range(30)]
     got = N.lagged_ols(spark.createDataFrame(rows, "s string, t int, x double, y double"), "x", "y", "s", "t").collect()
