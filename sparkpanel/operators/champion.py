@@ -13,10 +13,11 @@ def inner_mae(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where("fold_set = 'inner'").groupBy(*keys).agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("inner_mae"))
 
 
-def select_honest(df: DataFrame, key: str = "sector_code", model: str = "model_name") -> DataFrame:
-    """Outer rows of each key's model with the lowest inner error."""
-    best = first_rows(inner_mae(df, [key, model]), key, [F.round("inner_mae", 9), F.col(model)])
-    return df.where("fold_set = 'outer'").join(best.select(key, model), [key, model], "left_semi")
+def select_honest(df: DataFrame, key: str | list[str] = "sector_code", model: str = "model_name") -> DataFrame:
+    """Outer rows of each key's model with the lowest inner error; with several key columns, all families in one pass."""
+    keys = [key] if isinstance(key, str) else key
+    best = first_rows(inner_mae(df, [*keys, model]), keys, [F.round("inner_mae", 9), F.col(model)])
+    return df.where("fold_set = 'outer'").join(best.select(*keys, model), [*keys, model], "left_semi")
 
 
 def select_global(df: DataFrame, model: str = "model_name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import range_letters, section_of_division
+from .order import saved
 
 
 def lookup(df: DataFrame, titles: DataFrame, code: str) -> DataFrame:
@@ -40,12 +41,65 @@ def tree_parent(nodes: DataFrame) -> DataFrame:
     return d.select("code", "title", "level", parent.alias("parent"))
 
 
-def tree_json(edges: DataFrame, depth: int = 4) -> DataFrame:
-    """root and its nested children as JSON, built from the leaves up; edges as from tree_parent, at most `depth` levels."""
-    level = edges.select("code", "title", "parent").withColumn("node", F.to_json(F.struct("code", "title")))
-    for _ in range(depth - 1):
-        kids = level.where("parent IS NOT NULL").groupBy(F.col("parent").alias("p")).agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("kids"))
-        base = edges.select("code", "title", "parent")
-        text = F.when(F.col("kids").isNull(), F.to_json(F.struct("code", "title"))).otherwise(F.concat(F.regexp_replace(F.to_json(F.struct("code", "title")), "\\}$", ""), F.lit(',"children":['), "kids", F.lit("]}")))
-        level = base.join(kids, base["code"] == kids["p"], "left").select("code", "title", "parent", text.alias("node"))
-    return level.where("parent IS NULL").select("code", "node")
+def tree_levels(edges: DataFrame) -> list[DataFrame]:
+    """The nodes (code, title, parent, path) of each level from the roots down, saved; edges: a row for each node, parent null for roots.
+
+    A node that no root leads to (its parent is missing, or is below it) and a repeated code are errors.
+    """
+    own = saved(edges.select("code", "title", "parent"), "tree")
+    n = own.count()
+    level = saved(own.where("parent IS NULL").withColumn("path", F.col("code").cast("string")), "tree")
+    out, reached = [], 0
+    while (size := level.count()) and reached <= n:
+        out.append(level)
+        reached += size
+        above = level.select(F.col("code").alias("above"), F.col("path").alias("above_path"))
+        below = own.join(above, own["parent"] == above["above"])
+        level = saved(below.select("code", "title", "parent", F.concat_ws("/", "above_path", "code").alias("path")), "tree")
+    if reached != n or own.select("code").distinct().count() != n:
+        raise ValueError("not a tree: a cycle, a missing parent or a repeated code")
+    return out
+
+
+def tree_paths(edges: DataFrame) -> DataFrame:
+    """code, depth (0 for roots) and path from the root of each node."""
+    parts = [d.select("code", F.lit(k).alias("depth"), "path") for k, d in enumerate(tree_levels(edges))]
+    if not parts:
+        return edges.select("code", F.lit(0).alias("depth"), F.col("code").cast("string").alias("path")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def tree_json(edges: DataFrame) -> DataFrame:
+    """code and node of each root: itself and its nested children as JSON, built from the lowest level up, at any depth."""
+    levels = tree_levels(edges)
+    if not levels:
+        return edges.select("code", F.lit("").alias("node")).limit(0)
+    text, kids = F.to_json(F.struct("code", "title")), None
+    for level in reversed(levels):
+        d = level.select("code", "parent", text.alias("own"))
+        if kids is None:
+            d = d.withColumn("node", F.col("own"))
+        else:
+            whole = F.concat(F.regexp_replace("own", "\\}$", ""), F.lit(',"children":['), "kids", F.lit("]}"))
+            d = d.join(kids, d["code"] == kids["above"], "left").withColumn("node", F.when(F.col("kids").isNull(), F.col("own")).otherwise(whole))
+        d = saved(d.select("code", "parent", "node"), "tree")
+        kids = d.groupBy(F.col("parent").alias("above")).agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("kids"))
+    return d.select("code", "node")
+
+
+def split_by_level(df: DataFrame, code: str, titles: DataFrame, unmatched: bool = True) -> DataFrame:
+    """df with frame: one row for each frame that a row is in, so that a filter on frame gives the frame.
+
+    A row is in the frame of its code's level (titles: Key, level, section); a division with a section is in `section` too,
+    and a row whose trimmed code has no title is in `_unmatched`, if asked for.
+    """
+    t = titles.select(F.trim("Key").alias("match_key"), F.col("level").alias("own_level"), F.col("section").alias("own_section")).dropDuplicates(["match_key"])
+    d = df.join(t, F.trim(df[code].cast("string")) == t["match_key"], "left")
+    up = (F.col("own_level") == "division") & F.col("own_section").isNotNull()
+    frames = F.when(F.col("match_key").isNull(), F.array(F.lit("_unmatched"))).when(up, F.array("own_level", F.lit("section"))).otherwise(F.array("own_level"))
+    d = d.select(*[df[c] for c in df.columns], "own_section", F.explode(frames).alias("frame"))
+    d = d.withColumn("section", F.when(F.col("frame") == "section", F.col("own_section"))).drop("own_section")
+    return d if unmatched else d.where("frame <> '_unmatched'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..operators import hierarchy as T
 from ..operators import selection as K
 from ..operators.order import wide_quantiles
 from ..operators.windows import by, lagged
+from ..sources.scratch import shared_path
+from ..streaming import landing as L
 from .frames import canonical, panel, sector_mae, table
 from .registry import query
 from .scores import MASE, TIER, mase
@@ -172,26 +176,52 @@ def _(spark, d):
     return D.best_indicator(panel(spark, d), "sector", "year", "y", ["n_orders", "x_bal"]).withColumn("r", F.round("r", 5))
 
 
-@query("hierarchy_level_code", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'division' WHEN p_size % 4 = 1 THEN 'group' WHEN p_size % 4 = 2 THEN 'class' ELSE 'subclass' END AS level FROM part")
+#: Codes and titles of all kinds, made of the columns of part.
+CODES = """(SELECT *, lpad(p_size::VARCHAR, 2, '0') || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '.' || (p_partkey % 10) WHEN 2 THEN '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') WHEN 3 THEN '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || '.' || (p_partkey % 7) ELSE p_brand END AS code,
+CASE p_partkey % 6 WHEN 0 THEN 'A-U ' WHEN 1 THEN chr(65 + p_size % 10) || '-' || chr(75 + p_size % 10) || ' ' WHEN 2 THEN chr(65 + p_size % 21) || ' ' WHEN 3 THEN p_size || '-' || (p_size + 2) || ' ' WHEN 4 THEN 'WP' || p_size ELSE '' END || p_name AS title FROM part)"""
+LEVEL_OF_CODE = "CASE len(string_split(code, '.')) WHEN 1 THEN 'division' WHEN 2 THEN CASE WHEN length(string_split(code, '.')[2]) = 1 THEN 'group' ELSE 'class' END ELSE 'subclass' END"
+LEVEL_OF_TITLE = "CASE WHEN starts_with(title, 'WP') THEN 'size' WHEN starts_with(title, 'A-U ') THEN 'total' WHEN regexp_matches(title, '^[A-Z]-[A-Z] ') THEN 'sector' WHEN regexp_matches(title, '^[A-Z] ') THEN 'section' WHEN left(title, 1) BETWEEN '0' AND '9' THEN 'subdivision' ELSE 'other' END"
+SECTION_OF_CODE = "CASE " + " ".join(f"WHEN left(code, 2)::INT BETWEEN {a} AND {b} THEN '{s}'" for s, a, b in X.SECTIONS) + " END"
+
+
+def coded_parts(spark, d):
+    """part with code and title."""
+    text = lambda c: c.cast("string")
+    two = lambda c: F.lpad(text(c), 2, "0")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda k, *values: F.element_at(F.array(*values), (key % k + 1).cast("int"))
+    dot, tens = F.lit("."), two(key % 100)
+    code = F.concat(two(size), pick(5, F.lit(""), F.concat(dot, text(key % 10)), F.concat(dot, tens), F.concat(dot, tens, dot, text(key % 7)), F.col("p_brand")))
+    letter = lambda first, n: F.char(first + size % n)
+    head = pick(6, F.lit("A-U "), F.concat(letter(65, 10), F.lit("-"), letter(75, 10), F.lit(" ")), F.concat(letter(65, 21), F.lit(" ")), F.concat(text(size), F.lit("-"), text(size + 2), F.lit(" ")), F.concat(F.lit("WP"), text(size)), F.lit(""))
+    return table(spark, d, "part").withColumns({"code": code, "title": F.concat(head, "p_name")})
+
+
+@query("hierarchy_level_code", f"SELECT p_partkey, code, {LEVEL_OF_CODE} AS level FROM {CODES} WHERE p_partkey % 5 < 4")
 def _(spark, d):
-    code = F.element_at(F.array(*[F.lit(c) for c in ("45", "45.2", "45.20", "69.10.1")]), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", X.level_by_code(code).alias("level"))
+    return coded_parts(spark, d).where("p_partkey % 5 < 4").select("p_partkey", "code", X.level_by_code(F.col("code")).alias("level"))
 
 
-TITLE_LIST = ["A-U All", "B-F Industry", "C Manufacturing", "10-12 Food", "WP19078", "other"]
-LEVEL_LIST = ["total", "sector", "section", "subdivision", "size", "other"]
+@query("hierarchy_level_title", f"SELECT p_partkey, title, {LEVEL_OF_TITLE} AS level FROM {CODES}")
+def _(spark, d):
+    return coded_parts(spark, d).select("p_partkey", "title", X.level_by_title(F.col("title")).alias("level"))
 
 
-@query("hierarchy_level_title", "SELECT p_partkey, ['" + "','".join(LEVEL_LIST) + "'][p_size % 6 + 1] AS level FROM part")
+@query("split_by_level", f"""WITH t AS (SELECT DISTINCT code, {LEVEL_OF_CODE} AS level, {SECTION_OF_CODE} AS section FROM {CODES} WHERE p_partkey % 5 < 4 AND p_size % 9 <> 0),
+m AS (SELECT p.*, level, section FROM {CODES} p LEFT JOIN t USING (code))
+SELECT frame, section, count(*) AS n, min(p_partkey) AS first FROM (SELECT coalesce(level, '_unmatched') AS frame, NULL AS section, p_partkey FROM m UNION ALL SELECT 'section', section, p_partkey FROM m WHERE level = 'division' AND section IS NOT NULL) GROUP BY ALL""")
 def _(spark, d):
-    title = F.element_at(F.array(*[F.lit(c) for c in TITLE_LIST]), (F.col("p_size") % 6 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", X.level_by_title(title).alias("level"))
+    p = coded_parts(spark, d)
+    known = p.where("p_partkey % 5 < 4 AND p_size % 9 <> 0").select(F.concat("code", F.lit(" ")).alias("Key"), X.level_by_code(F.col("code")).alias("level"), X.section_of_division(F.substring("code", 1, 2).cast("int")).alias("section"))
+    s = T.split_by_level(p, "code", known)
+    return s.groupBy("frame", "section").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-@query("split_by_level", "SELECT ['" + "','".join(LEVEL_LIST) + "'][p_size % 6 + 1] AS level, count(*) AS n FROM part GROUP BY 1")
+@query("tree_paths", "WITH RECURSIVE t AS (SELECT c_custkey AS code, 0 AS depth, c_custkey::VARCHAR AS path FROM customer WHERE c_custkey <= 3 UNION ALL SELECT c_custkey, depth + 1, path || '/' || c_custkey FROM customer JOIN t ON c_custkey // 4 = code AND c_custkey > 3) SELECT code, depth, path FROM t")
 def _(spark, d):
-    title = F.element_at(F.array(*[F.lit(c) for c in TITLE_LIST]), (F.col("p_size") % 6 + 1).cast("int"))
-    return table(spark, d, "part").groupBy(X.level_by_title(title).alias("level")).agg(F.count("*").alias("n"))
+    """Customers as a tree in which each has four below it: as deep as the table is large."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") > 3, F.floor(F.col("c_custkey") / 4)).alias("parent"))
+    return T.tree_paths(c)
 
 
 @query("division_to_section", "SELECT p_partkey, p_size, CASE " + " ".join(f"WHEN p_size BETWEEN {a} AND {b} THEN '{s}'" for s, a, b in X.SECTIONS) + " END AS section FROM part")
@@ -302,16 +332,51 @@ def _(spark, d):
     return seasonal_period(panel(spark, d), "sector", "period_enddate", "y")
 
 
-@query("incremental_landing")
-def _(spark, d):
-    import uuid
+LANDED = "SELECT event_type, 1 AS n_files, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1"
 
-    from ..sources.scratch import shared_path
-    from ..streaming.landing import land_new_files
 
-    top = shared_path(spark, f"landing-{uuid.uuid4().hex}")
+def event_files(spark, d, name: str):
+    """A folder with the events, one file for each type."""
+    top = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
     src = table(spark, d, "events")
-    src.write.parquet(f"{top}/in")
+    src.repartition("event_type").write.partitionBy("event_type").parquet(f"{top}/in")
+    return top, src.drop("event_type")
+
+
+def by_file(rows):
+    """Files and rows of each type, by the names of the files that they came from."""
+    kind = F.regexp_extract("_source_file", "event_type=([^/]+)/", 1)
+    return rows.groupBy(kind.alias("event_type")).agg(F.countDistinct("_source_file").cast("int").alias("n_files"), F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("incremental_landing", LANDED)
+def _(spark, d):
+    """A file that is written again takes the place of its rows, and a last run finds nothing new."""
+    top, src = event_files(spark, d, "landing")
+    L.land_files(spark, f"{top}/in", src.schema, f"{top}/out", pattern="*.parquet")
+    again = table(spark, d, "events")
+    one = again.agg(F.min("event_type")).scalar()
+    again.where(F.col("event_type") == one).repartition("event_type").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type").parquet(f"{top}/in")
+    # Spark gives the new file a name of its own, so its old rows are those of a file that is gone
+    L.land_files(spark, f"{top}/in", src.schema, f"{top}/out", pattern="*.parquet")
+    L.land_files(spark, f"{top}/in", src.schema, f"{top}/out", pattern="*.parquet")
+    there = L.source_files(spark, f"{top}/in", "*.parquet").select("_source_file")
+    return by_file(L.landed(spark, f"{top}/out").join(there, "_source_file", "left_semi"))
+
+
+@query("stream_landing", LANDED)
+def _(spark, d):
+    top, src = event_files(spark, d, "stream")
     for _ in range(2):  # the second run finds nothing new
-        land_new_files(spark, f"{top}/in", src.schema, f"{top}/out", f"{top}/state")
-    return spark.read.parquet(f"{top}/out").select("event_id", "event_type", "value")
+        L.stream_new_files(spark, f"{top}/in", src.schema, f"{top}/out", f"{top}/state")
+    return by_file(spark.read.parquet(f"{top}/out"))
+
+
+@query("skip_loaded", "SELECT DISTINCT event_type, false AS changed FROM events WHERE event_type <> (SELECT min(event_type) FROM events)")
+def _(spark, d):
+    """The files of all types but the one that was landed before."""
+    top, src = event_files(spark, d, "skip")
+    first = table(spark, d, "events").agg(F.min("event_type")).first()[0]
+    L.land_files(spark, f"{top}/in/event_type={first}", src.schema, f"{top}/out", pattern="*.parquet")
+    left = L.new_files(L.source_files(spark, f"{top}/in", "*.parquet"), L.manifest(spark, f"{top}/out"))
+    return left.select(F.regexp_extract("_source_file", "event_type=([^/]+)/", 1).alias("event_type"), "changed")

@@ -12,6 +12,7 @@ from ..operators import selection as K
 from ..operators.forecast import sliding_backtest, walk_forward
 from ..operators.hierarchy import lookup
 from ..sources import io
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_path
 from .frames import canonical, panel, table
 from .models import CHAMPIONS, champions
@@ -42,10 +43,21 @@ def _(spark, d):
 
 @query("replace_by_key_sink", "SELECT sector, period_enddate, CASE WHEN sector IN ('NATION_1', 'NATION_2') THEN round(y * 2, 6) ELSE y END AS y FROM {panel}")
 def _(spark, d):
-    path, p = place(spark, "by-key"), panel(spark, d).select("sector", "period_enddate", "y")
-    io.replace_by_key(p, path, "sector")
-    io.replace_by_key(p.where("sector IN ('NATION_1', 'NATION_2')").withColumn("y", six(F.col("y") * 2)), path, "sector")
-    return spark.read.parquet(path).select("sector", "period_enddate", "y")
+    t, p = KeyedTable(spark, place(spark, "by-key"), "sector"), panel(spark, d).select("sector", "period_enddate", "y")
+    t.replace(p)
+    t.replace(p.where("sector IN ('NATION_1', 'NATION_2')").withColumn("y", six(F.col("y") * 2)))
+    return t.read()
+
+
+@query("keyed_versions", "SELECT v AS version, count(*) AS n, count(DISTINCT o_custkey) AS n_keys, min(o_orderkey) AS first FROM orders, range(1, 4) t(v) WHERE NOT (v >= 2 AND o_custkey % 3 = 0 AND o_orderkey % 2 = 0) AND NOT (v = 3 AND o_custkey % 5 = 0) GROUP BY 1")
+def _(spark, d):
+    """Orders by customer: keys that are replaced by fewer rows, then keys that lose all; each version can still be read."""
+    t, o = KeyedTable(spark, place(spark, "versions"), "o_custkey"), table(spark, d, "orders")
+    t.replace(o)
+    t.replace(o.where("o_custkey % 3 = 0 AND o_orderkey % 2 = 1"), o.where("o_custkey % 3 = 0").select("o_custkey"))
+    t.replace(o.limit(0), o.where("o_custkey % 5 = 0").select("o_custkey"))
+    parts = [t.read(v).agg(F.lit(v).cast("long").alias("version"), F.count("*").alias("n"), F.countDistinct("o_custkey").alias("n_keys"), F.min("o_orderkey").alias("first")) for v in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("full_refresh_sink", "SELECT sector, period_enddate, CASE WHEN quarter <> 2 THEN y END AS y FROM {panel}")
@@ -65,9 +77,10 @@ def _(spark, d):
 
 @query("champion_table", f"SELECT sector_code, model_name, mase FROM {CHAMPIONS}")
 def _(spark, d):
-    path = place(spark, "champions")
-    io.replace_by_key(champions(spark, d).select("sector_code", "model_name", "mase"), path, "sector_code")
-    return spark.read.parquet(path).select("sector_code", "model_name", "mase")
+    t, c = KeyedTable(spark, place(spark, "champions"), "sector_code"), champions(spark, d).select("sector_code", "model_name", "mase")
+    t.replace(c.withColumn("model_name", F.lit("incumbent")))
+    t.replace(c)
+    return t.read()
 
 
 @query("sector_performance", f"SELECT c.sector_code, c.model_name, c.mase, {TIER.replace('mase', 'c.mase')} AS tier, coalesce(r_name, '') AS title FROM {CHAMPIONS} c LEFT JOIN nation ON n_name = sector_code LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -81,9 +94,8 @@ def _(spark, d):
 @query("load_families", "SELECT model_name AS family, sector_code, target_date, y_pred FROM {canonical} WHERE fold_set = 'outer' AND model_name IN ('last', 'naive') UNION ALL SELECT 'seasonal', sector_code, target_date, y_pred FROM {canonical} WHERE fold_set = 'outer' AND model_name = 'seasonal_ma'")
 def _(spark, d):
     c = canonical(spark, d).where("model_name <> 'rolling'")
-    family = F.when(F.col("model_name").startswith("seasonal"), "seasonal").otherwise(F.col("model_name"))
-    parts = [H.select_honest(c.withColumn("family", family).where(F.col("family") == f)) for f in ("last", "naive", "seasonal")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("family", "sector_code", "target_date", "y_pred")
+    c = c.withColumn("family", F.when(F.col("model_name").startswith("seasonal"), "seasonal").otherwise(F.col("model_name")))
+    return H.select_honest(c, ["sector_code", "family"]).select("family", "sector_code", "target_date", "y_pred")
 
 
 @query("cross_fold_selection", "WITH b AS (SELECT sector_code, min_by(model_name, (round(m, 9), model_name)) AS model_name FROM (SELECT sector_code, model_name, avg(abs(y_pred - y_true)) AS m FROM {canonical} WHERE fold_set = 'inner' GROUP BY ALL) GROUP BY 1) SELECT c.sector_code, c.model_name, round(avg(abs(y_pred - y_true)), 6) AS outer_mae FROM {canonical} c JOIN b ON b.sector_code = c.sector_code AND b.model_name = c.model_name WHERE fold_set = 'outer' GROUP BY ALL")

@@ -10,6 +10,7 @@ from ..functions.period import period_frequency, period_number, period_to_date,
 from ..operators import joins as J
 from ..operators import profile as P
 from ..operators import reshape as R
+from ..sources import io
 from .frames import canonical, order_facts, panel, period_table, sector_mae, table
 from .registry import query
 from .series import HOLES, holes
@@ -20,15 +21,11 @@ WHEN contains(Perioden, 'MM') THEN CASE WHEN n BETWEEN 1 AND 12 THEN last_day(ma
 CODES = "(SELECT *, try_cast(substr(Perioden, 1, 4) AS INT) AS yy, try_cast(substr(Perioden, 7, 2) AS INT) AS n FROM {period_table})"
 
 
-@query("trim_and_stamp", "SELECT 'orders_' || o_orderkey AS bronze_pk, trim(o_orderstatus) AS o_orderstatus, trim(o_orderpriority) AS o_orderpriority FROM orders")
+@query("trim_and_stamp", "SELECT o_orderkey AS \"Key\", trim(o_orderstatus) AS o_orderstatus, trim(o_orderpriority) AS o_orderpriority, 'orders_' || o_orderkey AS bronze_pk, 'orders' AS _source_file FROM orders")
 def _(spark, d):
-    return table(spark, d, "orders").select(F.concat_ws("_", F.lit("orders"), "o_orderkey").alias("bronze_pk"), F.trim("o_orderstatus").alias("o_orderstatus"), F.trim("o_orderpriority").alias("o_orderpriority"))
-
-
-@query("skip_loaded", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)")
-def _(spark, d):
-    done = table(spark, d, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(done, "o_custkey", "left_anti").select("o_orderkey")
+    padded = F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("Key"), "o_orderstatus", padded.alias("o_orderpriority"))
+    return io.trim_and_stamp(o, "orders")
 
 
 SQL_QUERY = "SELECT n_name, count(*) AS n_customers, max(c_acctbal) AS max_bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"

@@ -70,11 +70,6 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", types: di
     df.select(*[F.col(c).cast((types or {}).get(c)).alias(c) if c in (types or {}) else F.col(c) for c in df.columns]).write.mode(mode).parquet(path)
 
 
-def replace_by_key(df: DataFrame, path: str, key: str) -> None:
-    """Only the partitions of the keys in df are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def full_refresh(df: DataFrame, path: str, schema: T.StructType) -> None:
     """Replace the table with the declared columns; NaN becomes null."""
     value = lambda f: F.when(~F.isnan(f.name), F.col(f.name)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)

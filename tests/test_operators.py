@@ -15,7 +15,7 @@ from sparkpanel.operators import champion, disaggregation, hierarchy, profile, r
 from sparkpanel.functions.tails import normal_two_sided as normal_p
 from sparkpanel.operators.compare import diebold_mariano
 from sparkpanel.sources import io
-from sparkpanel.streaming.landing import land_new_files
+from sparkpanel.streaming.landing import stream_new_files
 
 
 def rows(df, *columns):
@@ -33,13 +33,6 @@ def test_star_scan_reads_fact_and_dimensions(spark, tmp_path):
     assert io.trim_and_stamp(spark.createDataFrame([(1,)], "x int"), "n") is None
 
 
-def test_replace_by_key_leaves_other_keys(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    io.replace_by_key(spark.createDataFrame([("a", 1), ("b", 2)], "sector string, v int"), path, "sector")
-    io.replace_by_key(spark.createDataFrame([("a", 3)], "sector string, v int"), path, "sector")
-    assert rows(spark.read.parquet(path), "sector", "v") == [("a", 3), ("b", 2)]
-
-
 def test_full_refresh_turns_nan_to_null(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     io.full_refresh(spark.createDataFrame([(1, float("nan"), "x")], "a int, b double, more string"), path, T.StructType.fromDDL("a int, b double, c string"))
@@ -63,7 +56,7 @@ def test_landing_takes_each_file_once(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(k,)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
         for _ in range(2):
-            land_new_files(spark, f"file://{tmp_path}/in", schema, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+            stream_new_files(spark, f"file://{tmp_path}/in", schema, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     assert rows(spark.read.parquet(f"file://{tmp_path}/out"), "x") == [(0,), (1,), (2,)]
 
 
