@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import metric_prefix, tier
 from ..operators import champion as H
+from ..operators import scorecard as B
 from ..operators import selection as K
 from ..operators.forecast import sliding_backtest, walk_forward
 from ..operators.hierarchy import lookup
 from ..sources import io
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_path
+from . import integrals as S
 from .frames import canonical, panel, table
 from .models import CHAMPIONS, champions
 from .registry import query
-from .scores import MASE, TIER, mase
+from .scores import CRPS_SQL, KNOTS, METRICS, TIER
 
 six = lambda c: F.round(c, 6)
 
@@ -145,6 +147,45 @@ def _(spark, d):
     return K.partition_candidates(n.select("feature"), origin, ["0"]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("scorecard", f"SELECT model_name, round(median(mase), 6) AS median_mase, count(*) AS n FROM {MASE} GROUP BY 1")
-def _(spark, d):
-    return mase(spark, d).groupBy("model_name").agg(six(F.median("mase")).alias("median_mase"), F.count("*").alias("n"))
+_UNPIVOT = lambda metrics, source: f"SELECT part, model_name, other, u.metric, u.value FROM ({source}) CROSS JOIN LATERAL (VALUES " + ", ".join(f"('{m}', {m}::DOUBLE)" for m in metrics) + ") u(metric, value)"
+_ERRORS = METRICS.replace("round(", "(").replace(", 6)", ")").replace(", 5)", ")")
+_SCORES = [("naive", 3, 3, 3, 3), ("seasonal*", 2, 2, 2, 3), ("*", 1, 1, 1, 1)]
+SCORECARD = f"""WITH given AS MATERIALIZED (SELECT * FROM {{canonical}}),
+al AS MATERIALIZED (SELECT given.* FROM given JOIN (SELECT sector_code, target_date, horizon FROM given GROUP BY ALL HAVING count(DISTINCT model_name) = (SELECT count(DISTINCT model_name) FROM given)) USING (sector_code, target_date, horizon)),
+regimes AS (SELECT *, CASE WHEN year(target_date) < (SELECT min(year(target_date)) FROM given) + 2 THEN 'pre' ELSE 'post' END AS regime FROM al),
+points AS MATERIALIZED (SELECT CASE WHEN grouping(horizon) = 0 THEN 'horizon' WHEN grouping(sector_code) = 0 THEN 'sector' WHEN grouping(regime) = 0 THEN 'regime' ELSE 'point' END AS part, model_name, coalesce(horizon::VARCHAR, sector_code, regime) AS other, {_ERRORS} FROM regimes GROUP BY GROUPING SETS ((model_name), (model_name, horizon), (model_name, sector_code), (model_name, regime))),
+maes AS MATERIALIZED (SELECT model_name, other AS sector_code, round(mae, 9) AS mae FROM points WHERE part = 'sector'),
+ranked AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY sector_code ORDER BY mae) + (count(*) OVER (PARTITION BY sector_code, mae) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY sector_code, mae) AS ties FROM maes WHERE sector_code IN (SELECT sector_code FROM maes GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT model_name) FROM maes))),
+pairs AS MATERIALIZED (SELECT a.sector_code, a.model_name AS model_a, b.model_name AS model_b, (a.y_true - a.y_pred) ** 2 - (b.y_true - b.y_pred) ** 2 AS d FROM al a JOIN al b USING (sector_code, target_date, horizon) WHERE a.model_name <> b.model_name),
+pooled AS (SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, var_pop(d) AS g0 FROM pairs GROUP BY 1, 2),
+own AS (SELECT model_a, model_b, sector_code, count(*)::DOUBLE AS n, avg(d) AS m, var_pop(d) AS g0 FROM pairs GROUP BY 1, 2, 3),
+stats AS (SELECT model_a, model_b, CASE WHEN n >= 8 AND g0 > 0 THEN m / sqrt(g0 / n) * sqrt((n - 1) / n) END AS stat FROM pooled),
+own_p AS (SELECT model_a, model_b, m, {S.normal_two_sided('stat')} AS p FROM (SELECT *, m / sqrt(g0 / n) * sqrt((n - 1) / n) AS stat FROM own WHERE n >= 8 AND g0 > 0)),
+sums AS (SELECT model_name, count(*) AS n, sum(r) AS s, sum(ties * ties - 1) AS t FROM ranked GROUP BY 1),
+fried AS (SELECT n, k, (12.0::DOUBLE / (n * k * (k + 1)) * r2 - 3 * n * (k + 1)) / (1 - t / (n * (k * k * k - k))::DOUBLE) AS stat FROM (SELECT max(n) AS n, count(*) AS k, sum(s * s)::DOUBLE AS r2, sum(t) AS t FROM sums)),
+ops AS (SELECT model_name, (CASE WHEN model_name = 'naive' THEN 12 WHEN starts_with(model_name, 'seasonal') THEN 9 ELSE 4 END)::DOUBLE AS total FROM (SELECT DISTINCT model_name FROM al)),
+best AS (SELECT model_name, round(mae, 9) AS a, round(abs(bias), 9) AS u, round(rmse, 9) AS l, total AS e FROM points JOIN ops USING (model_name) WHERE part = 'point')
+SELECT part, model_name, other, metric, round(value, 5) AS value FROM (
+{_UNPIVOT(("n", "mae", "rmse", "mape", "r2", "bias"), "SELECT * FROM points")}
+UNION ALL {_UNPIVOT(("n_given", "n_aligned"), "SELECT 'alignment' AS part, model_name, NULL::VARCHAR AS other, count(*) AS n_given, max(n) AS n_aligned FROM given JOIN (SELECT model_name, count(*) AS n FROM al GROUP BY 1) USING (model_name) GROUP BY 2")}
+UNION ALL SELECT 'skill', m.model_name, NULL, 'skill', 1 - avg(abs(m.y_pred - m.y_true)) / avg(abs(b.y_pred - b.y_true)) FROM al m JOIN al b USING (sector_code, target_date, horizon) WHERE b.model_name = 'naive' AND m.model_name <> 'naive' GROUP BY 2
+UNION ALL {_UNPIVOT(("n", "observed", "width", "miscalibration"), "SELECT 'calibration' AS part, model_name, level::VARCHAR AS other, count(*) AS n, avg((y_true BETWEEN low AND high)::INT) AS observed, avg(high - low) AS width, avg((y_true BETWEEN low AND high)::INT) - level / 100.0::DOUBLE AS miscalibration FROM (SELECT model_name, y_true, 80 AS level, y_lower_80 AS low, y_upper_80 AS high FROM al UNION ALL SELECT model_name, y_true, 95, y_lower_95, y_upper_95 FROM al) GROUP BY model_name, level")}
+UNION ALL SELECT 'crps', model_name, NULL, 'crps', avg({CRPS_SQL}) FROM al GROUP BY 2
+UNION ALL {_UNPIVOT(("stat", "p"), f"SELECT 'dm' AS part, model_a AS model_name, model_b AS other, stat, {S.normal_two_sided('stat')} AS p FROM stats")}
+UNION ALL {_UNPIVOT(("win", "loss", "tie"), "SELECT 'dm_sectors' AS part, model_a AS model_name, model_b AS other, count(*) FILTER (p < 0.05 AND m < 0) AS win, count(*) FILTER (p < 0.05 AND m >= 0) AS loss, count(*) FILTER (p >= 0.05) AS tie FROM own_p GROUP BY 2, 3")}
+UNION ALL {_UNPIVOT(("n", "k", "stat", "p", "cd"), f"SELECT 'friedman' AS part, NULL::VARCHAR AS model_name, NULL::VARCHAR AS other, n, k, stat, {S.chi2_upper('stat', '(k - 1)')} AS p, 2.569 * sqrt(k * (k + 1) / (6.0 * n)) AS cd FROM fried")}
+UNION ALL SELECT 'rank', model_name, NULL, 'mean_rank', avg(r) FROM ranked GROUP BY 2
+UNION ALL SELECT 'operational', model_name, NULL, 'total', total FROM ops
+UNION ALL SELECT 'decision', min_by(model_name, (a, model_name)), 'accuracy', 'best', min(a) FROM best
+UNION ALL SELECT 'decision', min_by(model_name, (u, model_name)), 'unbiased', 'best', min(u) FROM best
+UNION ALL SELECT 'decision', min_by(model_name, (l, model_name)), 'no large errors', 'best', min(l) FROM best
+UNION ALL SELECT 'decision', min_by(model_name, (-e, model_name)), 'explainable', 'best', max(e) FROM best)"""
+
+
+@query("scorecard", SCORECARD)
+def _(spark, d):
+    c = canonical(spark, d)
+    border = c.agg(F.min(F.year("target_date")) + 2).scalar()
+    scores = spark.createDataFrame(_SCORES, "pattern string, explains int, needs int, robust int, cheap int")
+    s = B.scorecard(c, "naive", F.when(F.year("target_date") < border, "pre").otherwise("post"), KNOTS, scores)
+    return s.withColumn("value", F.round("value", 5))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.tails import normal_two_sided
 from ..operators import compare as C
 from ..operators.order import placed, wide_quantiles
+from ..operators.scorecard import operational
 from ..operators.windows import by, first_rows
 from . import integrals as S
 from .frames import canonical, panel, sector_mae, table
@@ -153,10 +154,10 @@ def _(spark, d):
 
 KNOTS = {0.025: "y_lower_95", 0.1: "y_lower_80", 0.5: "y_pred", 0.9: "y_upper_80", 0.975: "y_upper_95"}
 _own = sorted(KNOTS.items())
-_CRPS = " + ".join(f"(({p} + {q}) / 2.0::DOUBLE - (y_true <= ({a} + {b}) / 2)::INT) ** 2 * abs({b} - {a})" for (p, a), (q, b) in zip(_own, _own[1:], strict=False))
+CRPS_SQL = " + ".join(f"(({p} + {q}) / 2.0::DOUBLE - (y_true <= ({a} + {b}) / 2)::INT) ** 2 * abs({b} - {a})" for (p, a), (q, b) in zip(_own, _own[1:], strict=False))
 
 
-@query("crps_quantile", f"SELECT model_name, round(avg({_CRPS}), 5) AS crps FROM {{canonical}} GROUP BY 1")
+@query("crps_quantile", f"SELECT model_name, round(avg({CRPS_SQL}), 5) AS crps FROM {{canonical}} GROUP BY 1")
 def _(spark, d):
     return C.crps(canonical(spark, d), KNOTS).withColumn("crps", F.round("crps", 5))
 
@@ -392,9 +393,7 @@ def _(spark, d):
 @query("operational_table", "SELECT model_name, CASE WHEN model_name = 'naive' THEN 12 WHEN starts_with(model_name, 'seasonal') THEN 9 ELSE 4 END::INT AS total FROM (SELECT DISTINCT model_name FROM {canonical})")
 def _(spark, d):
     scores = spark.createDataFrame([("naive", 3, 3, 3, 3), ("seasonal*", 2, 2, 2, 3), ("*", 1, 1, 1, 1)], "pattern string, a int, b int, c int, e int")
-    m = canonical(spark, d).select("model_name").distinct()
-    j = m.join(F.broadcast(scores), F.col("model_name").startswith(F.regexp_replace("pattern", "\\*$", "")) & (F.col("pattern").endswith("*") | (F.col("pattern") == F.col("model_name"))))
-    return j.groupBy("model_name").agg(F.max_by(F.col("a") + F.col("b") + F.col("c") + F.col("e"), F.length("pattern")).alias("total"))
+    return operational(canonical(spark, d).select("model_name").distinct(), scores).withColumn("total", F.col("total").cast("int"))
 
 
 @query("decision_matrix", "WITH m AS (SELECT model_name, round(avg(abs(y_pred - y_true)), 6) AS mae, round(abs(avg(y_pred - y_true)), 6) AS bias FROM {canonical} GROUP BY 1) SELECT 'accuracy' AS priority, min_by(model_name, (mae, model_name)) AS model_name FROM m UNION ALL SELECT 'unbiased', min_by(model_name, (bias, model_name)) FROM m")
