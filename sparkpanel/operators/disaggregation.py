@@ -23,14 +23,30 @@ def interpolate_linear(yearly: DataFrame, key: str, year: str, value: str) -> Da
 
 
 def denton(annual: np.ndarray, indicator: np.ndarray, how: str = "mean") -> np.ndarray:
-    """Quarters q with the smallest squared changes of q - indicator whose mean (or sum) per year is the annual value."""
-    n = len(annual)
-    m = 4 * n
-    d = np.diff(np.eye(m), axis=0)
-    a = np.kron(np.eye(n), np.full(4, 0.25 if how == "mean" else 1.0))
-    h = d.T @ d
-    kkt = np.block([[h, a.T], [a, np.zeros((n, n))]])
-    return np.linalg.solve(kkt, np.concatenate([h @ indicator, annual]))[:m]
+    """Quarters q with the smallest squared changes of q - indicator whose mean (or sum) per year is the annual value.
+
+    The conditions of a minimum are a block for each year (four quarters and a multiplier) that touches the next one only
+    between its last quarter and the other's first. So each block is solved for that one neighbour as an unknown, year by
+    year, and the values are put in backwards: time and memory are linear in the years.
+    """
+    n, weight = len(annual), 0.25 if how == "mean" else 1.0
+    block = 2 * np.eye(5) - np.eye(5, k=1) - np.eye(5, k=-1)
+    block[4], block[:, 4] = weight, weight
+    block[4, 4] = 0.0
+    short = annual - weight * indicator.reshape(n, 4).sum(axis=1)
+    own, slope = np.empty((n, 5)), np.empty((n, 5))  # a year's values without the next year's first quarter, and for each unit of it
+    for y in range(n):
+        b, right = block.copy(), np.zeros((5, 2))
+        b[0, 0] = 2.0 - slope[y - 1, 3] if y else 1.0
+        b[3, 3] = 2.0 if y < n - 1 else 1.0
+        right[4, 0], right[3, 1] = short[y], 1.0
+        right[0, 0] = own[y - 1, 3] if y else 0.0
+        own[y], slope[y] = np.linalg.solve(b, right).T
+    out, ahead = np.empty((n, 4)), 0.0
+    for y in range(n - 1, -1, -1):
+        out[y] = (own[y] + slope[y] * ahead)[:4]
+        ahead = out[y, 0]
+    return indicator + out.ravel()
 
 
 def denton_series(df: DataFrame, key: str, year: str, quarter: str, value: str, indicator: str, how: str = "mean") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +47,59 @@ def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
+def complete_linkage(near: np.ndarray, most: float) -> list[list[int]]:
+    """Clusters in which every pair is at least `most` near, by complete linkage; near: a symmetric matrix of similarities.
+
+    Chains of nearest neighbours: each step goes to the nearest cluster until two are each other's, which merge. As a
+    merged cluster is never nearer to another than its parts were, the rest of the chain holds, and all takes quadratic
+    time. Only clusters of one component of the pairs at or above `most` can merge, so components go one after another.
+    """
+    near, left, out = np.array(near, float), set(range(len(near))), []
+    np.fill_diagonal(near, -np.inf)
+    while left:
+        todo, component = [min(left)], []
+        left.discard(todo[0])
+        while todo:
+            i = todo.pop()
+            component.append(i)
+            for j in np.nonzero(near[i] >= most)[0].tolist():
+                if j in left:
+                    left.discard(j)
+                    todo.append(j)
+        at = np.array(sorted(component))
+        s, groups, active, chain = near[np.ix_(at, at)].copy(), [[i] for i in at.tolist()], np.ones(len(at), bool), []
+        while active.any():
+            if not chain:
+                chain = [int(np.nonzero(active)[0][0])]
+            top = chain[-1]
+            row = np.where(active, s[top], -np.inf)
+            row[top] = -np.inf
+            best = int(row.argmax())
+            if len(chain) > 1 and row[chain[-2]] >= row[best]:
+                best = chain[-2]
+            if row[best] < most:  # nothing will ever be near enough
+                out.append(sorted(groups[top]))
+                active[top] = False
+                chain.pop()
+            elif len(chain) > 1 and best == chain[-2]:
+                a, b = sorted((top, best))
+                groups[a] += groups[b]
+                s[a] = np.minimum(s[a], s[b])
+                s[:, a] = s[a]
+                active[b] = False
+                chain = chain[:-2]
+            else:
+                chain.append(best)
+    return sorted(out)
+
+
 def redundancy(df: DataFrame, features: list[str], y: str, most: float = 0.9) -> list[tuple[str, int, bool]]:
     """feature, cluster, retained: complete linkage at 1 - |r|, the best correlated with y is kept. The p x p matrix is on the driver, as p is the number of columns."""
-    r = {(x["a"], x["b"]): abs(x["r"] or 0.0) for x in correlation_pairs(df, features).collect()}
-    near = lambda a, b: r.get((a, b), r.get((b, a), 0.0))
-    groups = [[f] for f in features]
-    while len(groups) > 1:
-        link = [(min(near(a, b) for a in g for b in h), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j]
-        best = max(link, key=lambda x: (x[0], -x[1], -x[2]))
-        if best[0] < most:
-            break
-        groups[best[1]] += groups.pop(best[2])
+    place = {f: i for i, f in enumerate(features)}
+    near = np.zeros((len(features), len(features)))
+    for x in correlation_pairs(df, features).collect():
+        near[place[x["a"]], place[x["b"]]] = near[place[x["b"]], place[x["a"]]] = abs(x["r"] or 0.0)
+    groups = [[features[i] for i in g] for g in complete_linkage(near, most)]
     score = {x["feature"]: abs(x["r"] or 0.0) for x in target_correlation(df, [], features, y).collect()}
     keep = {max(g, key=lambda f: (score[f], f)) for g in groups}
     return [(f, k, f in keep) for k, g in enumerate(groups) for f in g]
