@@ -57,7 +57,7 @@ def lookup_fallback(df: DataFrame, table: DataFrame, on: list[str], value: str,
 
 def work_list(series: DataFrame, origins: DataFrame, configs: DataFrame) -> DataFrame:
     """series x origin x config; origins and configs are parameters of fixed number."""
-    return series.crossJoin(F.broadcast(origins)).crossJoin(F.broadcast(configs))
+    return series.crossJoin(origins.crossJoin(configs))
 
 
 def training_rows(df: DataFrame, folds: DataFrame, key: str, position: str, window: int | None = None) -> DataFrame:

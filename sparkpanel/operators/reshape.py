@@ -110,7 +110,7 @@ def holdout(df: DataFrame, time: str, n: int, out: str = "split") -> DataFrame:
     """split: test for the last n distinct periods, else train. The periods alone are ranked, and sent back by a join."""
     periods = df.select(time).distinct()
     ranked = periods.withColumn("from_end", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(time))))
-    return df.join(F.broadcast(ranked), time).withColumn(out, F.when(F.col("from_end") <= n, "test").otherwise("train")).drop("from_end")
+    return df.join(ranked, time).withColumn(out, F.when(F.col("from_end") <= n, "test").otherwise("train")).drop("from_end")
 
 
 def monthly_to_quarterly(df: DataFrame, keys: list[str], year="year", month="month", value="value", how="mean") -> DataFrame:

@@ -55,10 +55,10 @@ def _(spark, d):
     return spark.createDataFrame(K.redundancy(panel(spark, d), FEATURES, "y"), "feature string, cluster long, retained boolean")
 
 
-@query("yearly_evaluation", f"""WITH o AS (SELECT sector, year, avg(y) AS t, avg(x_bal) AS v FROM {{panel}} WHERE year <= 2000 GROUP BY ALL), d AS (SELECT *, v - lag(v) OVER w AS dv, t - lag(t) OVER w AS dt, lead(t) OVER w AS a FROM o WINDOW w AS (PARTITION BY sector ORDER BY year)),
+@query("yearly_evaluation", f"""WITH o AS (SELECT sector, year, avg(y) AS t, avg(x_bal) AS v FROM {{panel}} GROUP BY ALL), d AS (SELECT *, v - lag(v) OVER w AS dv, t - lag(t) OVER w AS dt, lead(t) OVER w AS a FROM o WINDOW w AS (PARTITION BY sector ORDER BY year)),
 r AS (SELECT sector, abs(corr(dv, dt)) AS r1, abs(corr(v, a) FILTER (a IS NOT NULL)) AS r2 FROM d GROUP BY 1) SELECT 'x_bal' AS feature, round(median(r1), 5) AS r_diff, round(median(r2), 5) AS r_ahead FROM r""")
 def _(spark, d):
-    e = K.yearly_evaluation(panel(spark, d).where("year <= 2000"), ["x_bal"], "y", "sector", "year")
+    e = K.yearly_evaluation(panel(spark, d), ["x_bal"], "y", "sector", "year")
     return e.withColumns({"r_diff": F.round("r_diff", 5), "r_ahead": F.round("r_ahead", 5)})
 
 
@@ -126,11 +126,10 @@ def _(spark, d):
     return H.win_counts(champions(spark, d))
 
 
-@query("forecast_overlay", "SELECT sector AS sector_code, period_enddate AS at, y AS value, 'observed' AS kind FROM {panel} UNION ALL SELECT sector_code, target_date, y_pred, 'forecast' FROM {canonical} WHERE model_name = 'rolling'")
+@query("forecast_overlay", "SELECT sector AS sector_code, period_enddate AS at, y AS value, 'observed' AS kind FROM {panel} UNION ALL SELECT sector_code, target_date, y_pred, model_name FROM {canonical}")
 def _(spark, d):
     seen = panel(spark, d).select(F.col("sector").alias("sector_code"), F.col("period_enddate").alias("at"), F.col("y").alias("value"), F.lit("observed").alias("kind"))
-    ahead = canonical(spark, d).where("model_name = 'rolling'").select("sector_code", F.col("target_date").alias("at"), F.col("y_pred").alias("value"), F.lit("forecast").alias("kind"))
-    return seen.unionByName(ahead)
+    return seen.unionByName(canonical(spark, d).select("sector_code", F.col("target_date").alias("at"), F.col("y_pred").alias("value"), F.col("model_name").alias("kind")))
 
 
 @query("reduce_lags", "SELECT sector, period_enddate, y, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY sector ORDER BY period_enddate) AS y_lag{k}" for k in range(1, 5)) + " FROM {panel} QUALIFY lag(y, 4) OVER (PARTITION BY sector ORDER BY period_enddate) IS NOT NULL")
@@ -272,11 +271,14 @@ def _(spark, d):
     return m.select("model_name", F.coalesce(known, F.when(F.col("model_name").rlike("season"), "uni/seasonal").otherwise("unknown")).alias("quadrant"))
 
 
-@query("correction_label_parse", "SELECT n_nationkey, 'seasonal_mean' AS method, (n_nationkey % 4 + 1)::INT AS before, (n_nationkey % 2)::INT AS after, n_nationkey % 3 = 0 AS winsorized FROM nation")
+LABELS = "(SELECT p_partkey, replace(lower(p_type), ' ', '_') || '|b' || p_size || '_a' || (p_partkey % 3) || CASE WHEN starts_with(p_brand, 'Brand#1') THEN '|winsorized' ELSE '' END AS label FROM part)"
+
+
+@query("correction_label_parse", f"SELECT p_partkey, split_part(label, '|', 1) AS method, regexp_extract(label, '[|]b([0-9]+)', 1)::INT AS before, regexp_extract(label, '_a([0-9]+)', 1)::INT AS after, contains(label, '|winsorized') AS winsorized FROM {LABELS}")
 def _(spark, d):
-    k = F.col("n_nationkey")
-    label = F.concat(F.format_string("seasonal_mean|b%d_a%d", k % 4 + 1, k % 2), F.when(k % 3 == 0, F.lit("|winsorized")).otherwise(""))
-    return table(spark, d, "nation").select("n_nationkey", *[c.alias(n) for n, c in X.correction_parts(label).items()])
+    text = F.concat(F.translate(F.lower("p_type"), " ", "_"), F.lit("|b"), F.col("p_size").cast("string"), F.lit("_a"), (F.col("p_partkey") % 3).cast("string"), F.when(F.col("p_brand").startswith("Brand#1"), "|winsorized").otherwise(""))
+    p = table(spark, d, "part").select("p_partkey", text.alias("label"))
+    return p.select("p_partkey", *[c.alias(n) for n, c in X.correction_parts(F.col("label")).items()])
 
 
 @query("normalize_group_code", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size::VARCHAR ELSE p_brand END AS code FROM part")
@@ -286,9 +288,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.normal_group_code(raw).alias("code"))
 
 
-@query("strip_letter_prefix", "SELECT n_nationkey, n_name AS title FROM nation")
+@query("strip_letter_prefix", f"SELECT p_partkey, regexp_replace(title, '^[A-Z] +', '') AS title FROM {CODES}")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", X.strip_letter_prefix(F.concat(F.lit("C  "), "n_name")).alias("title"))
+    return coded_parts(spark, d).select("p_partkey", X.strip_letter_prefix(F.col("title")).alias("title"))
 
 
 @query("tree_parent", "SELECT 'N' || n_nationkey AS code, 'S' || n_regionkey AS parent FROM nation UNION ALL SELECT 'S' || r_regionkey, 'ALL' FROM region UNION ALL SELECT 'ALL', NULL")

@@ -241,12 +241,13 @@ def _(spark, d):
     return W.holm(p, "p", ["sector_code"], group="model_name").withColumn("p_holm", six("p_holm"))
 
 
-@query("lag1_autocorr", """WITH e AS (SELECT sector_code, target_date, y_true - y_pred AS e FROM {canonical} WHERE model_name = 'naive'), l AS (SELECT *, lag(e) OVER (PARTITION BY sector_code ORDER BY target_date) AS b FROM e)
-SELECT sector_code, round(corr(e, b), 5) AS r, abs(corr(e, b)) > 0.3 AS flag FROM l WHERE b IS NOT NULL GROUP BY sector_code""")
+@query("lag1_autocorr", """WITH e AS (SELECT model_name, sector_code, target_date, y_true - y_pred AS e FROM {canonical}), l AS (SELECT *, lag(e) OVER (PARTITION BY model_name, sector_code ORDER BY target_date) AS b FROM e)
+SELECT model_name, sector_code, round(corr(e, b), 5) AS r, abs(corr(e, b)) > 0.3 AS flag FROM l WHERE b IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
-    e = canonical(spark, d).where("model_name = 'naive'").select("sector_code", "target_date", (F.col("y_true") - F.col("y_pred")).alias("e"))
-    r = W.lagged(e, ["e"], 1, "sector_code", "target_date").groupBy("sector_code").agg(M.corr(F.col("e"), F.col("e_lag1")).alias("r"))
-    return r.select("sector_code", F.round("r", 5).alias("r"), (F.abs("r") > 0.3).alias("flag"))
+    e = canonical(spark, d).select("model_name", "sector_code", "target_date", (F.col("y_true") - F.col("y_pred")).alias("e"))
+    e = e.withColumn("e_lag1", F.lag("e").over(Window.partitionBy("model_name", "sector_code").orderBy("target_date")))
+    r = e.groupBy("model_name", "sector_code").agg(M.corr(F.col("e"), F.col("e_lag1")).alias("r"))
+    return r.select("model_name", "sector_code", F.round("r", 5).alias("r"), (F.abs("r") > 0.3).alias("flag"))
 
 
 @query("per_period_best", "SELECT sector_code, target_date, min_by(model_name, (round(abs(y_pred - y_true), 6), model_name)) AS best FROM {canonical} GROUP BY ALL")
