@@ -25,6 +25,8 @@ columns are ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
@@ -36,7 +38,7 @@ from .common import LOWER, UPPER, Scratch, row_key, without
 from .words import PLAIN, Words, chunks, shingle_sets, shingles
 
 SHINGLE, SHARE, PERMS, RATIO, FEW = 5, 0.8, 40, 1.5, 8
-BLOCK, BLOCK_BYTES = 5000, 32_000_000
+BLOCK, BLOCK_BYTES = 50_000, 32_000_000
 FOUND = "item_id long, n_item_shingles long, n_shared long, containment double"
 
 
@@ -65,6 +67,16 @@ class ItemIndex:
             order = np.argsort(values, axis=1)
             self.parts[m] = np.array(own), np.take_along_axis(values, order, 1), order
 
+    _own: tuple[str, ItemIndex] | None = None
+
+    @classmethod
+    def get(cls, name: str, sent: Broadcast, share: float) -> ItemIndex:
+        """The one index that this Python worker holds, made anew for another block of items."""
+        if cls._own is None or cls._own[0] != name:
+            rows = sent.value
+            cls._own = name, cls([r[0] for r in rows], [r[1] for r in rows], share)
+        return cls._own[1]
+
     def _look_up(self, exact: list[int]) -> None:
         """keys, owners: sorted shingles, and their items, of which a text must hold one to hold share of the item."""
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -150,12 +162,10 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
 
     def search_for(own: DataFrame) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-        memo: dict[str, ItemIndex] = {}
+        name = uuid.uuid4().hex
 
         def search(batches):
-            rows = sent.value
-            index = memo.setdefault("index", None) or ItemIndex([r[0] for r in rows], [r[1] for r in rows], share)
-            memo["index"] = index
+            index = ItemIndex.get(name, sent, share)
             for batch in batches:
                 ids = batch.column("doc_id")
                 kinds[0] = ids.type

@@ -12,7 +12,7 @@ repeated page ids are judged each by itself; other columns are ignored; an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -30,30 +30,42 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def best_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def rule_table(spark: SparkSession, rules: DataFrame | list | tuple) -> DataFrame:
+    """rule, verdict, size of the path and the rule's digests; rules: a table (host, path, verdict) of any size, or a short list."""
+    r = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    r = r.select(F.concat("host", "path").alias("rule"), "verdict", F.length("path").alias("size"))
+    return r.withColumn("full", F.sha2("rule", 256)).withColumn("short", F.substring("full", 1, 8))
+
+
+def best_rule(urls: DataFrame, rules: DataFrame | list | tuple) -> DataFrame:
     """url, rule (host + path), verdict of the winning rule, for those of the distinct urls (url, host, path) that have one."""
-    spark = urls.sparkSession
-    key = lambda c: F.sha2(c, 256)
-    r = spark.createDataFrame([(h + p, v) for h, p, v in rules], "rule string, verdict string")
-    r = r.withColumn("full", key(F.col("rule"))).withColumn("short", F.substring("full", 1, 8))
-    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in rules})])
+    r = rule_table(urls.sparkSession, rules)
+    # a row for each length of a path; an empty table has none
+    sizes = sorted(x[0] for x in r.select("size").distinct().collect())
+    lengths = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
     e = urls.withColumn("labels", F.split("host", "\\."))
     e = e.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("labels"))))
     e = e.withColumn("suffix", F.array_join(F.slice("labels", F.col("i"), F.size("labels")), "."))
     e = e.withColumn("n", F.explode(lengths)).where(F.length("path") >= F.col("n"))
-    e = e.select("url", key(F.concat("suffix", F.substring("path", F.lit(1), F.col("n")))).alias("e_full"))
+    e = e.select("url", F.sha2(F.concat("suffix", F.substring("path", F.lit(1), F.col("n"))), 256).alias("e_full"))
     hit = e.withColumn("short", F.substring("e_full", 1, 8)).join(r, "short").where(F.col("e_full") == F.col("full"))
-    return hit.groupBy("url").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("best")).select("url", "best.*")
+    return hit.groupBy("url").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule", "verdict")).alias("best")).select("url", "best.*")
 
 
-def url_filter(pages: DataFrame, rules=tuple(RULES), own_rules=tuple(OWN_RULES), default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame | list | tuple = tuple(RULES), own_rules: DataFrame | list | tuple = tuple(OWN_RULES), default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, own_rule and verdict of each row of pages (page_id, url)."""
     host, path = url_parts(F.col("url"))
     p = pages.select("page_id", pages["url"].cast("string").alias("url"))
-    urls = p.where(F.instr("url", "://") > 0).select("url").distinct().select("url", host.alias("host"), path.alias("path"))
-    first, second = best_rule(urls, list(rules)), best_rule(urls, list(own_rules)).toDF("url", "own_rule", "own_verdict")
-    d = p.join(first, "url", "left").join(second, "url", "left")
-    return d.select("page_id", host.alias("host"), path.alias("path"), "rule", "own_rule", F.coalesce("verdict", "own_verdict", F.lit(default)).alias("verdict"))
+    plain = F.coalesce(F.instr("url", "://") > 0, F.lit(False))
+    with_host = p.where(plain)
+    urls = with_host.select("url").distinct().select("url", host.alias("host"), path.alias("path"))
+    first, second = best_rule(urls, rules), best_rule(urls, own_rules).toDF("url", "own_rule", "own_verdict")
+    # both verdicts of a URL in one row, so that pages are joined once; rows without a host, which may be many, are not
+    both = first.join(second, "url", "full")
+    d = with_host.join(both, "url", "left").select("page_id", "url", "rule", "own_rule", "verdict", "own_verdict")
+    none = F.lit(None).cast("string")
+    rest = p.where(~plain).select("page_id", "url", none.alias("rule"), none.alias("own_rule"), none.alias("verdict"), none.alias("own_verdict"))
+    return d.unionByName(rest).select("page_id", host.alias("host"), path.alias("path"), "rule", "own_rule", F.coalesce("verdict", "own_verdict", F.lit(default)).alias("verdict"))
 
 
 def _sql() -> str:

@@ -419,3 +419,12 @@ def test_encoder_equals_tokenizer():
     e = Encoder(tokenizer_path())
     odd = ["<|endoftext|> hi<|startoftext|>there", "it's don't. A... b.,", "İstanbul ǅ ﬁ é ́x", "a b\x1cc\x85d", "", " \n\t", "Σίσυφος ΣΑΣ.", "x y 😀. 12,345.6 ½.", None, "l'été, ÉTÉ. été.", "«a». b", "x×. y÷, z", "a.. b., c,. d", "ab. cd, ef.\n«g", "12. 3, x.", "ª. µ, º", "<|ENDOFTEXT|>. A, B", ". , .", "a.\nb,\nc.", "ß. ÿ, ÀÖ.", "don't, I'll. we've'd"]
     assert [x.tolist() for x in e.encode(odd)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
+def test_url_rules_from_a_table_and_many_pages_without_hosts(spark):
+    urls = [(k, u) for k, u in enumerate([None, "", "no host", "http://a.example.com/en/7x?q", "http://EXAMPLE.com/en/1", "x://b.org/es/", "ftp://other.fr/en/", "http://deep.deep.block.net", "http://block.net/"] * 5)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").repartition(4)
+    table = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("block.net", "", "block")], "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, table, table.limit(0)).collect()}
+    want = [(None, "allow")] * 3 + [("example.com/en/7", "allow"), ("com/en/", "block"), (None, "allow"), (None, "allow"), ("block.net", "block"), ("block.net", "block")]
+    assert [got[k] for k in range(len(urls))] == want * 5
