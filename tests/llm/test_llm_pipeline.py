@@ -1,12 +1,19 @@
-"""The pipeline's stages, each against what its operator says about the rows before it."""
+"""The pipeline's stages, each against what its operator says about the rows before it, and the whole against brute force."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import corpus_pipeline
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkpanel.llm import decontamination, ngram_join, quality_rules, substring_dedup
 from sparkpanel.llm.common import table
+from sparkpanel.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +50,59 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def brute_force(sf: str) -> Counter:
+    """(doc_id, piece, start, length, checksum) of the whole pipeline, by plain loops; the quality rules' verdict by their SQL."""
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    good = {i for i, kept in c.execute(f"SELECT doc_id, kept FROM ({quality_rules.SQL})").fetchall() if kept}
+    docs = [(i, t or "") for i, t in c.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall() if i in good]
+    lower = lambda t: "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+    sets = [grams(split(lower(t)), 5) for _, t in docs]
+    least = list(range(len(docs)))  # the first of a class, as ids ascend
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((least[a], least[b]))
+                least = [x if u == y else u for u in least]
+    docs = [d for k, d in enumerate(docs) if least[k] == k]
+
+    first: dict[tuple, int] = {}
+    for i, t in docs:
+        for k in grams(split(t), 50) if len(split(t)) >= 50 else ():
+            first[k] = min(first.get(k, i), i)
+    kept = []
+    for i, t in docs:
+        w = split(t)
+        cut = {q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        if len(cut) < len(w) or not cut:
+            kept.append((i, " ".join(x for q, x in enumerate(w) if q not in cut) if cut else t))
+
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    items = [s for (t,) in c.execute("SELECT text FROM benchmark").fetchall() if (s := grams(plain(t), 5))]
+    held = lambda own: any(len(s & own) >= 0.8 * len(s) - 1e-9 for s in items)
+    kept = [(i, t) for i, t in kept if not held(grams(plain(t), 5))]
+
+    tokenizer, out = Encoder.get(tokenizer_path()).tokenizer, Counter()
+    for i, t in kept:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for p, a in enumerate(range(0, len(ids), 2048)):
+            out[i, p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())] += 1
+    return out
+
+
+def test_run_equals_brute_force(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    want = brute_force(SF)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert 20 < len({k[0] for k in want}) < 190
+    ends: dict[int, int] = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
