@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import corr
@@ -22,45 +20,52 @@ def interpolate_linear(yearly: DataFrame, key: str, year: str, value: str) -> Da
     return d.select(key, year, "quarter", (F.col("raw") + v - F.avg("raw").over(Window.partitionBy(key, year))).alias(value))
 
 
-def denton(annual: np.ndarray, indicator: np.ndarray, how: str = "mean") -> np.ndarray:
-    """Quarters q with the smallest squared changes of q - indicator whose mean (or sum) per year is the annual value.
+def _year(s: Column, h: Column, e: Column, total: Column, t: Column) -> list[Column]:
+    """The four quarters' changes x of a year: s x1 - x2 + m = h, -x3 + e x4 + m = t, even second differences between, sum = total.
 
-    The conditions of a minimum are a block for each year (four quarters and a multiplier) that touches the next one only
-    between its last quarter and the other's first. So each block is solved for that one neighbour as an unknown, year by
-    year, and the values are put in backwards: time and memory are linear in the years.
+    m is the year's multiplier. All follow from x1 and m, which two equations give.
     """
-    n, weight = len(annual), 0.25 if how == "mean" else 1.0
-    block = 2 * np.eye(5) - np.eye(5, k=1) - np.eye(5, k=-1)
-    block[4], block[:, 4] = weight, weight
-    block[4, 4] = 0.0
-    short = annual - weight * indicator.reshape(n, 4).sum(axis=1)
-    own, slope = np.empty((n, 5)), np.empty((n, 5))  # a year's values without the next year's first quarter, and for each unit of it
-    for y in range(n):
-        b, right = block.copy(), np.zeros((5, 2))
-        b[0, 0] = 2.0 - slope[y - 1, 3] if y else 1.0
-        b[3, 3] = 2.0 if y < n - 1 else 1.0
-        right[4, 0], right[3, 1] = short[y], 1.0
-        right[0, 0] = own[y - 1, 3] if y else 0.0
-        own[y], slope[y] = np.linalg.solve(b, right).T
-    out, ahead = np.empty((n, 4)), 0.0
-    for y in range(n - 1, -1, -1):
-        out[y] = (own[y] + slope[y] * ahead)[:4]
-        ahead = out[y, 0]
-    return indicator + out.ravel()
+    a4, b4, c4 = e * (3 * s - 2) - (2 * s - 1), 6 * e - 2, h * (2 - 3 * e)
+    a5, c5 = 6 * s - 2, total + 6 * h
+    det = 10 * a4 - b4 * a5
+    x1, m = (10 * (t - c4) - b4 * c5) / det, (a4 * c5 - a5 * (t - c4)) / det
+    return [x1, s * x1 + m - h, (2 * s - 1) * x1 + 3 * m - 2 * h, (3 * s - 2) * x1 + 6 * m - 3 * h]
 
 
 def denton_series(df: DataFrame, key: str, year: str, quarter: str, value: str, indicator: str, how: str = "mean") -> DataFrame:
-    """Each series of whole years (a row per quarter, the annual value on each) made quarterly after its indicator; one task holds one series."""
+    """Each series of whole years (a row per quarter, the annual value on each) made quarterly: the smallest squared changes of value - indicator that keep each year's mean (or sum).
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([year, quarter])
-        annual = pdf.groupby(year)[value].first().to_numpy(float)
-        return pdf[[key, year, quarter]].assign(**{value: denton(annual, pdf[indicator].to_numpy(float), how)})
-
-    whole = df.withColumn("n_quarters", F.count("*").over(Window.partitionBy(key, year))).where("n_quarters = 4")
-    types = dict(df.dtypes)
-    schema = f"{key} {types[key]}, {year} {types[year]}, {quarter} {types[quarter]}, {value} double"
-    return whole.select(key, year, quarter, value, indicator).groupBy(key).applyInPandas(solve, schema)
+    The conditions of a minimum link a year only to the next one's first quarter. A fold over the years solves each for
+    that quarter as an unknown, a second one backwards puts the values in: time is linear in the years but for the copying
+    of the folds' lists, and all is in columns.
+    """
+    weight = 0.25 if how == "mean" else 1.0
+    q = F.array_sort(F.collect_list(F.struct(F.col(quarter).alias("q"), F.col(indicator).cast("double").alias("p"))))
+    y = df.groupBy(key, year).agg(F.first(value).cast("double").alias("annual"), q.alias("quarters")).where(F.size("quarters") == 4)
+    total = F.col("annual") / weight - F.aggregate("quarters", F.lit(0.0), lambda a, x: a + x["p"])
+    d = y.select(key, F.struct(F.col(year).alias("year"), total.alias("total"), "quarters").alias("y")).groupBy(key).agg(F.array_sort(F.collect_list("y")).alias("years"))
+    end = lambda i: F.when(i == F.size("years") - 1, 1.0).otherwise(2.0)
+    rows = F.transform("years", lambda x, i: F.struct(x["total"].alias("total"), end(i).alias("e")))
+    state = lambda s, h, out: F.struct(s.alias("s"), h.alias("h"), out.alias("out"))
+
+    def forward(a, x):
+        now = F.struct(a["s"].alias("s"), a["h"].alias("h"), x["e"].alias("e"), x["total"].alias("total"))
+        last = lambda t: _year(a["s"], a["h"], x["e"], x["total"], F.lit(t))[3]
+        none, one = last(0.0), last(1.0)  # the last quarter is linear in the next year's first
+        return state(2 - (one - none), none, F.concat(a["out"], F.array(now)))
+
+    kind = "array<struct<s:double,h:double,e:double,total:double>>"
+    d = d.withColumn("steps", F.aggregate(rows, state(F.lit(1.0), F.lit(0.0), F.array().cast(kind)), forward, lambda a: a["out"]))
+    begin = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<array<double>>").alias("out"))
+
+    def backward(a, x):
+        new = F.array(*_year(x["s"], x["h"], x["e"], x["total"], a["t"]))
+        return F.struct(F.get(new, F.lit(0)).alias("t"), F.concat(a["out"], F.array(new)).alias("out"))
+
+    d = d.withColumn("changes", F.reverse(F.aggregate(F.reverse("steps"), begin, backward, lambda a: a["out"])))
+    one = d.select(key, F.explode(F.arrays_zip("years", "changes")).alias("z"))
+    four = F.zip_with("z.years.quarters", "z.changes", lambda q, x: F.struct(q["q"].alias(quarter), (q["p"] + x).alias(value)))
+    return one.select(key, F.col("z.years.year").alias(year), F.inline(four))
 
 
 def constant_over_series(df: DataFrame, time: str, column: str, eps: float = 1e-10) -> DataFrame:

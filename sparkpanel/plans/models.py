@@ -158,10 +158,23 @@ def _(spark, d):
     return D.interpolate_linear(y, "sector", "year", "v").withColumn("v", F.round("v", 5))
 
 
-@query("denton_cholette")
+#: The changes of a year's quarters, as in the operator: forward over the years for the unknown next quarter, then backward.
+_LAST = lambda t: f"(SELECT (3 * s - 2) * ((10 * ({t} - c4) - b4 * c5) / det) + 6 * ((a4 * c5 - a5 * ({t} - c4)) / det) - 3 * h FROM (SELECT *, 10 * a4 - b4 * a5 AS det FROM (SELECT f.s AS s, f.h AS h, f.e * (3 * f.s - 2) - (2 * f.s - 1) AS a4, 6 * f.e - 2 AS b4, f.h * (2 - 3 * f.e) AS c4, 6 * f.s - 2 AS a5, f.total + 6 * f.h AS c5)))"
+DENTON = f"""WITH RECURSIVE a AS MATERIALIZED (SELECT *, avg(y) OVER (PARTITION BY sector, year) AS annual, count(*) OVER (PARTITION BY sector, year) AS n FROM {{panel}}),
+ys AS MATERIALIZED (SELECT sector, year, 4 * max(annual) - sum(x_bal) AS total, row_number() OVER (PARTITION BY sector ORDER BY year) AS k, count(*) OVER (PARTITION BY sector) AS ks FROM a WHERE n = 4 GROUP BY sector, year),
+f AS (SELECT sector, k, ks, total, 1.0::DOUBLE AS s, 0.0::DOUBLE AS h, CASE WHEN k = ks THEN 1.0 ELSE 2.0 END::DOUBLE AS e FROM ys WHERE k = 1
+UNION ALL SELECT y.sector, y.k, y.ks, y.total, 2 - ({_LAST(1)} - {_LAST(0)}), {_LAST(0)}, CASE WHEN y.k = y.ks THEN 1.0 ELSE 2.0 END::DOUBLE FROM f JOIN ys y ON y.sector = f.sector AND y.k = f.k + 1),
+g AS MATERIALIZED (SELECT *, e * (3 * s - 2) - (2 * s - 1) AS a4, 6 * e - 2 AS b4, h * (2 - 3 * e) AS c4, 6 * s - 2 AS a5, total + 6 * h AS c5, 10 * (e * (3 * s - 2) - (2 * s - 1)) - (6 * e - 2) * (6 * s - 2) AS det FROM f),
+b AS (SELECT *, (10 * (0 - c4) - b4 * c5) / det AS x1, (a4 * c5 - a5 * (0 - c4)) / det AS m FROM g WHERE k = ks
+UNION ALL SELECT g.*, (10 * (b.x1 - g.c4) - g.b4 * g.c5) / g.det, (g.a4 * g.c5 - g.a5 * (b.x1 - g.c4)) / g.det FROM b JOIN g ON g.sector = b.sector AND g.k = b.k - 1)
+SELECT a.sector, a.year, quarter, round(x_bal + CASE quarter WHEN 1 THEN x1 WHEN 2 THEN s * x1 + m - h WHEN 3 THEN (2 * s - 1) * x1 + 3 * m - 2 * h ELSE (3 * s - 2) * x1 + 6 * m - 3 * h END, 5) AS annual
+FROM a JOIN ys USING (sector, year) JOIN b ON b.sector = a.sector AND b.k = ys.k WHERE n = 4"""
+
+
+@query("denton_cholette", DENTON)
 def _(spark, d):
     p = panel(spark, d).withColumn("annual", F.avg("y").over(Window.partitionBy("sector", "year")))
-    return D.denton_series(p, "sector", "year", "quarter", "annual", "x_bal").withColumn("annual", six("annual"))
+    return D.denton_series(p, "sector", "year", "quarter", "annual", "x_bal").withColumn("annual", F.round("annual", 5))
 
 
 @query("broadcast_series_test", "SELECT bool_and(s < 1e-10) AS is_broadcast FROM (SELECT stddev_pop(y) AS s FROM {panel} GROUP BY period_enddate)")
@@ -317,7 +330,8 @@ def _(spark, d):
     return ljung_box(panel(spark, d), "sector", "period_enddate", "y", 4).withColumn("q", F.round("q", 4))
 
 
-@query("component_strength")
+@query("component_strength", """WITH c AS (SELECT sector, y, avg(y) OVER (PARTITION BY sector, quarter) - avg(y) OVER (PARTITION BY sector) AS seasonal FROM {panel})
+SELECT sector, round(greatest(0, 1 - var_pop(y - seasonal) / var_pop(y)), 6) AS strength FROM c GROUP BY 1""")
 def _(spark, d):
     from ..operators.diagnostics import component_strength
 

@@ -16,7 +16,7 @@ from ..sources import io
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_path
 from . import integrals as S
-from .frames import canonical, panel, table
+from .frames import canonical, order_facts, panel, table
 from .models import CHAMPIONS, champions
 from .registry import query
 from .scores import CRPS_SQL, KNOTS, METRICS, TIER
@@ -114,6 +114,17 @@ def _(spark, d):
     return sliding_backtest(panel(spark, d), "sector", "period_enddate", "y", window=12).withColumn("rmse", six("rmse"))
 
 
+@query("sliding_backtest_weeks", """WITH w AS (SELECT n_name AS sector, date_trunc('week', o_orderdate)::DATE AS week, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 100 AS y FROM {facts} GROUP BY ALL),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY week) AS pos FROM w),
+e AS (SELECT a.sector, s AS step, a.pos, a.y - avg(b.y) AS e FROM p a, range(1, 5) t(s), p b WHERE a.sector = b.sector AND b.pos BETWEEN a.pos - s - 47 AND a.pos - s AND b.pos % 4 = a.pos % 4 AND a.pos - s >= 48 GROUP BY a.sector, s, a.pos, a.y)
+SELECT sector, step::INT AS step, count(*) AS n, round(sqrt(avg(e * e)), 4) AS rmse FROM e GROUP BY ALL""")
+def _(spark, d):
+    """Windows of 48, the operator's own length, on weekly means of orders."""
+    f = order_facts(spark, d).groupBy(F.col("n_name").alias("sector"), F.date_trunc("week", "o_orderdate").alias("week"))
+    w = f.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / F.count("*") / 100).alias("y"))
+    return sliding_backtest(w, "sector", "week", "y").withColumn("rmse", F.round("rmse", 4))
+
+
 @query("sector_sweep")
 def _(spark, d):
     b = walk_forward(panel(spark, d), [("ridge", "ridge", {})], "sector", "period_enddate", "y")

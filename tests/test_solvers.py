@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from sparkpanel.operators.disaggregation import denton
+from sparkpanel.operators.disaggregation import denton_series
 from sparkpanel.operators.selection import complete_linkage, redundancy
 
 
@@ -20,29 +20,29 @@ def dense(annual, indicator, how):
 
 
 @pytest.mark.parametrize("how", ["mean", "sum"])
-@pytest.mark.parametrize("years", [1, 2, 3, 25])
-def test_denton_equals_the_dense_solution(how, years):
-    rng = np.random.default_rng(years)
-    annual, indicator = rng.normal(100, 20, years), rng.normal(50, 9, 4 * years)
-    got = denton(annual, indicator, how)
-    assert np.allclose(got, dense(annual, indicator, how), atol=1e-8)
-    per = got.reshape(-1, 4)
-    assert np.allclose(per.mean(axis=1) if how == "mean" else per.sum(axis=1), annual)
+def test_denton_equals_the_dense_solution(spark, how):
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for years in (1, 2, 3, 25):
+        annual, indicator = rng.normal(100, 20, years), rng.normal(50, 9, 4 * years)
+        rows += [(f"s{years}", 2000 + k // 4, k % 4 + 1, float(annual[k // 4]), float(indicator[k])) for k in range(4 * years)]
+        want |= {(f"s{years}", 2000 + k // 4, k % 4 + 1): x for k, x in enumerate(dense(annual, indicator, how))}
+    rows += [("part", 2000, q, 5.0, 1.0) for q in (1, 2, 3)]  # no whole year
+    df = spark.createDataFrame(rows, "k string, year int, quarter int, v double, p double").repartition(5)
+    d = denton_series(df, "k", "year", "quarter", "v", "p", how)
+    got = {(r["k"], r["year"], r["quarter"]): r["v"] for r in d.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())
+    assert "Python" not in d._jdf.queryExecution().toString()
 
 
-def test_denton_of_many_years_is_linear():
+def test_denton_of_400_years(spark):
     rng = np.random.default_rng(0)
-
-    def took(years):
-        annual, indicator = rng.normal(100, 20, years), rng.normal(50, 9, 4 * years)
-        t = time.perf_counter()
-        got = denton(annual, indicator)
-        t = time.perf_counter() - t
-        assert np.allclose(got.reshape(-1, 4).mean(axis=1), annual)
-        return t
-
-    took(400)
-    assert took(8000) < 60 * took(400)  # 20 times the years; a dense system takes 8000 times as long
+    annual, indicator = rng.normal(100, 20, 400), rng.normal(50, 9, 1600)
+    rows = [("s", k // 4, k % 4 + 1, float(annual[k // 4]), float(indicator[k])) for k in range(1600)]
+    t = time.perf_counter()
+    got = denton_series(spark.createDataFrame(rows, "k string, year int, quarter int, v double, p double"), "k", "year", "quarter", "v", "p").orderBy("year", "quarter").collect()
+    assert time.perf_counter() - t < 60
+    x = np.array([r["v"] for r in got])
+    assert np.allclose(x, dense(annual, indicator, "mean"), atol=1e-6)
 
 
 def greedy(near, most):
