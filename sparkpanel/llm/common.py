@@ -13,8 +13,14 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes up to which a table is dealt out anew: a small file may be one row group, which one task would read and work on alone.
+SMALL_TABLE = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_TABLE
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -45,8 +45,8 @@ def features(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", docs["lang"].cast("string").alias("lang"), whole_text(docs).alias("t"))
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE), ""))
     d = d.withColumn("n_words", F.size("words").cast("long"))
-    window = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(5)])
-    d = d.withColumn("h", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 5).cast("int")), window)))
+    window = lambda i: F.xxhash64(F.slice("words", i, 5))
+    d = d.withColumn("h", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(1), (F.col("n_words") - 4).cast("int")), window)))
     # sorted only where a window occurs twice at all
     twice = F.size(F.array_distinct("h")) < F.size("h")
     d = d.withColumn("s", F.when(twice, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -95,9 +95,12 @@ def _least(refs: str, own: str, n: Column, total: str, bins: str) -> Column:
 
         def part(x: Column, y: Column) -> Column:
             a, b = x / n, (y - r["mine"] * x) / m
-            return F.when(x > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0) + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)
+            # a bin that the document lacks adds the reference's share, and all shares add up to 1
+            own = a * F.log2(2 * a / (a + b)) - b
+            return F.when(x > 0, own + F.when(b > 0, b * F.log2(2 * b / (a + b))).otherwise(0.0)).otherwise(0.0)
 
-        return F.when(m > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(F.col(own), r[bins], part), F.lit(0.0), lambda s, x: s + x) / 2)))
+        total_of = F.aggregate(F.zip_with(F.col(own), r[bins], part), F.lit(1.0), lambda s, x: s + x)
+        return F.when(m > 0, F.sqrt(F.greatest(F.lit(0.0), total_of / 2)))
 
     return F.when(n > 0, F.round(F.array_min(F.transform(refs, distance)), 6))
 
