@@ -14,7 +14,7 @@ are rarer in a stretch cut it, again and again until none is rarer. The stretche
 separators that occur once. Most documents have none, and build no tree.
 
 Edge cases: a null or blank text has no words and no runs; a very long text is worked on by one task, which holds some
-500 bytes for each word that is left; repeated rows are rows of their own; other columns are ignored; an empty table
+800 bytes for each word that is left; repeated rows are rows of their own; other columns are ignored; an empty table
 gives no rows.
 """
 

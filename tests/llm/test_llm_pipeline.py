@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkpanel.llm import decontamination, ngram_join, quality_rules, substring_dedup
+from sparkpanel.llm import decontamination, license_scan, ngram_join, quality_rules, substring_dedup
 from sparkpanel.llm.common import table
 from sparkpanel.llm.tokens import Encoder, tokenizer_path
 
@@ -106,3 +106,32 @@ def test_run_equals_brute_force(spark):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 2048
+
+
+def test_stages_with_clashing_names_nulls_and_repeated_ids(spark):
+    words = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    passage = words(1, 60)
+    rows = [(1, passage), (2, f"{passage} {words(2, 20)}"), (2, f"{passage} {words(2, 20)}"), (None, passage), (3, None), (None, words(3, 70)), (4, f"{words(4, 9)}\n{passage}")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "id", "t", "x0", "x1", "own_key", "own_id", "own_text", "spans", "kept", "cut", "item_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names[5:])
+    docs = spark.createDataFrame([(i, t, "en", None, None, *["c"] * 11) for i, t in rows], schema).repartition(3)
+    got = corpus_pipeline.passages(spark, docs, SF)
+    assert got.columns == names
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, passage), (2, words(2, 20)), (2, words(2, 20)), (3, None), (None, words(3, 70)), (4, words(4, 9))], key=str)
+    items = spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string")
+    left = decontamination.decontaminate(docs, items)
+    assert left.columns == names and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, None), (None, words(3, 70))], key=str)
+
+
+def test_one_text_of_many_megabytes(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(50_000)]
+    big = " ".join(vocabulary[k] for k in rng.integers(0, 50_000, 700_000)) + " Released under the MIT License. " + " ".join(vocabulary[:30])
+    docs = spark.createDataFrame([(1, big, "en"), (2, "small text here", "en")], "doc_id long, text string, lang string")
+    assert len(big) > 4_000_000
+    found = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert found[1]["n_words"] == 700_035 and found[1]["base_labels"] == "mit" and found[1]["first_word"] == 700_003
+    rules = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert rules[1]["n_words"] == 700_035 and not rules[1]["base_failed"]
+    items = spark.createDataFrame([(7, " ".join(vocabulary[:30])), (8, "nothing like it at all in any text")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()] == [(1, 7)]
