@@ -13,7 +13,7 @@ from ..operators import disaggregation as D
 from ..operators import hierarchy as T
 from ..operators import selection as K
 from ..operators.order import wide_quantiles
-from ..operators.windows import by, lagged
+from ..operators.windows import lagged
 from ..sources.scratch import shared_path
 from ..streaming import landing as L
 from .frames import canonical, panel, sector_mae, table
