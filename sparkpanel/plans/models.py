@@ -348,7 +348,7 @@ def _(spark, d):
     return seasonal_period(panel(spark, d), "sector", "period_enddate", "y")
 
 
-LANDED = "SELECT event_type, 1 AS n_files, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1"
+LANDED = "SELECT event_type, 1 AS n_files, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1"
 
 
 def event_files(spark, d, name: str):
