@@ -2,7 +2,8 @@
 
 Words of the A-Z lower-cased text are runs of anything but ASCII white space; a document's set are its distinct n-word
 shingles (with fewer words the whole sequence; without words nothing). Two documents link when the intersection is at
-least share_pct per cent of the union. Shingles and sets are held as 64-bit digests.
+least share_pct per cent of the union. Shingles are held as 64-bit digests, sets as 128-bit ones: a set's number is
+half of it, and other numbers are taken if two sets of one number differ in the other half.
 
 1. All sets are put into one global order, rarest shingle first; rarity is estimated from the counts of a shingle's
    words, of which up to `FREQUENT` of the most frequent ones are known exactly. Any order gives the same result.
@@ -107,8 +108,10 @@ def ordered_sets(words: Words, n: int, known: np.ndarray, counts: np.ndarray) ->
     return out
 
 
-def digest(shingle_set: np.ndarray) -> int:
-    return signed(xxhash.xxh3_64_intdigest(np.sort(shingle_set).tobytes()))
+def digests(shingle_set: np.ndarray, seed: int = 0, bits: int = 64) -> tuple[int, int]:
+    """The number of a set, and 64 more bits that tell whether two sets have the same number."""
+    both = xxhash.xxh3_128_intdigest(np.sort(shingle_set).tobytes(), seed)
+    return signed((both >> 64) >> (64 - bits)), signed(both & ((1 << 64) - 1))
 
 
 def parity(shingle_set: np.ndarray) -> bytes:
@@ -325,14 +328,17 @@ def one_of_each(docs: DataFrame, n: int = 5, share_pct: int = 80, **limits) -> D
     return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent: int = FREQUENT, task_shingles: int = TASK_SHINGLES, group: int = GROUP) -> DataFrame:
-    """id, t, n (set size) and least (id and t of the class's smallest row) of each row of keyed docs."""
+def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent: int = FREQUENT, task_shingles: int = TASK_SHINGLES, group: int = GROUP, seed: int = 0, bits: int = 64) -> DataFrame:
+    """id, t, n (set size) and least (id and t of the class's smallest row) of each row of keyed docs.
+
+    seed, bits: of the sets' numbers. If two different sets have one number, all is done again with other numbers.
+    """
     spark = docs.sparkSession
     known, counts = word_counts(docs, scratch, frequent)
     sent = spark.sparkContext.broadcast((known, counts))
 
-    names = ["id", "t", "n", "g", "bits", "token", "place"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+    names = ["id", "t", "n", "g", "g2", "bits", "token", "place"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
 
     def read(batches):
         """Rows of documents (token null) and of prefix shingles (id null)."""
@@ -341,8 +347,9 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
             ids, ts = batch.column("id").to_pylist(), batch.column("t").to_pylist()
             for part in chunks(batch.column("text")):
                 sets = ordered_sets(Words([b for _, b in part], FOLD), n, known, counts)
-                own = [digest(s) for s in sets]
-                columns = [[ids[i] for i, _ in part], [ts[i] for i, _ in part], [len(s) for s in sets], own, [parity(s) for s in sets], [None] * len(part), [None] * len(part)]
+                both = [digests(s, seed, bits) for s in sets]
+                own = [g for g, _ in both]
+                columns = [[ids[i] for i, _ in part], [ts[i] for i, _ in part], [len(s) for s in sets], own, [g for _, g in both], [parity(s) for s in sets], [None] * len(part), [None] * len(part)]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
                 first = {g: s for g, s in zip(own, sets, strict=True) if len(s)}
                 if first:
@@ -350,13 +357,15 @@ def labelled(docs: DataFrame, scratch: Scratch, n: int, share_pct: int, frequent
                     g, size = np.repeat(np.array(list(first), np.int64), sizes), np.repeat(np.array([len(s) for s in first.values()], np.int32), sizes)
                     tokens = np.concatenate([s[:k] for s, k in zip(first.values(), sizes, strict=True)]).view(np.int64)
                     place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-                    yield pa.record_batch([pa.nulls(len(g), kinds[0]), pa.nulls(len(g), kinds[1]), pa.array(size), pa.array(g), pa.nulls(len(g), kinds[4]), pa.array(tokens), pa.array(place)], names)
+                    yield pa.record_batch([pa.nulls(len(g), kinds[0]), pa.nulls(len(g), kinds[1]), pa.array(size), pa.array(g), pa.nulls(len(g), kinds[4]), pa.nulls(len(g), kinds[5]), pa.array(tokens), pa.array(place)], names)
 
-    seen = scratch.save(docs.select("id", "t", "text").mapInArrow(read, "id long, t long, n int, g long, bits binary, token long, place int"))
+    seen = scratch.save(docs.select("id", "t", "text").mapInArrow(read, "id long, t long, n int, g long, g2 long, bits binary, token long, place int"))
     scratch.sweep()
     # n and place as one number: narrow rows are dealt out
     postings = seen.where("token IS NOT NULL").select("token", "g", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("x"))
-    rows = scratch.save(seen.where("token IS NULL").select("id", "t", "n", "g", "bits"))
+    rows = scratch.save(seen.where("token IS NULL").select("id", "t", "n", "g", "g2", "bits"))
+    if not rows.groupBy("g").agg(F.min("g2").alias("a"), F.max("g2").alias("z")).where("a <> z").isEmpty():
+        return labelled(docs, scratch, n, share_pct, frequent, task_shingles, group, seed + 1)
     # a shingle that two sets share is left out if their sizes or its places rule out a link
     shared = postings.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.count("*").alias("many"), F.min("x").alias("x"), F.max("x").alias("y")).where("a <> z")
     of = lambda c: (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))

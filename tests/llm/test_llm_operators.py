@@ -276,7 +276,7 @@ def test_loser_tree_merges_and_knows_common_prefixes():
         assert [n for *_, n in got][1:] == [suffix_dedup.common_prefix(a, b, 0) for a, b in zip(out, out[1:], strict=False)]
 
 
-@pytest.mark.parametrize(("n", "pct", "limits"), [(3, 90, {}), (5, 80, {"task_shingles": 200, "frequent": 5}), (3, 40, {"task_shingles": 500, "group": 3})])
+@pytest.mark.parametrize(("n", "pct", "limits"), [(3, 90, {}), (5, 80, {"task_shingles": 200, "frequent": 5}), (3, 40, {"task_shingles": 500, "group": 3}), (3, 90, {"bits": 4})])
 def test_ngram_join(docs, empty, n, pct, limits):
     own = [(i, [w.translate(ngram_join.FOLD) for w in split(t)]) for i, t in texts()]
     sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set() for _, w in own]
