@@ -1,4 +1,8 @@
-"""Tail probabilities as columns: folds over the terms of series and continued fractions, from the innermost term outwards."""
+"""Tail probabilities as columns: folds over the terms of series and continued fractions, from the innermost term outwards.
+
+Use them in a withColumn of their own: in a select that gives a new column the name of an argument, Spark takes the new
+column inside of the fold.
+"""
 
 from __future__ import annotations
 

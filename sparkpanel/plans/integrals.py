@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-STEPS = 400
+STEPS = 2000
 
 
 def simpson(density: str, top: str) -> str:

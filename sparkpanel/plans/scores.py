@@ -330,14 +330,16 @@ DM = f"(SELECT model_a, model_b, n, m AS mean_d, CASE WHEN n >= 8 AND g0 > 0 THE
 
 @query("diebold_mariano", f"SELECT model_a, model_b, n, round(stat, 5) AS stat, round({S.normal_two_sided('stat')}, 8) AS p FROM {DM}")
 def _(spark, d):
-    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.col("n").cast("double").alias("n"), F.round("stat", 5).alias("stat"), F.round(normal_two_sided(F.col("stat")), 8).alias("p"))
+    t = dm(spark, d, ["model_a", "model_b"]).withColumn("p", normal_two_sided(F.col("stat")))
+    return t.select("model_a", "model_b", F.col("n").cast("double").alias("n"), F.round("stat", 5).alias("stat"), F.round("p", 8).alias("p"))
 
 
 @query("dm_one_sided", f"""SELECT model_a, model_b, round(stat, 5) AS stat, round({S.t_upper('-stat', '(n - 1)')}, 8) AS p FROM (SELECT model_a, model_b, n, CASE WHEN v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END AS stat FROM (
 SELECT model_a, model_b, count(*)::DOUBLE AS n, avg(d) AS m, avg(c * c) + sum(c * l) / count(*) AS v FROM (SELECT *, lag(c) OVER (PARTITION BY model_a, model_b ORDER BY sector_code, target_date) AS l FROM {CENTRED}) GROUP BY ALL))""")
 def _(spark, d):
     t = dm(spark, d, ["model_a", "model_b"], h=2, bartlett=True, spread=True)
-    return t.select("model_a", "model_b", F.round("stat", 5).alias("stat"), F.round(C.student_lower(F.col("stat"), (F.col("n") - 1).cast("double")), 8).alias("p"))
+    t = t.withColumn("p", C.student_lower(F.col("stat"), (F.col("n") - 1).cast("double")))
+    return t.select("model_a", "model_b", F.round("stat", 5).alias("stat"), F.round("p", 8).alias("p"))
 
 
 @query("dm_two_steps", f"""SELECT model_a, model_b, sector_code, round(CASE WHEN n >= 8 AND v > 0 THEN m / sqrt(v / n) * sqrt((n + 1 - 4 + 2.0 / n) / n) END, 5) AS stat FROM (
@@ -349,7 +351,8 @@ def _(spark, d):
 
 @query("pairwise_dm", f"SELECT model_a, model_b, round(mean_d, 4) AS mean_d, n::BIGINT AS n, round({S.normal_two_sided('stat')}, 8) AS p FROM {DM}")
 def _(spark, d):
-    return dm(spark, d, ["model_a", "model_b"]).select("model_a", "model_b", F.round("mean_d", 4).alias("mean_d"), "n", F.round(normal_two_sided(F.col("stat")), 8).alias("p"))
+    t = dm(spark, d, ["model_a", "model_b"]).withColumn("p", normal_two_sided(F.col("stat")))
+    return t.select("model_a", "model_b", F.round("mean_d", 4).alias("mean_d"), "n", F.round("p", 8).alias("p"))
 
 
 SECTOR_DM = f"""(SELECT model_a, model_b, sector_code, m AS mean_d, CASE WHEN n >= 8 AND g0 > 0 THEN m / sqrt(g0 / n) * sqrt((n - 1) / n) END AS stat FROM (

@@ -83,3 +83,12 @@ def test_tails_against_closed_forms(spark):
         assert r["g"] == pytest.approx(math.lgamma(b), rel=1e-12)
         assert r["u"] == pytest.approx(1 - math.erfc(x / math.sqrt(2)) / 2, rel=1e-9)
         assert r["t"] == pytest.approx(1 - 2 / math.pi * math.atan(x), rel=1e-8)
+
+
+def test_loss_test_p_values_are_those_of_the_unrounded_statistic(spark):
+    from sparkpanel.plans import scores  # noqa: F401
+    from sparkpanel.plans.registry import QUERIES
+
+    got = QUERIES["diebold_mariano"](spark, "/root/testdata/sf0.001").collect()
+    t = {(r["model_a"], r["model_b"]): r["stat"] for r in scores.dm(spark, "/root/testdata/sf0.001", ["model_a", "model_b"]).collect()}
+    assert got and all(r["p"] == pytest.approx(math.erfc(abs(t[r["model_a"], r["model_b"]]) / math.sqrt(2)), abs=6e-9) for r in got)
