@@ -108,9 +108,14 @@ def test_champion_gate(spark):
 def test_denton_keeps_annual_means(spark):
     rng = np.random.default_rng(0)
     annual, indicator = rng.normal(size=5), rng.normal(size=20)
-    q = disaggregation.denton(annual, indicator)
-    assert np.allclose(q.reshape(5, 4).mean(axis=1), annual)
-    assert np.allclose(disaggregation.denton(indicator.reshape(5, 4).mean(axis=1), indicator), indicator)
+
+    def quarters(annual):
+        rows = [("a", k // 4, k % 4 + 1, float(annual[k // 4]), float(indicator[k])) for k in range(20)]
+        d = disaggregation.denton_series(spark.createDataFrame(rows, "k string, year int, quarter int, v double, p double"), "k", "year", "quarter", "v", "p")
+        return np.array([r["v"] for r in d.orderBy("year", "quarter").collect()])
+
+    assert np.allclose(quarters(annual).reshape(5, 4).mean(axis=1), annual)
+    assert np.allclose(quarters(indicator.reshape(5, 4).mean(axis=1)), indicator)
 
 
 def test_linear_interpolation_keeps_annual_means(spark):
