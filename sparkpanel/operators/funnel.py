@@ -1,7 +1,8 @@
 """The chain of feature selection on a panel (key, time, y and feature columns).
 
 Sums of squares and products over rows are Spark aggregates; what is solved in Python is as large as the number of
-features. Rows with a null in what a step needs are left out of that step; an empty panel selects nothing.
+features. Rows with a null in what a step needs are left out of that step; an empty panel selects nothing. What is read
+more than once is saved first, so that the joins behind a panel, and what they broadcast, run once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from . import selection as K
 from .forecast import ridge_fit
 from .lagged import granger
+from .order import saved
 from .windows import differences
 
 #: Cumulative Poisson(1) probabilities. Fixed values.
@@ -128,7 +130,12 @@ def tree_importance(df: DataFrame, features: list[str], y: str, key: str, time:
 
 
 def funnel(df: DataFrame, features: list[str], y: str, key: str, time: str, corr: float = 0.21, lagged: float = 0.12, redundant: float = 0.9, boots: int = 50) -> list[tuple[str, list[str]]]:
-    """(stage, surviving features) of each stage on the survivors of the one before; ends where none are left. Each stage is a Spark job, its result a row for each feature."""
+    """(stage, surviving features) of each stage on the survivors of the one before; ends where none are left. Each stage is a Spark job its result a row for each feature."""
+    return _stages(df, features, y, key, time, corr, lagged, redundant, boots)
+
+
+def _stages(df: DataFrame, features: list[str], y: str, key: str, time: str, corr: float = 0.21, lagged: float = 0.12, redundant: float = 0.9, boots: int = 50) -> list[tuple[str, list[str]]]:
+    """`funnel` on a panel that is cheap to read again."""
     kept, out = list(features), []
 
     def step(name: str, good: set[str]) -> bool:
@@ -154,13 +161,16 @@ def funnel(df: DataFrame, features: list[str], y: str, key: str, time: str, corr
 def select_features(df: DataFrame, structural: list[str], y: str, key: str, time: str, flags: tuple[str, ...] = (), holdout: int = 20, category=lambda f: f.split("_")[0], **limits) -> DataFrame:
     """feature, category, last_stage and selected of every candidate, chosen without the last `holdout` periods; raises ValueError if there are no rows or candidates."""
     spark = df.sparkSession
+    candidates = [f for f, yearly in derive_features(df.columns, structural, y, flags) if not yearly]
+    if not candidates:
+        raise ValueError("nothing to select from")
+    df = saved(df.select(*dict.fromkeys([key, time, y, *candidates])), "funnel")
     if holdout:
         last = df.select(time).distinct().orderBy(F.desc(time)).limit(holdout).agg(F.min(time).alias("m"))
         df = df.join(F.broadcast(last), F.col(time) < F.col("m")).drop("m")
-    candidates = [f for f, yearly in derive_features(df.columns, structural, y, flags) if not yearly]
-    if not candidates or df.isEmpty():
+    if df.isEmpty():
         raise ValueError("nothing to select from")
-    stages = funnel(df, candidates, y, key, time, **limits)
+    stages = _stages(df, candidates, y, key, time, **limits)
     selected = set(stages[-1][1]) if len(stages) == 6 else set()
     passed = lambda f: max((name for k, (name, own) in enumerate(stages) if f in own), key=[n for n, _ in stages].index, default="none")
     return spark.createDataFrame([(f, category(f), passed(f), f in selected) for f in candidates], "feature string, category string, last_stage string, selected boolean")

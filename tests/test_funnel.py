@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkpanel.operators import funnel as N
 from sparkpanel.operators import lagged as G
@@ -55,3 +56,20 @@ def test_lagged_ols(spark):
     rows = [("a", k, float(k % 7), 2.0 + 3.0 * ((k - 3) % 7)) for k in range(30)]
     got = N.lagged_ols(spark.createDataFrame(rows, "s string, t int, x double, y double"), "x", "y", "s", "t").collect()
     assert len(got) == 4 and all(abs(r["y"] - r["y_pred"]) < 1e-9 for r in got)
+
+
+def counted(spark):
+    """The frame, its number of rows and an accumulator of how many rows of it were read."""
+    d, read = frame(spark), spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    return d.withColumn("y", F.udf(seen, "double").asNondeterministic()("y")), d.count(), read
+
+
+def test_select_features_reads_its_panel_once(spark):
+    d, n, read = counted(spark)
+    rows = N.select_features(d, ["sector", "t"], "y", "sector", "t", holdout=4, corr=0.0, boots=10).collect()
+    assert any(r["selected"] for r in rows) and read.value == n
