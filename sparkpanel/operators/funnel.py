@@ -130,8 +130,8 @@ def tree_importance(df: DataFrame, features: list[str], y: str, key: str, time:
 
 
 def funnel(df: DataFrame, features: list[str], y: str, key: str, time: str, corr: float = 0.21, lagged: float = 0.12, redundant: float = 0.9, boots: int = 50) -> list[tuple[str, list[str]]]:
-    """(stage, surviving features) of each stage on the survivors of the one before; ends where none are left. Each stage is a Spark job its result a row for each feature."""
-    return _stages(df, features, y, key, time, corr, lagged, redundant, boots)
+    """(stage, surviving features) of each stage on the survivors of the one before; ends where none are left. Each stage is a Spark job on the saved panel, its result a row for each feature."""
+    return _stages(saved(df.select(*dict.fromkeys([key, time, y, *features])), "funnel"), features, y, key, time, corr, lagged, redundant, boots)
 
 
 def _stages(df: DataFrame, features: list[str], y: str, key: str, time: str, corr: float = 0.21, lagged: float = 0.12, redundant: float = 0.9, boots: int = 50) -> list[tuple[str, list[str]]]:

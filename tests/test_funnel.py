@@ -73,3 +73,9 @@ def test_select_features_reads_its_panel_once(spark):
     d, n, read = counted(spark)
     rows = N.select_features(d, ["sector", "t"], "y", "sector", "t", holdout=4, corr=0.0, boots=10).collect()
     assert any(r["selected"] for r in rows) and read.value == n
+
+
+def test_funnel_reads_its_panel_once(spark):
+    d, n, read = counted(spark)
+    stages = N.funnel(d, ["q_lead", "q_noise"], "y", "sector", "t", corr=0.0, boots=10)
+    assert len(stages) == 6 and stages[-1][1] and read.value == n
