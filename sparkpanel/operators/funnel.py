@@ -87,7 +87,7 @@ def lasso_stability(df: DataFrame, features: list[str], y: str, key: str, time:
     """feature, share of bootstraps that select it (the largest over horizons), retained. One penalty, chosen by folds, serves all."""
     w = Window.partitionBy(key).orderBy(time)
     ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.lead(y, h).over(w).alias("ahead")) for h in horizons])
-    d = df.withColumn("a", ahead).select(key, time, *features, F.inline("a")).dropna(subset=[*features, "ahead"])
+    d = saved(df.withColumn("a", ahead).select(key, time, *features, F.inline("a")).dropna(subset=[*features, "ahead"]), "lasso")
     columns, size = [*features, "ahead"], len(features) + 2
     rows = gram(d.withColumn("fold", F.pmod(F.xxhash64(key, time), F.lit(folds))), ["fold"], columns, F.lit(1.0)).collect()
     if not rows:

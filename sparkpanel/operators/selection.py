@@ -95,12 +95,15 @@ def complete_linkage(near: np.ndarray, most: float) -> list[list[int]]:
 
 def redundancy(df: DataFrame, features: list[str], y: str, most: float = 0.9) -> list[tuple[str, int, bool]]:
     """feature, cluster, retained: complete linkage at 1 - |r|, the best correlated with y is kept. The p x p matrix is on the driver, as p is the number of columns."""
-    place = {f: i for i, f in enumerate(features)}
+    place, score = {f: i for i, f in enumerate(features)}, {}
     near = np.zeros((len(features), len(features)))
-    for x in correlation_pairs(df, features).collect():
-        near[place[x["a"]], place[x["b"]]] = near[place[x["b"]], place[x["a"]]] = abs(x["r"] or 0.0)
+    for x in correlation_pairs(df, [*features, y]).collect():  # one pass over df for both kinds of pairs
+        r = abs(x["r"] or 0.0)
+        if x["b"] in place:
+            near[place[x["a"]], place[x["b"]]] = near[place[x["b"]], place[x["a"]]] = r
+        if x["b"] == y:
+            score[x["a"]] = r
     groups = [[features[i] for i in g] for g in complete_linkage(near, most)]
-    score = {x["feature"]: abs(x["r"] or 0.0) for x in target_correlation(df, [], features, y).collect()}
     keep = {max(g, key=lambda f: (score[f], f)) for g in groups}
     return [(f, k, f in keep) for k, g in enumerate(groups) for f in g]
 

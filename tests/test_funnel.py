@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkpanel.operators import funnel as N
 from sparkpanel.operators import lagged as G
+from sparkpanel.operators import selection as K
 
 
 def frame(spark, n=60):
@@ -79,3 +80,10 @@ def test_funnel_reads_its_panel_once(spark):
     d, n, read = counted(spark)
     stages = N.funnel(d, ["q_lead", "q_noise"], "y", "sector", "t", corr=0.0, boots=10)
     assert len(stages) == 6 and stages[-1][1] and read.value == n
+
+
+def test_redundancy_and_lasso_read_their_panel_once(spark):
+    d, n, read = counted(spark)
+    got = K.redundancy(d, ["q_lead", "q_copy", "q_noise"], "y")
+    assert {f for f, _, keep in got if keep} == {"q_lead", "q_noise"} and read.value == n
+    assert N.lasso_stability(d, ["q_lead", "q_noise"], "y", "sector", "t", boots=10).count() == 2 and read.value == 2 * n
