@@ -84,6 +84,6 @@ def test_funnel_reads_its_panel_once(spark):
 
 def test_redundancy_and_lasso_read_their_panel_once(spark):
     d, n, read = counted(spark)
-    got = K.redundancy(d, ["q_lead", "q_copy", "q_noise"], "y")
-    assert {f for f, _, keep in got if keep} == {"q_lead", "q_noise"} and read.value == n
+    got = K.redundancy(d, ["y", "q_copy", "q_noise"], "q_lead")  # the column that counts is a feature, which both kinds of pairs read
+    assert {f for f, _, keep in got if keep} >= {"q_copy", "q_noise"} and read.value == n
     assert N.lasso_stability(d, ["q_lead", "q_noise"], "y", "sector", "t", boots=10).count() == 2 and read.value == 2 * n
